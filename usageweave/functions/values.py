@@ -67,9 +67,14 @@ def category_colour(category: Column) -> Column:
     )
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space at either end."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def label_list(text: Column) -> Column:
     """Trimmed entries of a comma list."""
-    return F.transform(F.split(text, ",", -1), F.trim)
+    return F.transform(F.split(text, ",", -1), lambda label: stripped(label))
 
 
 def quoted(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usageweave import constants as C
-from usageweave.functions.values import literal_map, quoted
+from usageweave.functions.values import literal_map, quoted, stripped
 from usageweave.operators.units import lookup_join
 
 PACKAGE = "app_package_name"
@@ -61,5 +61,5 @@ def label_messages(mismatches: DataFrame) -> DataFrame:
 
 def merge_unexpected_labels(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Sorted distinct union of old and new message lines."""
-    old = existing.select(F.trim("message").alias("message"))
+    old = existing.select(stripped(F.col("message")).alias("message"))
     return old.union(new.select("message")).distinct().orderBy("message")

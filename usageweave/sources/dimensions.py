@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageweave.functions.values import label_list
+from usageweave.functions.values import label_list, stripped
 from usageweave.operators.enrich import dedupe_keep
 from usageweave.sources.files import ORDER, read_tables
 
@@ -22,7 +22,7 @@ def app_filters(df: DataFrame, order: str) -> DataFrame:
     names = [c for c in df.columns if c != order]
     if len(names) < 2:
         raise ValueError("a filter list needs a package and a label column")
-    package, label = (F.trim(F.col(f"`{c}`").cast("string")) for c in names[:2])
+    package, label = (stripped(F.col(f"`{c}`").cast("string")) for c in names[:2])
     rows = df.select(
         package.alias(PACKAGE), F.coalesce(label, F.lit("nan")).alias("label"), order
     ).filter((F.col(PACKAGE) != "") & (F.lower(PACKAGE) != "nan"))

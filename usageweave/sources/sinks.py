@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageweave import constants as C
-from usageweave.functions.values import quoted
+from usageweave.functions.values import quoted, stripped
 from usageweave.operators.enrich import dedupe_keep, duplicate_rows
 from usageweave.operators.labelling import merge_unexpected_labels
 from usageweave.sources.files import ORDER, read_tables
@@ -55,7 +55,7 @@ def write_categorised(df: DataFrame, path: str, unit: str = "source_file") -> No
 
 def update_label_log(new: DataFrame, existing: DataFrame, path: str) -> bool:
     """Write the merged message log if ``new`` holds a line not yet known."""
-    known = existing.select(F.trim("message").alias("message"))
+    known = existing.select(stripped(F.col("message")).alias("message"))
     if new.select("message").join(known, "message", "left_anti").isEmpty():
         return False
     merge_unexpected_labels(new, existing).write.text(path)
