@@ -416,7 +416,10 @@ def _stops(spark, folder, opts, names):
 
     df = fr.ordered(spark, folder, opts, step)
     df = df.filter(F.col("interaction_type") == rules.resumed)
-    found = [F.col(f"valid_{n}.moved").alias(f"{n}_us") for n in names]
+    found = [
+        F.col("valid_stopped" if n == "stopped" else f"valid_{n}.moved").alias(f"{n}_us")
+        for n in names
+    ]
     resolved = sessions.resolve_stop(rules).alias("stop_us")
     return df.select("participant_id", "seq", *found, resolved)
 

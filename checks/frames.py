@@ -23,7 +23,7 @@ TIMES = {
 }
 LOG_COLUMNS = {
     "file_order": "event_id",
-    "participant_id": "concat('P', CAST(user_id AS VARCHAR(20)))",
+    "participant_id": "concat('P', CAST(user_id AS STRING))",
     "study_id": "'S1'",
     "username": (
         "CASE WHEN user_id % 5 = 0 AND k % 2 = 0 THEN 'Target child' "
@@ -40,11 +40,11 @@ LOG_COLUMNS = {
     ),
     "app_package_name": (
         "CASE WHEN k = 77 THEN 'com.amazon.imp' WHEN k = 78 THEN NULL "
-        "ELSE concat('com.app.', CAST(k % 4 AS VARCHAR(20))) END"
+        "ELSE concat('com.app.', CAST(k % 4 AS STRING)) END"
     ),
     "application_label": (
         "CASE WHEN k = 77 THEN 'Amazon Impulse' "
-        "ELSE concat('App ', CAST(k % 4 AS VARCHAR(20))) END"
+        "ELSE concat('App ', CAST(k % 4 AS STRING)) END"
     ),
     "timezone": (
         "CASE WHEN k % 10 = 9 THEN NULL WHEN k % 10 >= 7 THEN 'UTC' "
@@ -62,8 +62,8 @@ SPELLINGS = {
 }
 PACKAGE_OF_PART = (
     "CASE WHEN p_size = 50 THEN NULL WHEN p_size % 9 = 3 THEN "
-    "concat('com.rare.', CAST(p_partkey AS VARCHAR(20))) ELSE "
-    "concat('com.app.', CAST(p_size % 9 AS VARCHAR(20))) END"
+    "concat('com.rare.', CAST(p_partkey AS STRING)) ELSE "
+    "concat('com.app.', CAST(p_size % 9 AS STRING)) END"
 )
 CATEGORY_OF_PART = (
     "CASE p_partkey % 6 WHEN 0 THEN 'Games' WHEN 1 THEN 'Education' "

@@ -24,10 +24,12 @@ def require_utc(spark: SparkSession) -> None:
 
 def _normalised(text: Column) -> Column:
     zulu = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    has_offset = (F.length(zulu) >= 6) & F.substring(zulu, -6, 1).isin("+", "-")
-    with_millis = F.when(
-        has_offset, F.regexp_replace(zulu, r"(?s)^(.*)(.{6})$", "$1.000$2")
-    ).otherwise(F.concat(zulu, F.lit(".000")))
+    tail = F.right(zulu, F.lit(6))
+    head = F.left(zulu, F.length(zulu) - 6)
+    has_offset = (F.length(zulu) >= 6) & F.left(tail, F.lit(1)).isin("+", "-")
+    with_millis = F.when(has_offset, F.concat(head, F.lit(".000"), tail)).otherwise(
+        F.concat(zulu, F.lit(".000"))
+    )
     return F.when(F.contains(zulu, F.lit(".")), zulu).otherwise(with_millis)
 
 
@@ -63,10 +65,11 @@ def text_offset_zone(text: Column) -> Column:
     return F.when(has_time & (sign != ""), zone)
 
 
-def usable_zone(zone: Column) -> Column:
-    """The zone name when it can be converted to, else null."""
-    names = sorted(zoneinfo.available_timezones() - _NOT_ON_JVM)
-    return F.when(zone.isin(names) | zone.rlike(_OFFSET_ZONE), zone)
+def usable_zone(name: str) -> Column:
+    """The zone name in a column when it can be converted to, else null."""
+    zones = sorted(zoneinfo.available_timezones() - _NOT_ON_JVM)
+    known = F.expr(f"{name} IN ({', '.join(repr(z) for z in zones)})")
+    return F.when(known | F.col(name).rlike(_OFFSET_ZONE), F.col(name))
 
 
 def wall_clock(micros: Column, zone: Column) -> Column:
@@ -78,9 +81,11 @@ def ntz_micros(local: Column) -> Column:
     return F.unix_micros(local.cast("timestamp"))
 
 
-def local_text(micros: Column, zone: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss.SSSSSS±hh:mm`` in the given zone."""
-    local = wall_clock(micros, zone)
+def local_text(local: Column, micros: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss.SSSSSS±hh:mm`` of a wall-clock time.
+
+    ``micros`` is the instant it stands for; the offset is what differs.
+    """
     minutes = ((ntz_micros(local) - micros) / 60_000_000).cast("int")
     offset = F.concat(
         F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),

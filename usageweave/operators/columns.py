@@ -30,13 +30,13 @@ def target_child_only(df: DataFrame) -> DataFrame:
 
 def fix_timestamps(df: DataFrame) -> DataFrame:
     """Text timestamps to instants; ``ts_error`` marks text that cannot be read."""
-    text = F.col("event_timestamp")
+    # Column by column, so that nothing is worked out twice.
+    df = df.withColumn("_fixed", times.fix_timestamp(F.col("event_timestamp")))
+    df = df.withColumn("_instant", times.parse_timestamp(F.col("_fixed")))
+    unread = F.col("event_timestamp").isNotNull() & F.col("_instant").isNull()
     return df.withColumns(
-        {
-            "ts_error": times.timestamp_error(text),
-            "event_timestamp": times.parse_timestamp(times.fix_timestamp(text)),
-        }
-    )
+        {"ts_error": unread, "event_timestamp": F.col("_instant")}
+    ).drop("_fixed", "_instant")
 
 
 def remove_types(df: DataFrame, options: StudyOptions) -> DataFrame:
@@ -61,7 +61,8 @@ def device_model(df: DataFrame, lane: Lane) -> DataFrame:
 def calendar_columns(df: DataFrame) -> DataFrame:
     """Calendar columns of the event's local time in its ``timezone``."""
     local = times.wall_clock(F.col(C.EVENT_US), F.col("timezone"))
-    return df.withColumns(times.calendar(local))
+    df = df.withColumn("_local", local)
+    return df.withColumns(times.calendar(F.col("_local"))).drop("_local")
 
 
 def admin_columns(df: DataFrame, run_time: datetime, version: str) -> DataFrame:
@@ -75,19 +76,15 @@ def admin_columns(df: DataFrame, run_time: datetime, version: str) -> DataFrame:
 
 def format_timestamps(df: DataFrame) -> DataFrame:
     """Start and stop as local text, the event time as text with its offset."""
-    zone = F.col("timezone")
-
-    def text(name: str):
-        local = times.wall_clock(F.unix_micros(name), zone)
-        return F.date_format(local, C.DATETIME_FORMAT)
-
-    return df.withColumns(
-        {
-            "event_timestamp": times.local_text(F.unix_micros("event_timestamp"), zone),
-            "start_timestamp": text("start_timestamp"),
-            "stop_timestamp": text("stop_timestamp"),
-        }
-    )
+    names = ["event_timestamp", "start_timestamp", "stop_timestamp"]
+    # Converting to a zone is dear: once per column, before any formatting.
+    local = {
+        f"_{n}": times.wall_clock(F.unix_micros(n), F.col("timezone")) for n in names
+    }
+    text = {n: F.date_format(f"_{n}", C.DATETIME_FORMAT) for n in names[1:]}
+    micros = F.unix_micros("event_timestamp")
+    text["event_timestamp"] = times.local_text(F.col("_event_timestamp"), micros)
+    return df.withColumns(local).withColumns(text).drop(*local)
 
 
 def output_columns(custom_seconds: int) -> list[str]:

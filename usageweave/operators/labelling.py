@@ -17,18 +17,27 @@ def should_filter_app(label: Column, expected: Column) -> Column:
     return F.coalesce(F.array_contains(expected, label), F.lit(False))
 
 
-def label_filtered_apps(df: DataFrame, filters: DataFrame) -> DataFrame:
-    """Turn the activity types of listed apps into their filtered twins.
+def mark_listed(df: DataFrame, filters: DataFrame) -> DataFrame:
+    """``listed``: the app is in the filter list and has an expected label.
 
     ``filters`` has one row per package: ``app_package_name, labels``.
     """
     df = lookup_join(df, filters.select(PACKAGE, "labels"), [PACKAGE])
+    listed = should_filter_app(F.col("application_label"), F.col("labels"))
+    return df.withColumn("listed", listed).drop("labels")
+
+
+def relabel_listed(df: DataFrame) -> DataFrame:
+    """Turn the activity types of listed apps into their filtered twins."""
     kind = F.col("interaction_type")
     twin = literal_map(C.FILTERED_TWIN)[kind]
-    listed = should_filter_app(F.col("application_label"), F.col("labels"))
-    return df.withColumn(
-        "interaction_type", F.when(listed, F.coalesce(twin, kind)).otherwise(kind)
-    ).drop("labels")
+    relabelled = F.when(F.col("listed"), F.coalesce(twin, kind)).otherwise(kind)
+    return df.withColumn("interaction_type", relabelled).drop("listed")
+
+
+def label_filtered_apps(df: DataFrame, filters: DataFrame) -> DataFrame:
+    """Filtered twins for the activity types of listed apps."""
+    return relabel_listed(mark_listed(df, filters))
 
 
 def unexpected_labels(df: DataFrame, filters: DataFrame) -> DataFrame:

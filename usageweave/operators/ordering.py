@@ -53,34 +53,24 @@ def order_log(df: DataFrame, lane: Lane, options: StudyOptions) -> DataFrame:
     return lane.settle(df, "ordered")
 
 
-def _tie_columns(df: DataFrame, keys: list[str], within: list[Column]) -> DataFrame:
-    """Rank in the group of rows with one timestamp, and the group's size."""
-    group = Window.partitionBy(*keys, _KEY)
-    return df.withColumns(
-        {
-            "_rank": F.row_number().over(group.orderBy(*within)),
-            "_size": F.count(F.lit(1)).over(group),
-        }
-    )
-
-
 def _arrange_units(
     df: DataFrame, lane: Lane, within: list[Column], fix_ties: bool
 ) -> DataFrame:
+    # The unit-wide window comes first: its exchange and sort serve the others.
     unit = Window.partitionBy(lane.unit).orderBy(F.asc(_KEY), *within)
+    df = df.withColumn(C.SEQ, F.row_number().over(unit).cast("long"))
     if fix_ties:
-        df = _tie_columns(df, lane.keys, within)
-        later = F.col("_size") - F.col("_rank")
-        df = df.withColumn(C.EVENT_US, _moved(F.col("_size") > 1, later))
-        df = df.drop("_rank", "_size")
+        tie = Window.partitionBy(lane.unit, _KEY)
+        df = df.withColumns(
+            {"_tie_first": F.min(C.SEQ).over(tie), "_tie_last": F.max(C.SEQ).over(tie)}
+        )
+        tied = F.col("_tie_last") > F.col("_tie_first")
+        later = F.col("_tie_last") - F.col(C.SEQ)
+        df = df.withColumn(C.EVENT_US, _moved(tied, later))
+        df = df.drop("_tie_first", "_tie_last")
     else:
         df = df.withColumn(C.EVENT_US, F.col(C.RAW_US))
-    df = df.withColumns(
-        {
-            C.SEQ: F.row_number().over(unit).cast("long"),
-            "_previous": F.lag(C.EVENT_US).over(unit),
-        }
-    )
+    df = df.withColumn("_previous", F.lag(C.EVENT_US).over(unit))
     gap = _gap_hours(F.col("_previous"))
     return df.withColumn("data_time_gap_hours", gap).drop("_previous")
 
@@ -96,19 +86,22 @@ def _arrange_slices(
     )
     df = materialise(df, "slices")
     edges = F.broadcast(_slice_edges(df, lane, fix_ties))
-    df = _tie_columns(df, lane.keys, within)
     row = Window.partitionBy(*lane.keys).orderBy(*order)
+    tie = Window.partitionBy(*lane.keys, _KEY)
     df = df.withColumn("_row", F.row_number().over(row).cast("long"))
+    df = df.withColumns(
+        {"_tie_first": F.min("_row").over(tie), "_tie_last": F.max("_row").over(tie)}
+    )
     df = df.join(edges, lane.keys, "left")
     later = (
-        F.col("_size")
-        - F.col("_rank")
+        F.col("_tie_last")
+        - F.col("_row")
         + F.when(F.col(_KEY) == F.col("_last_key"), F.col("_later")).otherwise(0)
     )
     # A tie is a group of more than one row here, or one that goes on in the
     # slice before or after.
     tied = (
-        (F.col("_size") > 1)
+        (F.col("_tie_last") > F.col("_tie_first"))
         | (later > 0)
         | F.coalesce(F.col(_KEY) == F.col("_before_key"), F.lit(False))
     )
@@ -122,7 +115,7 @@ def _arrange_slices(
     df = df.withColumn("_previous", previous)
     gap = _gap_hours(F.col("_previous"))
     df = df.withColumn("data_time_gap_hours", gap)
-    helpers = ["_rank", "_size", "_row", "_previous", *edges.columns]
+    helpers = ["_tie_first", "_tie_last", "_row", "_previous", *edges.columns]
     return df.drop(*[c for c in helpers if c not in lane.keys])
 
 

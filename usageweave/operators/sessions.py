@@ -69,7 +69,8 @@ def same_app_stops(df: DataFrame, lane: Lane, *rules: Rules) -> DataFrame:
         same = F.col(KIND).isin(*r.same_types) if r.same_types else F.lit(False)
         own = F.col(APP).isNotNull() & F.col(C.EVENT_US).isNotNull()
         later[f"{r.prefix}_same"] = F.when(own & same, _times())
-        later[f"{r.prefix}_stopped"] = F.when(own & (F.col(KIND) == r.stopped), _times())
+        stopped = own & (F.col(KIND) == r.stopped)
+        later[f"{r.prefix}_stopped"] = F.when(stopped, F.col(C.EVENT_US))
     return nearest(df, lane, later=later, by=[APP])
 
 
@@ -89,11 +90,10 @@ def resolve_stop(rules: Rules) -> Column:
     less than twelve hours away.  Otherwise the app's next "stopped" event
     does: within twelve hours if both exist (for filtered apps: always).
     """
-    same, other, stopped = (
+    same, other, fallback = (
         F.col(f"{rules.prefix}_{n}") for n in ("same", "other", "stopped")
     )
     start = F.col(C.EVENT_US)
-    fallback = stopped["moved"]
     short_fallback = F.when(fallback - start < C.LONG_USAGE_MICROS, fallback)
     first = F.when(same["raw"] <= other["raw"], same["moved"]).otherwise(other["moved"])
     both = same["moved"].isNotNull() & other["moved"].isNotNull()
@@ -111,6 +111,8 @@ def _close(df: DataFrame, lane: Lane, rules: Rules) -> DataFrame:
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("timestamp"))
     df = other_app_stop(df, lane, rules)
+    # Paused rows have done their part as stops.
+    df = df.filter(F.coalesce(F.col(KIND) != rules.paused, F.lit(True)))
     df = df.withColumn("_stop", resolve_stop(rules))
     resumed = F.col(KIND) == rules.resumed
     ended = F.col("_stop").isNotNull()
@@ -127,9 +129,8 @@ def _close(df: DataFrame, lane: Lane, rules: Rules) -> DataFrame:
             .otherwise(F.col(KIND)),
         }
     )
-    kept = df.filter(F.coalesce(F.col(KIND) != rules.paused, F.lit(True)))
     helpers = [f"{rules.prefix}_{n}" for n in ("same", "other", "stopped")]
-    return lane.settle(kept.drop("_stop", *helpers), f"{rules.prefix}-sessions")
+    return lane.settle(df.drop("_stop", *helpers), f"{rules.prefix}-sessions")
 
 
 def filtered_sessions(df: DataFrame, lane: Lane, options: StudyOptions) -> DataFrame:

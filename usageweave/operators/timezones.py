@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usageweave.config import StudyOptions, TimezoneMode
 from usageweave.functions.times import text_offset_zone, usable_zone
-from usageweave.operators.storage import materialise
-from usageweave.operators.units import Lane, lookup_join
+from usageweave.operators.units import Lane
 
 
 def _named(zone: Column) -> Column:
@@ -31,6 +30,29 @@ def detect_timezones(df: DataFrame, text: str = "event_timestamp") -> DataFrame:
     return pairs.filter("timezone IS NOT NULL").distinct().orderBy("timezone")
 
 
+def _choice(text: str | None) -> Column:
+    """What a row says about its zone: the name, else the text's offset.
+
+    Levels make names beat offsets; offsets only count in units without names.
+    """
+    offset = text_offset_zone(F.col(text)) if text else F.lit(None).cast("string")
+    zone = F.col("timezone")
+    level = F.when(zone.isNotNull(), 0).when(offset.isNotNull(), 1).otherwise(2)
+    return F.struct(
+        level.alias("level"), F.coalesce(zone, offset, F.lit("UTC")).alias("zone")
+    )
+
+
+def _rank() -> Column:
+    """Sort key of a counted choice: most frequent first, then first seen.
+
+    Equally frequent offsets go by name.
+    """
+    choice = F.col("_choice")
+    by_name = F.when(choice["level"] == 1, choice["zone"])
+    return F.struct(choice["level"], -F.col("_n"), by_name, F.col("_first"))
+
+
 def primary_timezone(
     df: DataFrame, unit: str, text: str | None = "event_timestamp"
 ) -> DataFrame:
@@ -39,30 +61,36 @@ def primary_timezone(
     A unit without any zone name uses the offsets in its timestamp texts, and
     UTC when there are none either.
     """
-    offset = text_offset_zone(F.col(text)) if text else F.lit(None).cast("string")
-    # One row per distinct (unit, zone, offset): small before any explode.
-    seen = df.groupBy(unit, "timezone", offset.alias("offset")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("file_order").alias("first")
-    )
-    choices = seen.select(
-        unit,
-        "n",
-        "first",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("level"), F.col("timezone").alias("zone")),
-                F.struct(F.lit(1).alias("level"), F.col("offset").alias("zone")),
-                F.struct(F.lit(2).alias("level"), F.lit("UTC").alias("zone")),
-            )
-        ).alias("choice"),
-    ).filter("choice.zone IS NOT NULL")
-    counted = choices.groupBy(unit, "choice").agg(
-        F.sum("n").alias("n"), F.min("first").alias("first")
+    counted = df.groupBy(unit, _choice(text).alias("_choice")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("file_order").alias("_first")
     )
-    by_name = F.when(F.col("choice.level") == 1, F.col("choice.zone"))
-    rank = F.struct(F.col("choice.level"), -F.col("n"), by_name, F.col("first"))
-    return counted.groupBy(unit).agg(
-        F.min_by("choice.zone", rank).alias("primary_timezone")
+    zone = F.min_by("_choice.zone", _rank()).alias("primary_timezone")
+    return counted.groupBy(unit).agg(zone)
+
+
+def attach_primary_timezone(df: DataFrame, lane: Lane, text: str | None) -> DataFrame:
+    """``primary_timezone`` of the unit on every row.
+
+    Plain units count in windows on the exchange the later steps use anyway;
+    hot units are aggregated before anything is shuffled.
+    """
+    if lane.sliced:
+        zones = F.broadcast(primary_timezone(df, lane.unit, text))  # per hot unit
+        return df.join(zones, lane.unit, "left")
+    unit = Window.partitionBy(lane.unit)
+    same = Window.partitionBy(lane.unit, "_choice")
+    return (
+        df.withColumn("_choice", _choice(text))
+        # Asked for by unit here, so that no other exchange is needed.
+        .repartition(F.col(lane.unit))
+        .withColumns(
+            {
+                "_n": F.count(F.lit(1)).over(same),
+                "_first": F.min("file_order").over(same),
+            }
+        )
+        .withColumn("primary_timezone", F.min_by("_choice.zone", _rank()).over(unit))
+        .drop("_choice", "_n", "_first")
     )
 
 
@@ -82,16 +110,11 @@ def apply_timezone_mode(
         if mode is TimezoneMode.KEEP_SELECTED:
             df = df.filter(F.col("timezone") == target)
         return df.withColumns({"timezone": target, "zone_error": F.lit(False)})
-    # Materialised: sized and joined without aggregating the log again.
-    zones = materialise(primary_timezone(df, lane.unit, text), "primary-zones")
-    if lane.sliced:
-        df = df.join(F.broadcast(zones), lane.unit, "left")  # one row per hot unit
-    else:
-        df = lookup_join(df, zones, [lane.unit])
+    df = attach_primary_timezone(df, lane, text)
     primary = F.col("primary_timezone")
     if mode is TimezoneMode.KEEP_PRIMARY:
         df = df.filter(F.col("timezone") == primary)
-    usable = usable_zone(primary)
+    usable = usable_zone("primary_timezone")
     return df.withColumns({"timezone": usable, "zone_error": usable.isNull()}).drop(
         "primary_timezone"
     )

@@ -170,71 +170,52 @@ def next_of_other_app(
     """``value`` of the first later matching row that belongs to another app.
 
     The first later match is known from one backward scan.  If it belongs to
-    the row's own app, the answer is the first match after it with a different
-    app, which that match itself carries along.
+    the row's own app, so do all matches up to the first one that is followed
+    by a match of a different app; that following match is the answer.
     """
     before = _before(lane.keys, F.desc(C.SEQ))
-    upto = (
-        Window.partitionBy(*lane.keys)
-        .orderBy(F.desc(C.SEQ))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    nxt, turn = f"_{name}_next", f"_{name}_turn"
     this = F.struct(F.col(app).alias("app"), value.alias("value"))
-    nxt, turn, hit = f"_{name}_next", f"_{name}_turn", f"_{name}_hit"
     df = df.withColumn(nxt, F.last(F.when(matches, this), True).over(before))
-    turns = matches & F.col(nxt).isNotNull() & ~same_app(F.col(app), F.col(f"{nxt}.app"))
-    df = df.withColumn(
-        turn, F.last(F.when(turns, F.col(f"{nxt}.value")), True).over(upto)
-    )
-    full = F.struct(
-        F.col(app).alias("app"), value.alias("value"), F.col(turn).alias("other")
+    turns = (
+        matches & F.col(nxt).isNotNull() & ~same_app(F.col(app), F.col(f"{nxt}.app"))
     )
-    df = df.withColumn(hit, F.last(F.when(matches, full), True).over(before))
+    turned = F.when(turns, F.col(f"{nxt}.value"))
+    df = df.withColumn(turn, F.last(turned, True).over(before))
 
-    def pick(found: Column, beyond: Column) -> Column:
+    def pick(found: Column, other: Column, beyond: Column) -> Column:
         own = same_app(found["app"], F.col(app))
         return (
             F.when(found.isNull(), beyond)
             .when(~own, found["value"])
-            .otherwise(F.coalesce(found["other"], beyond))
+            .otherwise(F.coalesce(other, beyond))
         )
 
     nothing = F.lit(None)
     if not lane.sliced:
-        df = df.withColumn(name, pick(F.col(hit), nothing))
-        return df.drop(nxt, turn, hit)
+        df = df.withColumn(name, pick(F.col(nxt), F.col(turn), nothing))
+        return df.drop(nxt, turn)
 
-    # First match of each slice, then the same scan over slices.
-    first = df.groupBy(*lane.keys).agg(
-        F.min_by(full, F.when(matches, F.col(C.SEQ))).alias("first")
+    # First match and first turn of each slice, then the same scan over slices.
+    slices = df.groupBy(*lane.keys).agg(
+        F.min_by(this, F.when(matches, F.col(C.SEQ))).alias("first"),
+        F.min_by(turned, F.when(turns, F.col(C.SEQ))).alias("turn"),
     )
     slices_before = _before([lane.unit], F.desc(C.SLICE))
-    slices_upto = (
-        Window.partitionBy(lane.unit)
-        .orderBy(F.desc(C.SLICE))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    first = first.withColumn("next", F.last("first", True).over(slices_before))
-    crosses = F.col("next").isNotNull() & ~same_app(
-        F.col("first.app"), F.col("next.app")
+    slices = slices.withColumn("next", F.last("first", True).over(slices_before))
+    crosses = (
+        F.col("first").isNotNull()
+        & F.col("next").isNotNull()
+        & ~same_app(F.col("first.app"), F.col("next.app"))
     )
-    turned = F.when(
-        F.col("first").isNotNull(),
-        F.coalesce(
-            F.col("first.other"), F.when(crosses, F.col("next.value"))
-        ),
-    )
-    first = first.withColumn("turned", F.last(turned, True).over(slices_upto))
-    whole = F.struct(
-        F.col("first.app").alias("app"),
-        F.col("first.value").alias("value"),
-        F.col("turned").alias("other"),
-    )
-    carried = F.when(F.col("first").isNotNull(), whole)
-    carry = first.select(
-        *lane.keys, F.last(carried, True).over(slices_before).alias("_carry")
+    # A slice without a turn inside may still turn towards the next match.
+    leaves = F.coalesce(F.col("turn"), F.when(crosses, F.col("next.value")))
+    carry = slices.select(
+        *lane.keys,
+        F.col("next").alias("_next"),
+        F.last(leaves, True).over(slices_before).alias("_turn"),
     )
     df = df.join(F.broadcast(carry), lane.keys, "left")  # one row per slice
-    after = pick(F.col("_carry"), nothing)
-    df = df.withColumn(name, pick(F.col(hit), after))
-    return df.drop(nxt, turn, hit, "_carry")
+    after = pick(F.col("_next"), F.col("_turn"), nothing)
+    df = df.withColumn(name, pick(F.col(nxt), F.col(turn), after))
+    return df.drop(nxt, turn, "_next", "_turn")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usageweave import __version__
+from usageweave import constants as C
 from usageweave.config import StudyOptions
 from usageweave.functions.times import require_utc
 from usageweave.operators import columns as cols
@@ -43,27 +44,40 @@ def read_times(raw: DataFrame, options: StudyOptions) -> DataFrame:
     return cols.fix_timestamps(cols.rename_interaction_types(raw))
 
 
+# What the scans look at; everything else rides along in one struct, so that
+# sorts and windows move narrow rows.
+SCANNED = ("file_order", "event_timestamp", "interaction_type", "app_package_name")
+
+
 def labelled_log(
     df: DataFrame, lane: Lane, options: StudyOptions, filters: DataFrame | None
 ) -> DataFrame:
-    """Ordered rows that go into sessionising."""
+    """Ordered rows that go into sessionising, other columns in ``rest``."""
     df = apply_timezone_mode(df, lane, options, text="timestamp_text")
     df = df.filter(~F.col("zone_error")).drop("zone_error", "timestamp_text")
+    scanned = [lane.unit, *SCANNED]
+    # Looked up before the log is ordered, applied after types are removed.
+    listing = options.use_filter_list and filters is not None
+    if listing:
+        df = labelling.mark_listed(df, filters)
+        scanned.append("listed")
+    rest = F.struct(*[c for c in df.columns if c not in scanned])
+    df = df.select(*scanned, rest.alias("rest"))
     df = cols.remove_types(order_log(df, lane, options), options)
-    df = cols.calendar_columns(cols.device_model(df, lane))
-    if options.use_filter_list and filters is not None:
-        df = labelling.label_filtered_apps(df, filters)
-    return df
+    df = cols.device_model(df, lane)
+    return labelling.relabel_listed(df) if listing else df
 
 
 def usage_table(
     df: DataFrame, lane: Lane, options: StudyOptions, codebook: DataFrame | None
 ) -> DataFrame:
-    """Sessions, categories, engagement and flags of a labelled log."""
+    """Sessions, engagement, flags, calendar and categories of a labelled log."""
     df = sessions.sessions(df, lane, options)
     df = engagement.usage_details(df, lane, options)
     df = engagement.add_usage_flags(df, options)
     df = cols.remove_types(df, options)
+    df = df.withColumn("event_timestamp", F.timestamp_micros(C.EVENT_US))
+    df = cols.calendar_columns(df.select("*", "rest.*").drop("rest"))
     return enrich.enrich_codebook(df, codebook if options.use_codebook else None)
 
 
