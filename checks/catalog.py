@@ -16,7 +16,7 @@ from usageweave.functions import times
 from usageweave.operators import columns as cols
 from usageweave.operators import engagement, enrich, labelling, reports, sessions
 from usageweave.operators import timeline, timezones
-from usageweave.operators.storage import scratch_folder
+from usageweave.operators.storage import materialise, scratch_folder
 from usageweave.operators.units import by_unit
 from usageweave.plans.jobs import categorise, plot_tables
 from usageweave.plans.preprocess import finished_table, preprocess
@@ -841,7 +841,9 @@ def _(spark, folder):
 
 
 def _typed(spark, folder, opts=FULL):
-    return logs.finished_types(finished_table(_run(spark, folder, opts), opts))
+    """A stored finished table, which is what the plot tables are made from."""
+    table = materialise(finished_table(_run(spark, folder, opts), opts), "finished")
+    return logs.finished_types(table)
 
 
 _SEGMENT_SQL = f"""bounds AS (SELECT participant_id, min(CAST(local_ts AS DATE)) AS first_date,
@@ -977,7 +979,7 @@ def _line_numbers(df):
     "scan_raw",
     q.with_(q.log())
     + """SELECT study_id, participant_id, username, app_package_name, application_label,
-      interaction_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS event_timestamp, timezone,
+      interaction_type, concat(CAST(ts AS VARCHAR), 'Z') AS event_timestamp, timezone,
       row_number() OVER (PARTITION BY participant_id ORDER BY file_order) AS line_no
       FROM log""",
 )

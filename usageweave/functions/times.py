@@ -12,7 +12,6 @@ from usageweave import constants as C
 # Names the JVM does not know although other time-zone libraries list them.
 _NOT_ON_JVM = {"Factory", "ROC", "localtime", "posixrules"}
 _OFFSET_ZONE = r"^(UTC|GMT)?[+-]\d\d:\d\d$"
-_TRAILING_OFFSET = r"([+-])(\d\d):?(\d\d)$"
 
 
 def require_utc(spark: SparkSession) -> None:
@@ -44,25 +43,38 @@ def parse_timestamp(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def read_timestamp(text: Column) -> Column:
+    """Instant of a raw text, null where the fixed text would be too short.
+
+    The added fraction and offset do not change the instant, so the length of
+    the fixed text is worked out without building it.
+    """
+    added = F.when(F.contains(text, F.lit("Z")), 5).otherwise(0) + F.when(
+        F.contains(text, F.lit(".")), 0
+    ).otherwise(4)
+    long_enough = F.length(text) + added >= C.MIN_TIMESTAMP_LENGTH
+    return F.when(long_enough, parse_timestamp(text))
+
+
 def timestamp_error(text: Column) -> Column:
     """True where text is present but no instant can be read from it."""
-    return text.isNotNull() & parse_timestamp(fix_timestamp(text)).isNull()
+    return text.isNotNull() & read_timestamp(text).isNull()
 
 
 def text_offset_zone(text: Column) -> Column:
     """Zone named by the offset at the end of a timestamp text."""
-    zulu = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    sign = F.regexp_extract(zulu, _TRAILING_OFFSET, 1)
-    clock = F.concat(
-        F.regexp_extract(zulu, _TRAILING_OFFSET, 2),
-        F.lit(":"),
-        F.regexp_extract(zulu, _TRAILING_OFFSET, 3),
-    )
-    has_time = F.contains(zulu, F.lit(":"))
-    zone = F.when(clock == "00:00", F.lit("UTC")).otherwise(
-        F.concat(F.lit("UTC"), sign, clock)
+    tail = F.right(text, F.lit(6))
+    short = F.right(text, F.lit(5))
+    utc = F.lit("UTC")
+    return (
+        F.when(F.endswith(text, F.lit("Z")) | tail.isin("+00:00", "-00:00"), utc)
+        .when(tail.rlike(r"^[+-]\d\d:\d\d$"), F.concat(utc, tail))
+        .when(F.contains(text, F.lit(":")) & short.isin("+0000", "-0000"), utc)
+        .when(
+            F.contains(text, F.lit(":")) & short.rlike(r"^[+-]\d{4}$"),
+            F.concat(utc, F.left(short, F.lit(3)), F.lit(":"), F.right(short, F.lit(2))),
+        )
     )
-    return F.when(has_time & (sign != ""), zone)
 
 
 def usable_zone(name: str) -> Column:

@@ -30,13 +30,11 @@ def target_child_only(df: DataFrame) -> DataFrame:
 
 def fix_timestamps(df: DataFrame) -> DataFrame:
     """Text timestamps to instants; ``ts_error`` marks text that cannot be read."""
-    # Column by column, so that nothing is worked out twice.
-    df = df.withColumn("_fixed", times.fix_timestamp(F.col("event_timestamp")))
-    df = df.withColumn("_instant", times.parse_timestamp(F.col("_fixed")))
-    unread = F.col("event_timestamp").isNotNull() & F.col("_instant").isNull()
-    return df.withColumns(
-        {"ts_error": unread, "event_timestamp": F.col("_instant")}
-    ).drop("_fixed", "_instant")
+    text = F.col("event_timestamp")
+    df = df.withColumn("_instant", times.read_timestamp(text))
+    unread = text.isNotNull() & F.col("_instant").isNull()
+    columns = {"ts_error": unread, "event_timestamp": F.col("_instant")}
+    return df.withColumns(columns).drop("_instant")
 
 
 def remove_types(df: DataFrame, options: StudyOptions) -> DataFrame:

@@ -35,12 +35,15 @@ def _choice(text: str | None) -> Column:
 
     Levels make names beat offsets; offsets only count in units without names.
     """
-    offset = text_offset_zone(F.col(text)) if text else F.lit(None).cast("string")
+    def choice(level: int, zone: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), zone.alias("zone"))
+
     zone = F.col("timezone")
-    level = F.when(zone.isNotNull(), 0).when(offset.isNotNull(), 1).otherwise(2)
-    return F.struct(
-        level.alias("level"), F.coalesce(zone, offset, F.lit("UTC")).alias("zone")
-    )
+    chosen = F.when(zone.isNotNull(), choice(0, zone))
+    if text:
+        offset = text_offset_zone(F.col(text))
+        chosen = chosen.when(offset.isNotNull(), choice(1, offset))
+    return chosen.otherwise(choice(2, F.lit("UTC")))
 
 
 def _rank() -> Column:
