@@ -638,10 +638,10 @@ for _name, _opts, _time, _cols in (
     "first_engagement",
     q.with_(_all_ctes(KEEP, "dense"), q.details(KEEP, "timed"))
     + f"""SELECT participant_id,
-      sum(any_app_new_engage_30s) FILTER (first_any) AS first_any_new,
-      sum(valid_app_new_engage_30s) FILTER (first_any) AS first_any_valid_new,
-      sum(any_app_new_engage_custom_{N}s) FILTER (first_valid) AS first_valid_any_new,
-      sum(valid_app_new_engage_custom_{N}s) FILTER (first_valid) AS first_valid_new
+      CAST(sum(any_app_new_engage_30s) FILTER (first_any) AS BIGINT) AS first_any_new,
+      CAST(sum(valid_app_new_engage_30s) FILTER (first_any) AS BIGINT) AS first_any_valid_new,
+      CAST(sum(any_app_new_engage_custom_{N}s) FILTER (first_valid) AS BIGINT) AS first_valid_any_new,
+      CAST(sum(valid_app_new_engage_custom_{N}s) FILTER (first_valid) AS BIGINT) AS first_valid_new
       FROM (SELECT *, seq = min(seq) OVER (PARTITION BY participant_id) AS first_any,
         kind = 'App Usage' AND seq = min(CASE WHEN kind = 'App Usage' THEN seq END)
           OVER (PARTITION BY participant_id) AS first_valid
@@ -743,7 +743,7 @@ def _run(spark, folder, opts=FULL, raw=None, keep_stages=False):
 
 _REPORT_SQL = q.with_(
     q.full(FULL),
-    """report AS (SELECT participant_id, rows_in, 0 AS unreadable_times,
+    """report AS (SELECT participant_id, rows_in, CAST(0 AS BIGINT) AS unreadable_times,
       has_valid, has_filtered, coalesce(rows_kept, 0) AS rows_kept,
       coalesce(missing_ends, 0) AS missing_ends, coalesce(disordered, 0) AS disordered,
       CASE WHEN coalesce(disordered, 0) > 0 THEN 'error' WHEN has_valid THEN 'processed'

@@ -137,6 +137,17 @@ def test_finished_files_round_trip(spark, folder, tmp_path):
     ]
 
 
+def test_finished_files_without_times_are_skipped(spark, tmp_path):
+    good = "start_timestamp,stop_timestamp\n01-02-2024 00:00:00,01-02-2024 01:00:00\n"
+    (tmp_path / "good.csv").write_text(good)
+    (tmp_path / "bad.csv").write_text("start_timestamp,other\n01-02-2024 00:00:00,1\n")
+    rows = logs.scan_preprocessed(spark, str(tmp_path)).collect()
+    assert [str(r.date) for r in rows] == ["2024-01-02"]
+    (tmp_path / "good.csv").unlink()
+    with pytest.raises(ValueError):
+        logs.scan_preprocessed(spark, str(tmp_path))
+
+
 def test_dimension_files(spark, tmp_path):
     (tmp_path / "f.csv").write_text("Package,Labels,More\na , One\na,\"Two, 2\",x\n,q\n")
     got = dimensions.scan_app_filters(spark, str(tmp_path / "f.csv")).collect()

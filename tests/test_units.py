@@ -78,8 +78,7 @@ def sessions_model(units):
 
 
 @pytest.mark.parametrize("lane", LANES)
-@pytest.mark.parametrize("fix", [True, False])
-@pytest.mark.parametrize("ties", [0.3, 0.97])
+@pytest.mark.parametrize(("fix", "ties"), [(True, 0.3), (True, 0.97), (False, 0.97)])
 def test_order_and_gaps(spark, lane, fix, ties):
     rows = random_log(1, 3, 120, ties=ties) + random_log(2, 1, 20)
     for r in rows[-20:]:
@@ -103,9 +102,8 @@ def test_order_and_gaps(spark, lane, fix, ties):
 
 @pytest.mark.parametrize("lane", LANES)
 @pytest.mark.parametrize("preset", ["all", "minimal"])
-@pytest.mark.parametrize("seed", [3, 4])
-def test_filtered_sessions(spark, lane, preset, seed):
-    rows = random_log(seed, 3, 150, spread_hours=8)
+def test_filtered_sessions(spark, lane, preset):
+    rows = random_log(3, 3, 150, spread_hours=8)
     options = presets(preset, **LANES[lane])
 
     def step(df, ln):
@@ -119,8 +117,7 @@ def test_filtered_sessions(spark, lane, preset, seed):
 
 
 @pytest.mark.parametrize("lane", LANES)
-@pytest.mark.parametrize("preset", ["all", "minimal"])
-@pytest.mark.parametrize("apps", [1, 4])
+@pytest.mark.parametrize(("preset", "apps"), [("all", 1), ("all", 4), ("minimal", 4)])
 def test_valid_sessions(spark, lane, preset, apps):
     rows = random_log(5, 3, 150, spread_hours=8, apps=apps)
     options = presets(preset, **LANES[lane])

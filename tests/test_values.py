@@ -203,3 +203,11 @@ def test_output_names(spark):
         "P2 Automatically Preprocessed",
         "a.b Automatically Preprocessed",
     ]
+
+
+def test_selected_zone_is_checked(spark):
+    df = spark.createDataFrame([("x", "UTC")], "u string, timezone string")
+    for zone in (None, "Mars/Base"):
+        options = StudyOptions(unit="u", selected_timezone=zone)
+        with pytest.raises(ValueError):
+            timezones.apply_timezone_mode(df, Lane("u"), options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zoneinfo
 
 from pyspark.sql import Column, SparkSession
@@ -77,10 +78,17 @@ def text_offset_zone(text: Column) -> Column:
     )
 
 
+def zone_names() -> list[str]:
+    return sorted(zoneinfo.available_timezones() - _NOT_ON_JVM)
+
+
+def is_zone(name: str) -> bool:
+    return name in zone_names() or re.match(_OFFSET_ZONE, name) is not None
+
+
 def usable_zone(name: str) -> Column:
     """The zone name in a column when it can be converted to, else null."""
-    zones = sorted(zoneinfo.available_timezones() - _NOT_ON_JVM)
-    known = F.expr(f"{name} IN ({', '.join(repr(z) for z in zones)})")
+    known = F.expr(f"{name} IN ({', '.join(repr(z) for z in zone_names())})")
     return F.when(known | F.col(name).rlike(_OFFSET_ZONE), F.col(name))
 
 

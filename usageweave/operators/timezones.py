@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usageweave.config import StudyOptions, TimezoneMode
-from usageweave.functions.times import text_offset_zone, usable_zone
+from usageweave.functions.times import is_zone, text_offset_zone, usable_zone
 from usageweave.operators.units import Lane
 
 
@@ -109,6 +109,8 @@ def apply_timezone_mode(
     if mode in (TimezoneMode.KEEP_SELECTED, TimezoneMode.CONVERT_TO_SELECTED):
         if options.selected_timezone is None:
             raise ValueError(f"{mode.name} needs a selected_timezone")
+        if not is_zone(options.selected_timezone):
+            raise ValueError(f"unknown time zone {options.selected_timezone}")
         target = F.lit(options.selected_timezone)
         if mode is TimezoneMode.KEEP_SELECTED:
             df = df.filter(F.col("timezone") == target)

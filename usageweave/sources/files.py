@@ -114,26 +114,33 @@ def read_tables(
     pattern: str = C.RAW_FILE_PATTERN,
     ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
     multiline: bool = False,
+    required: tuple[str, ...] = (),
 ) -> DataFrame:
     """All matching CSV files below ``folder`` as text columns.
 
+    Files without one of the ``required`` columns are skipped.
+
     Columns are matched by name even when files order them differently: Spark
     binds CSV columns by position, so the header line of every file is looked
     at first.  Files with one common header are read directly.
     """
-    files = list_files(spark, folder, pattern, ignore)
-    headers = _header_lines(files).persist()
+    lines = _header_lines(list_files(spark, folder, pattern, ignore)).persist()
     try:
-        layouts = headers.filter("size(header) > 0").select("header").distinct()
+        layouts = lines.filter("size(header) > 0").select("header").distinct()
         found = layouts.limit(2).collect()
-        if not found:
-            raise ValueError(f"no raw data files found in {folder}")
+        wanted = F.lit(True)
+        for name in required:
+            wanted = wanted & F.array_contains("header", name)
+        headers = lines.filter(wanted)
+        layouts = layouts.filter(wanted)
+        if layouts.isEmpty():
+            raise ValueError(f"no file with the columns {[*required]} in {folder}")
         reader = (
             spark.read.options(**_CSV)
             .option("recursiveFileLookup", True)
             .option("multiLine", multiline)
         )
-        if len(found) == 1:
+        if len(found) == 1:  # every file has it
             names = list(found[0]["header"])
             schema = ", ".join(f"`{n}` string" for n in names)
             chosen = select_files(reader.schema(schema).csv(folder), pattern, ignore)
@@ -148,12 +155,12 @@ def read_tables(
             .collect()
         ]
     finally:
-        headers.unpersist()
+        lines.unpersist()
     cells = [f"_c{i}" for i in range(width)]
     schema = ", ".join(f"{c} string" for c in cells)
     plain = reader.option("header", False).schema(schema).csv(folder)
     rows = _with_origin(select_files(plain, pattern, ignore), cells)
-    rows = lookup_join(rows, _header_lines(files), [FILE], "inner")
+    rows = lookup_join(rows, headers, [FILE], "inner")
     # A header line is told from data by its content.
     line = F.slice(F.array(*cells), F.lit(1), F.size("header"))
     rows = rows.withColumn("_line", line).filter(F.col("_line") != F.col("header"))

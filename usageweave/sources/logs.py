@@ -47,10 +47,8 @@ def scan_preprocessed(spark: SparkSession, folder: str) -> DataFrame:
     Start and stop become wall-clock times ``start_local`` / ``stop_local`` and
     the event time ``event_local``; a missing date is the start date.
     """
-    df = read_tables(spark, folder, r"\.csv$", ())
-    if not {"start_timestamp", "stop_timestamp"} <= set(df.columns):
-        raise ValueError("no file has start_timestamp and stop_timestamp")
-    return finished_types(df)
+    times = ("start_timestamp", "stop_timestamp")
+    return finished_types(read_tables(spark, folder, r"\.csv$", (), required=times))
 
 
 def finished_types(df: DataFrame) -> DataFrame:
