@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from usageweave import StudyOptions
 from usageweave import constants as C
 from usageweave.operators.engagement import usage_details
+from usageweave.operators import reports, units
 from usageweave.operators.ordering import order_log
 from usageweave.operators.sessions import filtered_sessions, sessions, valid_sessions
 from usageweave.operators.units import by_unit, split_lanes, whole_unit
@@ -171,6 +172,39 @@ def test_lanes_split_only_hot_units(spark):
     assert len(split_lanes(frame(spark, rows), same)) == 1
 
 
+def test_hot_units_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(units, "MAX_HOT_UNITS", 2)
+    rows = random_log(12, 3, 60)
+    options = presets("all", hot_unit_rows=40, slice_rows=20)
+    # Three units of 60 rows: no more than two could be above half the rows.
+    assert [ln.slices for _, ln in split_lanes(frame(spark, rows), options)] == [0]
+
+
+def test_large_dimensions_are_not_broadcast(spark, monkeypatch):
+    log = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "k string")
+    table = spark.createDataFrame([("a", 1), ("c", 2)], "k string, v int")
+
+    def joined():
+        df = units.lookup_join(log, table, ["k"])
+        logical = df._jdf.queryExecution().logical().toString()
+        return sorted(df.collect(), key=str), "strategy=broadcast" in logical
+
+    few, hinted = joined()
+    assert hinted
+    monkeypatch.setattr(units, "MAX_LOOKUP_ROWS", 1)
+    assert joined() == (few, False)
+
+
+def test_assert_ordered_fails_the_job(spark):
+    rows = spark.sql(
+        "SELECT timestamp'2024-01-02' AS start_timestamp, timestamp'2024-01-01' AS stop_timestamp"
+    )
+    with pytest.raises(Exception, match="later than stop"):
+        reports.assert_ordered(rows).collect()
+    fine = rows.withColumn("stop_timestamp", F.col("start_timestamp"))
+    assert reports.assert_ordered(fine).collect() == fine.collect()
+
+
 def test_whole_unit_in_both_lanes(spark):
     rows = random_log(9, 2, 50)
     for lane in LANES.values():

@@ -96,11 +96,14 @@ def preprocess(
     stored, so that the report does not compute them again.
     """
     require_utc(raw.sparkSession)
+    unit = options.unit
+    raw = raw.withColumn(unit, F.coalesce(F.col(unit), F.lit("")))
     timed = read_times(raw, options)
-    readable = timed.filter(~F.col("ts_error")).drop("ts_error")
     labelled, finished = [], []
-    for part, lane in split_lanes(readable, options):
-        log = labelled_log(part, lane, options, filters)
+    # Rows per unit are counted on the raw log: no time is parsed for that.
+    for part, lane in split_lanes(raw, options):
+        readable = read_times(part, options).filter(~F.col("ts_error"))
+        log = labelled_log(readable.drop("ts_error"), lane, options, filters)
         if keep_stages:
             log = materialise(log, "labelled")
         labelled.append(lane.finish(log))
@@ -114,7 +117,7 @@ def preprocess(
         quarantine=timed.filter("ts_error"),
         raw=timed,
         labelled=reduce(DataFrame.unionByName, labelled),
-        unit=options.unit,
+        unit=unit,
     )
 
 

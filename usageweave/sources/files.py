@@ -48,7 +48,8 @@ def list_files(
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     )
     listed = select_files(files, pattern, ignore)
-    return listed.select(_decoded(F.col("path")).alias(FILE)).orderBy(FILE)
+    path = _decoded(F.col("_metadata.file_path"))
+    return listed.select(path.alias(FILE)).orderBy(FILE)
 
 
 def _header_lines(files: DataFrame) -> DataFrame:
