@@ -1003,7 +1003,8 @@ def _(spark, folder):
 
 def _written(spark, folder):
     path = scratch_folder(spark, "finished")
-    sinks.write_preprocessed(finished_table(_run(spark, folder), FULL), path, UNIT, "csv")
+    table = finished_table(_run(spark, folder), FULL, keep_seq=True)
+    sinks.write_preprocessed(table, path, UNIT, "csv")
     return path
 
 
@@ -1017,9 +1018,7 @@ def _written(spark, folder):
         AS any_app_usage_flags FROM (SELECT {q.finished_output(FULL)} FROM finished)""",
 )
 def _(spark, folder):
-    path = scratch_folder(spark, "finished")
-    result = finished_table(_run(spark, folder), FULL)
-    sinks.write_preprocessed(result, path, UNIT, "csv")
+    path = _written(spark, folder)
     back = spark.read.option("header", True).option("escape", '"').csv(path)
     return back.select(
         "output_name",

@@ -114,7 +114,7 @@ def test_folder_to_finished_table(spark, folder):
 
 def test_finished_files_round_trip(spark, folder, tmp_path):
     raw = materialise(logs.scan_raw(spark, folder), "raw")
-    result = finished_table(preprocess(raw, OPTIONS), OPTIONS)
+    result = finished_table(preprocess(raw, OPTIONS), OPTIONS, keep_seq=True)
     path = str(tmp_path / "out")
     sinks.write_preprocessed(result, path, "source_file", "csv")
     names = {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()}
@@ -124,6 +124,11 @@ def test_finished_files_round_trip(spark, folder, tmp_path):
     }
     back = logs.scan_preprocessed(spark, path)
     assert back.count() == result.count()
+    assert "seq" not in back.columns
+    for unit in back.select("source_file").distinct().collect():
+        rows = back.filter(F.col("source_file") == unit.source_file)
+        stamps = [r.event_timestamp for r in rows.orderBy("file_order").collect()]
+        assert stamps == sorted(stamps)
     tables = plot_tables(back, None, OPTIONS, "source_file")
     bars = tables["usage"].collect()
     assert {(str(r.segment_date), r.left_hours) for r in bars} >= {("2024-01-01", 0.0)}

@@ -121,7 +121,13 @@ def preprocess(
     )
 
 
-def finished_table(result: Result, options: StudyOptions) -> DataFrame:
-    """Result rows in output form: formatted times, output columns in order."""
+def finished_table(
+    result: Result, options: StudyOptions, keep_seq: bool = False
+) -> DataFrame:
+    """Result rows in output form: formatted times, output columns in order.
+
+    ``keep_seq`` keeps the row number in the unit, which the writer sorts by.
+    """
     rows = cols.format_timestamps(result.rows)
-    return cols.project_output(rows, options, result.unit)
+    keys = [result.unit, C.SEQ] if keep_seq else [result.unit]
+    return cols.project_output(rows, options, *keys)

@@ -36,13 +36,15 @@ def write_preprocessed(
     """One folder per unit below ``path``.
 
     Rows arrive grouped by unit, so no shuffle is needed; the slices of a hot
-    unit are written by several tasks.
+    unit are written by several tasks.  A ``seq`` column gives the order of
+    rows and is not written itself; without it they are sorted by event time.
     """
     df = df.withColumn("output_name", output_name(F.col(unit))).drop(unit)
     if file_format == "csv" and "any_app_usage_flags" in df.columns:
         df = df.withColumn("any_app_usage_flags", flags_text(F.col("any_app_usage_flags")))
-    writer = df.sortWithinPartitions("output_name", "event_timestamp").write
-    writer = writer.partitionBy("output_name").format(file_format)
+    order = C.SEQ if C.SEQ in df.columns else "event_timestamp"
+    df = df.sortWithinPartitions("output_name", order).drop(C.SEQ)
+    writer = df.write.partitionBy("output_name").format(file_format)
     (writer.option("header", True) if file_format == "csv" else writer).save(path)
 
 
