@@ -6,6 +6,7 @@ import pytest
 from compare import connection, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 # ``python tests/compare.py`` runs every query at the next size.
@@ -40,7 +41,9 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
