@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageweave.llm import quality
+from usageweave.llm import byte_bpe, quality
 from usageweave.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -24,6 +24,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every text, and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bpe = byte_bpe.Bpe(spark, path, public_tokenizers.PATTERN)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs).drop("text")
+    return bpe.decode(encoded).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 @register
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and whether it stays."""
