@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageweave.llm import byte_bpe, quality
+from usageweave.llm import byte_bpe, mixing, quality
 from usageweave.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -24,6 +24,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    taken = mixing.plan_mix(docs).taken()
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @register
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every text, and the bytes they decode to, as digests."""
