@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageweave.llm import byte_bpe, mixing, quality
+from usageweave.llm import byte_bpe, line_dedup, mixing, quality, url_filter
 from usageweave.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -49,6 +49,37 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, winning site rule and verdict of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    found = url_filter.judge_urls(pages).select("page_id", "url_filter.*")
+    site_rule = F.when(F.col("rank") == 1, F.col("rule"))
+    return found.select(
+        "page_id",
+        "host",
+        "path",
+        site_rule.alias("rule"),
+        "verdict",
+        F.when(F.col("rank") == 0, F.col("rule")).alias("pattern_rule"),
+    )
+
+
+@register
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every page, how many its host's boilerplate took, and what is left."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    host = url_filter.host_and_path(F.col("url"))[0]
+    lines = line_dedup.html_lines(F.col("html"))
+    out = line_dedup.drop_boilerplate(pages, host, lines)
+    return out.select(
+        "page_id",
+        F.col("line_dedup.n_lines").alias("n_lines"),
+        F.col("line_dedup.n_dropped").alias("n_dropped"),
+        F.sha2(F.array_join("line_dedup.kept", "\n"), 256).alias("kept_sha256"),
+    )
+
+
 @register
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and whether it stays."""

@@ -2,4 +2,75 @@
 
 from __future__ import annotations
 
+from usageweave.llm.line_dedup import BLOCKS, LineOptions
+from usageweave.llm.url_filter import LOWER, PATTERN_RULES, UPPER
+
 ORACLES: dict[str, str] = {}
+
+_REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_URLS = f"""
+SELECT page_id, url, html,
+  translate(regexp_extract({_REST}, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+  regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) AS path
+FROM pages
+"""
+
+
+def _fits(name: str) -> str:
+    host, slash, path = name.partition("/")
+    return (
+        f"((host = '{host}' OR ends_with(host, '.{host}'))"
+        f" AND starts_with(path, '{slash}{path}'))"
+    )
+
+
+#: Longest first, with each rule's verdict.
+_SITE = [
+    ("www.example.com/en/", "allow"),
+    ("example.com/en/", "block"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+    ("com/", "allow"),
+]
+_PATTERNS = sorted(PATTERN_RULES, key=lambda r: (-len(r.name), r.name))
+_RULE = " ".join(f"WHEN {_fits(n)} THEN '{n}'" for n, _ in _SITE)
+_PATTERN = " ".join(
+    f"WHEN regexp_matches(host || path, '{r.pattern}') THEN '{r.name}'" for r in _PATTERNS
+)
+_BLOCKED = ", ".join(f"'{n}'" for n, action in _SITE if action == "block")
+ORACLES["op6_url_filter"] = f"""
+WITH u AS ({_URLS}),
+r AS (SELECT *, CASE {_RULE} END AS rule FROM u),
+p AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {_PATTERN} END END AS pattern_rule FROM r)
+SELECT page_id, host, path, rule, pattern_rule,
+  CASE WHEN rule IN ({_BLOCKED}) OR pattern_rule IS NOT NULL THEN 'block' ELSE 'allow'
+  END AS verdict
+FROM p
+"""
+
+_L = LineOptions()
+_WORD = "regexp_matches(line, '[^\\x20\\x09-\\x0D]')"
+ORACLES["op7_line_dedup"] = f"""
+WITH u AS (
+  SELECT row_number() OVER () AS n, page_id, host,
+    string_split(regexp_replace(html, '</?(?:{BLOCKS})(?: [^>]*)?>', chr(10), 'g'), chr(10))
+      AS lines
+  FROM ({_URLS})),
+l AS (
+  SELECT n, page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM u),
+t AS (SELECT host, count(*) AS pages FROM u GROUP BY host),
+b AS (
+  SELECT host, line FROM l JOIN t USING (host) WHERE {_WORD}
+  GROUP BY host, line, pages
+  HAVING count(DISTINCT n) > 1 AND count(DISTINCT n) > {_L.max_share} * pages
+    AND pages >= {_L.min_pages}),
+k AS (
+  SELECT l.*, b.line IS NOT NULL AS dropped FROM l LEFT JOIN b USING (host, line)),
+g AS (
+  SELECT n, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS kept
+  FROM k GROUP BY n)
+SELECT page_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM u LEFT JOIN g USING (n)
+"""
