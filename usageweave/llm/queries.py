@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageweave.llm import byte_bpe, line_dedup, mixing, quality, url_filter
+from usageweave.llm import byte_bpe, language_id, line_dedup, mixing, quality, url_filter
 from usageweave.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -49,6 +49,16 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the two thirds that aren't held out."""
+    docs = table(spark, folder, "documents")
+    third = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language_id.learn(docs.where(~third).select("lang", "text"))
+    found = language_id.identify(docs.select("doc_id", third.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @register
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, winning site rule and verdict of every page."""
