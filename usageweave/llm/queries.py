@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageweave.llm import byte_bpe, language_id, line_dedup, mixing, quality, url_filter
+from usageweave.llm import byte_bpe, language_id, line_dedup, mixing, quality
+from usageweave.llm import secret_scan, url_filter
 from usageweave.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -24,6 +25,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: base kinds counted, all spans listed."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.find(docs, secret_scan.learn(docs)).drop("text")
+    secrets = F.col("secrets")
+
+    def listed(spans):
+        shown = F.transform(
+            spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+        )
+        return F.array_join(shown, ",")
+
+    def number(kind):
+        return F.size(F.filter(secrets, lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter(secrets, lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select(
+        "doc_id",
+        *[number(k).alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(secrets).alias("spans"),
+        number(secret_scan.FORMAT).alias("n_format"),
+    )
+
+
 @register
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of every document."""
