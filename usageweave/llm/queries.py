@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageweave.llm import byte_bpe, language_id, line_dedup, mixing, quality
-from usageweave.llm import secret_scan, url_filter
+from usageweave.llm import secret_scan, substring_dedup, url_filter
+from usageweave.llm.shared import ship_package
 from usageweave.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -17,8 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def register(function: Callable) -> Callable:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, folder)
+
+    QUERIES[function.__name__] = query
+    return query
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -117,6 +124,14 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document, how many repeated windows cover, and what is left."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = substring_dedup.repeats(docs)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @register
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and whether it stays."""

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import shutil
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageweave.operators.storage import materialise
@@ -27,3 +31,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     size is known, so Spark broadcasts it where it is small and shuffles it where not.
     """
     return materialise(df, name)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of the session, once for each application, so
+    that their Python finds it wherever it was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        base = str(Path(tempfile.mkdtemp(prefix="usageweave-")) / "usageweave")
+        context.addPyFile(shutil.make_archive(base, "zip", root, "usageweave"))
+        _shipped.add(context.applicationId)

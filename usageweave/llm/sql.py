@@ -74,3 +74,24 @@ SELECT page_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dro
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM u LEFT JOIN g USING (n)
 """
+
+_K = 35
+ORACLES["op8_substring_dedup"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT n, unnest(range(1, len(w) - {_K - 2})) AS i, w FROM d WHERE len(w) >= {_K}),
+h AS (SELECT n, i, sha256(array_to_string(w[i:i + {_K - 1}], ' ')) AS h FROM s),
+r AS (SELECT n, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+c AS (SELECT DISTINCT n, unnest(range(i, i + {_K})) AS j FROM r),
+x AS (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+k AS (
+  SELECT x.n, x.j, x.word, c.j IS NOT NULL AS gone FROM x LEFT JOIN c ON x.n = c.n AND x.j = c.j),
+g AS (
+  SELECT n, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '') AS kept FROM k GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (n)
+"""
