@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageweave.llm import byte_bpe, language_id, line_dedup, mixing, quality
-from usageweave.llm import secret_scan, substring_dedup, url_filter
+from usageweave.llm import ngram_join, secret_scan, substring_dedup, url_filter
 from usageweave.llm.shared import ship_package
 from usageweave.llm.sql import ORACLES
 
@@ -66,6 +66,13 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@register
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingles of every document, and its component of near duplicates."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs)
+
+
 @register
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every text, and the bytes they decode to, as digests."""
