@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: Rows a task encodes at a time, and entries of its tables of known pieces and pairs.
+#: Rows a task encodes at a time, and entries of its tables of known texts and pairs.
 SLICE_ROWS = 128
-KNOWN_PIECES = 100_000
+KNOWN_TEXTS = 200_000
 KNOWN_PAIRS = 500_000
 #: A piece may depend on so many characters behind its end (``'re``; spaces and a word).
 REACH = 2
-SPACE_BESIDE_SPACE = re.compile(r"\s | \s")
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -45,7 +45,18 @@ class Vocabulary:
         self.merged = {
             (a, b): i for i, (a, b) in enumerate(zip(left, right)) if b >= 0 <= a
         }
-        self._pairs: dict[tuple[int, int], bool] = {}
+        #: Tokens as a tree: a token's id or -1, and the branches by their next byte.
+        self.tree: tuple[int, dict] = (-1, {})
+        nodes = {b"": self.tree[1]}
+        for token in sorted(self.ids, key=len):
+            at = b""
+            for end in range(1, len(token) + 1):
+                part = token[:end]
+                if part not in nodes:
+                    nodes[part] = {}
+                    nodes[at][part[-1]] = (self.ids.get(part, -1), nodes[part])
+                at = part
+        self._pairs: dict[int, bool] = {}
 
     @classmethod
     def of_ranks(cls, ranks: dict[bytes, int]) -> Vocabulary:
@@ -78,7 +89,8 @@ class Vocabulary:
         The bytes of both, taken apart again merge by merge from the latest, must never
         show two neighbours that would have been merged earlier.
         """
-        known = self._pairs.get((first, second))
+        pair = first << 32 | second
+        known = self._pairs.get(pair)
         if known is not None:
             return known
         if len(self._pairs) >= KNOWN_PAIRS:
@@ -97,7 +109,7 @@ class Vocabulary:
                 bound, a = a, self.right[a]
             else:
                 bound, b = b + 1, self.left[b]
-        self._pairs[first, second] = answer
+        self._pairs[pair] = answer
         return answer
 
 
@@ -138,45 +150,52 @@ class Piece:
         return len(self.data) - start
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+        return _walk_back(self.vocabulary, self.last)
 
 
-class _Known(dict):
-    """Packed ids of pieces met before."""
+def _walk_back(vocabulary: Vocabulary, last: list[int]) -> list[int]:
+    out, end, tokens = [], len(last) - 1, vocabulary.tokens
+    while end:
+        token = last[end]
+        out.append(token)
+        end -= len(tokens[token])
+    return out[::-1]
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
-        self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.vocabulary.ids.get(data)
-        ids = [whole] if whole is not None else Piece(self.vocabulary, data).ids()
-        packed = np.array(ids, "<u4").tobytes()
-        if len(data) <= 64:
-            if len(self) >= KNOWN_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
+def encode_piece(vocabulary: Vocabulary, data: bytes) -> list[int]:
+    """Ids of a piece, by the same table as :class:`Piece`, filled from the front.
+
+    Once a prefix's last token is known, the tokens that begin behind it are offered to
+    the prefixes they end; the first offer that may follow settles a prefix.
+    """
+    size, follows, root = len(data), vocabulary.follows, vocabulary.tree[1]
+    last = [-1] * (size + 1)
+    for start in range(size):
+        before, branches, end = last[start], root, start
+        while end < size and (node := branches.get(data[end])) is not None:
+            token, branches = node
+            end += 1
+            if token >= 0 and last[end] < 0 and (not start or follows(before, token)):
+                last[end] = token
+    return _walk_back(vocabulary, last)
 
 
-class _KnownUnits(dict):
-    """Packed ids of what follows a single space, that space included."""
+class _Known(dict):
+    """Packed ids by text, for texts met lately: those of this and the last generation."""
 
-    def __init__(self, encoder: Encoder) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, unit: str) -> bytes:
-        packed = self.encoder.encode_pieces(" " + unit)
-        if len(unit) <= 64:
-            if len(self) >= KNOWN_PIECES:
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        packed = self.older.get(text)
+        if packed is None:
+            packed = self.make(text)
+        if len(text) <= 64:
+            if len(self) >= KNOWN_TEXTS:
+                self.older = dict(self)
                 self.clear()
-            self[unit] = packed
+            self[text] = packed
         return packed
 
 
@@ -184,8 +203,9 @@ class Encoder:
     """Encodes whole texts; each match of ``pattern`` is a piece of its own.
 
     ``cut_at_spaces`` says that the pattern begins a piece at every space between two
-    characters that are not white space, and looks at nothing before it. What lies
-    between such spaces is then encoded once for each spelling.
+    characters that are not white space, looks at nothing before it, and takes a space
+    and letters as one piece, and one mark behind them as another. What lies between such
+    spaces is then encoded once for each spelling.
     """
 
     def __init__(
@@ -193,17 +213,31 @@ class Encoder:
     ) -> None:
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.cut_at_spaces = cut_at_spaces
-        self._known = _Known(vocabulary)
-        self._units = _KnownUnits(self)
+        self.pieces = _Known(self._encode_piece)
+        self._units = _Known(self._encode_unit)
+
+    def _encode_piece(self, piece: str) -> bytes:
+        data = piece.encode()
+        whole = self.vocabulary.ids.get(data)
+        ids = [whole] if whole is not None else encode_piece(self.vocabulary, data)
+        return np.array(ids, "<u4").tobytes()
+
+    def _encode_unit(self, unit: str) -> bytes:
+        """Ids of a space and what follows it up to the next."""
+        if unit.isalpha():
+            return self.pieces[" " + unit]
+        if unit[:-1].isalpha() and unit[-1] in ".,;:!?":
+            return self.pieces[" " + unit[:-1]] + self.pieces[unit[-1]]
+        return self.encode_pieces(" " + unit)
 
     def encode_pieces(self, text: str) -> bytes:
-        return b"".join(map(self._known.__getitem__, self.pattern.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
         if not self.cut_at_spaces:
             return self.encode_pieces(text)
-        if SPACE_BESIDE_SPACE.search(text):
+        if any(c in text and (c + " " in text or " " + c in text) for c in SPACES):
             first, *units = SINGLE_SPACE.split(text)
         else:
             first, *units = text.split(" ")
@@ -222,7 +256,7 @@ class EncodedText:
         self.ends, self.packed = [], []
         for m in encoder.pattern.finditer(text):
             self.ends.append(m.end())
-            self.packed.append(encoder._known[m[0]])
+            self.packed.append(encoder.pieces[m[0]])
 
     def ids(self) -> list[int]:
         return np.frombuffer(b"".join(self.packed), "<u4").tolist()
@@ -244,7 +278,7 @@ class EncodedText:
                     old = k + 1  # from a common border on, the pieces are the old ones
                     break
             ends.append(m.end())
-            packed.append(self.encoder._known[m[0]])
+            packed.append(self.encoder.pieces[m[0]])
         self.ends[first:] = ends + [e + moved for e in self.ends[old:]]
         self.packed[first:] = packed + self.packed[old:]
         return len(ends)
