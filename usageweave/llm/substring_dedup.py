@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from usageweave.llm.blocks import (
     MIXED,
@@ -87,7 +88,9 @@ def _walk(k: int):
             if len(places):
                 g = places + at
                 # Cut where edges are not neighbours, or either of two neighbours branches.
-                cut = (np.diff(places) > 1) | (behind[g[:-1]] == MIXED) | (before[g[1:]] == MIXED)
+                # (Unequal counts show a branch that the short fingerprints may miss.)
+                cut = (np.diff(places) > 1) | (counts[g[:-1]] != counts[g[1:]])
+                cut |= (behind[g[:-1]] == MIXED) | (before[g[1:]] == MIXED)
                 first = np.concatenate(([0], np.flatnonzero(cut) + 1))
                 for i, n in zip(first, np.diff(first, append=len(places))):
                     start = int(places[i])
@@ -154,33 +157,40 @@ def repeats(docs: DataFrame, options: SubstringOptions = SubstringOptions()) ->
         "substring-walks",
     )
     each = found.select("text_key", F.explode("stretches").alias("s")).select("text_key", "s.*")
-    # Rows with the same words, joined: paths whose coordinates prove them, and the rest.
-    paths = each.groupBy("digest").agg(F.count("*").alias("found"), F.max("count").alias("most"))
-    unproven = stored(
-        paths.where(
-            (F.col("found") < F.col("most"))
-            | ((F.col("most") < MOST) & (F.col("found") != F.col("most")))
-        ).select("digest"),
+    # Rows with the same words, joined: paths with the coordinates of one occurrence.
+    paths = each.groupBy("digest").agg(
+        F.count("*").alias("found"),
+        F.max("count").alias("most"),
+        F.min(F.struct("text_key", "start", "edges")).alias("at"),
+    )
+    # An edge whose occurrences are spread over several paths has none with its count.
+    paths = stored(
+        paths.where((F.col("found") != F.col("most")) | (F.col("most") == MOST)).select(
+            "found", "at.*"
+        ),
         "substring-unproven",
     )
-    if unproven.isEmpty():
+    if paths.where("found = 1").isEmpty():
         return found
-    return _compared(rows, found, each.join(unproven, "digest", "left_semi"), k)
+    return _compared(rows, found, paths, k)
 
 
-def _compared(rows: DataFrame, found: DataFrame, suspects: DataFrame, k: int) -> DataFrame:
-    """``found`` without the windows of ``suspects`` that are nowhere else word by word."""
-    windows = suspects.distinct().select(
-        "text_key", F.explode(F.expr("sequence(start, start + edges - 1)")).alias("place")
+def _compared(rows: DataFrame, found: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+    """``found`` without the windows of paths found once that are nowhere else, neither in
+    their own nor in another of ``paths``, word by word.
+    """
+    windows = paths.select(
+        "text_key", "found", F.explode(F.expr("sequence(start, start + edges - 1)")).alias("place")
     )
-    held = rows.join(suspects.select("text_key").distinct(), "text_key", "left_semi")
-    # Repeated rows are looked at once but count as often as they are there.
-    held = held.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    own = held.select("text_key", "copies", words(F.col("text")).alias("own"))
+    held = rows.join(paths.select("text_key").distinct(), "text_key", "left_semi")
+    held = held.select("text_key", "text").distinct()
+    own = held.select("text_key", words(F.col("text")).alias("own"))
     content = F.sha2(F.array_join(F.slice("own", F.col("place") + 1, F.lit(k)), " "), 256)
-    each = windows.join(own, "text_key").select("text_key", "place", "copies", content.alias("content"))
-    each = stored(each, "substring-windows")
-    alone = each.groupBy("content").agg(F.sum("copies").alias("copies")).where("copies = 1")
+    each = windows.join(own, "text_key")
+    each = stored(
+        each.select("text_key", "place", "found", content.alias("content")), "substring-windows"
+    )
+    alone = each.groupBy("content").agg(F.sum("found").alias("found")).where("found = 1")
     bad = each.join(alone.select("content"), "content", "left_semi")
     bad = stored(
         bad.groupBy("text_key").agg(F.collect_set("place").alias("bad")), "substring-alone"
@@ -189,7 +199,7 @@ def _compared(rows: DataFrame, found: DataFrame, suspects: DataFrame, k: int) ->
         return found
     again = (
         found.join(bad, "text_key")
-        .join(rows.select("text_key", "text").distinct(), "text_key")
+        .join(held, "text_key")
         .select("doc_id", "text_key", "n_words", "text", "stretches", "bad")
     )
     schema = found.schema
@@ -216,7 +226,7 @@ def _compared(rows: DataFrame, found: DataFrame, suspects: DataFrame, k: int) ->
                 row["kept_sha256"] = hashlib.sha256(kept).hexdigest()
                 out.append({n: row[n] for n in schema.names})
             if out:
-                yield pa.RecordBatch.from_pylist(out)
+                yield pa.RecordBatch.from_pylist(out, to_arrow_schema(schema))
 
     fine = found.join(bad, "text_key", "left_anti").select(*schema.names)
     return fine.unionByName(again.mapInArrow(redo, schema))
