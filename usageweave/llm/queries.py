@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageweave.llm import byte_bpe, language_id, line_dedup, mixing, quality
-from usageweave.llm import ngram_join, secret_scan, substring_dedup, url_filter
+from usageweave.llm import hashing_ann, ngram_join, secret_scan, substring_dedup, url_filter
 from usageweave.llm.shared import ship_package
 from usageweave.llm.sql import ORACLES
 
@@ -139,6 +139,13 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@register
+def op9_hashing_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one, among all."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return hashing_ann.neighbours(vectors, F.col("vec_id") % 100 == 0)
+
+
 @register
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and whether it stays."""
