@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usageweave.llm.blocks import (
@@ -117,6 +117,7 @@ def _sets(options: JoinOptions):
                 shared.append(None)
         columns = {
             "doc_id": rows.column("doc_id"),
+            "text_hash": rows.column("text_hash"),
             "text_key": pa.array([m.tobytes() for m in marks], pa.binary()),
             "size": pa.array(sizes, pa.int64()),
             "rare": pa.array(rare, pa.int32()),
@@ -130,11 +131,12 @@ def _sets(options: JoinOptions):
 
 
 def shingle_sets(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """doc_id, text_key (equal for equal sets), size, and for texts that may join: how
-    many shingles are theirs alone, the prefix without these, shingles by part of the
+    """doc_id, text_hash, text_key (equal for equal sets), size, and for texts that may
+    join: how many shingles are theirs alone, the prefix without these, shingles by part of the
     range, and all shingles that others have, too.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
     blocks, groups = in_blocks(rows, ["doc_id"])
 
     def keys_of(texts: list[bytes]):
@@ -143,7 +145,7 @@ def shingle_sets(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataF
     totals = count_keys(blocks, groups, keys_of)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return with_totals(
-        blocks, totals, groups, keys_of, _sets(options), f"doc_id {id_type}, {SETS}"
+        blocks, totals, groups, keys_of, _sets(options), f"doc_id {id_type}, text_hash long, {SETS}"
     )
 
 
@@ -298,7 +300,9 @@ def links(sets: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, text_hash, component) for each row of ``docs``
+    (doc_id, text); text_hash tells rows of one id apart, and component is null for texts
+    that can link with nothing.
 
     component_id is the smallest doc_id that a chain of links reaches. Null and empty
     texts have no shingles and link with nothing; repeated rows link with each other.
@@ -311,13 +315,43 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
         join.compare(join.one_each(turn))
     join.compare(join.rest())
     members = sets.where("size > 0 AND shared IS NOT NULL").select(
-        "doc_id", "size", F.col("text_key").alias("node")
+        "doc_id", "text_hash", "size", F.col("text_key").alias("node")
     )
     members = members.join(join.labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     lowest = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = members.join(lowest, "component")
-    alone = sets.where("size = 0 OR shared IS NULL").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", F.col("size").alias("n_shingles"), "component_id"]
+    alone = sets.where("size = 0 OR shared IS NULL").withColumns(
+        {"component_id": F.col("doc_id"), "component": F.lit(None).cast("binary")}
+    )
+    columns = ["doc_id", F.col("size").alias("n_shingles"), "component_id", "text_hash", "component"]
     return alone.select(*columns).unionByName(joined.select(*columns))
+
+
+def one_of_each(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+    """``docs`` with one row left of each component: that of the smallest doc_id, and of
+    several rows with this id, that with the smallest hash of its text. Texts without
+    words stay. All columns of ``docs`` come back, whatever their names.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), options).where("component IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    best = found.groupBy("component").agg(F.min(place).alias("best"))
+    marked = (
+        found.join(best, "component")
+        .select(
+            F.col("doc_id").alias("of_doc"),
+            F.col("text_hash").alias("of_text"),
+            (place == F.col("best")).alias("stays"),
+        )
+        .groupBy("of_doc", "of_text")
+        .agg(F.max("stays").alias("stays"))
+    )
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    text = F.xxhash64(F.col("text").cast("string"))
+    df = docs.select(row, F.col("doc_id").alias("_doc"), text.alias("_text"))
+    df = df.join(marked, F.expr("_doc <=> of_doc AND _text = of_text"), "left")
+    # The same row again is one more member of its component.
+    nth = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy("_text"))
+    df = df.withColumn("_nth", nth).where("stays IS NULL OR (stays AND _nth = 1)")
+    return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -244,4 +244,5 @@ def judge(
         "word_distance",
     )
     columns = [F.col("_row")[c].alias(c) for c in docs.columns if c != "quality"]
-    return df.select(*columns, quality.alias("quality"))
+    # Through an explode, a filter on the verdict isn't pushed down into copies of all this.
+    return df.select(*columns, F.explode(F.array(quality)).alias("quality"))

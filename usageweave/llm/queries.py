@@ -70,7 +70,7 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Shingles of every document, and its component of near duplicates."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return ngram_join.near_duplicates(docs)
+    return ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 
 @register
