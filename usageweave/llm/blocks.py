@@ -86,7 +86,7 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
                 total = total[:m] * power + part[done : done + m]
             done += size
         part = part[: len(part) - size] * power + part[size:] if len(part) > size else part[:0]
-        power, size = power * power, 2 * size
+        power, size = (power.reshape(1) * power)[0], 2 * size
     return mix(total) >> np.uint64(64 - KEY_BITS)
 
 
@@ -122,14 +122,15 @@ def _group_starts(keys: np.ndarray, groups: int) -> np.ndarray:
     return np.concatenate(([0], inner, [len(keys)])).astype(np.int64)
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    return keys.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+def packed(keys: np.ndarray, dropped: int = 0) -> bytes:
+    """Keys without their ``dropped`` lowest bytes."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, dropped : KEY_BITS // 8].tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    width = KEY_BITS // 8
+def unpacked(data: bytes, dropped: int = 0) -> np.ndarray:
+    width = KEY_BITS // 8 - dropped
     out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out[:, dropped : KEY_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view(np.uint64).ravel()
 
 
@@ -160,13 +161,14 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 Keys = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
-def count_keys(docs: DataFrame, groups: int, keys_of: Keys) -> DataFrame:
+def count_keys(docs: DataFrame, groups: int, keys_of: Keys, dropped: int = 0) -> DataFrame:
     """(block, key_group, totals): what all blocks together have of each key of a block,
     one column for each of the block's keys in this group, in their order.
 
     ``keys_of`` gives the keys of a block's texts, repeats included, and their values:
     a row of counts (ones) and any rows of tags, all unsigned bytes. Counts add up to at
-    most :data:`MOST`; of tags the common one or :data:`MIXED` remains.
+    most :data:`MOST`; of tags the common one or :data:`MIXED` remains. The ``dropped``
+    lowest bytes of keys are not sent; they must be zero.
     """
 
     def send(table: pa.Table) -> pa.Table:
@@ -178,13 +180,13 @@ def count_keys(docs: DataFrame, groups: int, keys_of: Keys) -> DataFrame:
         columns = {
             "key_group": pa.array(full, pa.int64()),
             "block": pa.array([block] * len(full), pa.int64()),
-            "keys": pa.array([_packed(keys[p]) for p in parts], pa.binary()),
+            "keys": pa.array([packed(keys[p], dropped) for p in parts], pa.binary()),
             "values": pa.array([values[:, p].tobytes() for p in parts], pa.binary()),
         }
         return pa.table(columns)
 
     def add_up(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(k) for k in table.column("keys").to_pylist()]
+        parts = [unpacked(k, dropped) for k in table.column("keys").to_pylist()]
         sizes = [len(p) for p in parts]
         values = np.concatenate(
             [

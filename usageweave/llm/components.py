@@ -17,8 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     written out after each round, which cuts the lineage.
     """
     edges = edges.select("a", "b").where("a <> b")
-    both = edges.unionByName(edges.selectExpr("b AS a", "a AS b")).distinct()
-    both = stored(both, "component-edges")
+    both = stored(edges.unionByName(edges.selectExpr("b AS a", "a AS b")), "component-edges")
     labels = stored(
         both.groupBy("a").agg(F.min("b").alias("low")).select(
             F.col("a").alias("node"), F.least("a", "low").alias("component")

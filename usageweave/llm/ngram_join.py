@@ -4,15 +4,15 @@ Every text is the set of its ``n``-word shingles, as 56-bit hashes. All sets are
 alike: shingles by how often they occur in all texts, rarest first. Two sets that are
 similar enough share one of the first ``size - ceil(t * size) + 1`` shingles of each, so
 only these are joined; shingles that occur once can't join, and most texts have nothing
-else in front. Lengths, the places of the common shingle, and counts of the sets' shingles
-by part of their range rule out pairs before the sets themselves are compared, once for
-each pair.
+else in front. Lengths, the places of the common shingle, and the parities of the sets'
+shingles by part of their range, which differ in no more parts than the sets in shingles,
+rule out pairs before the sets themselves are compared, once for each pair.
 
 Texts with equal sets are one class and are joined as one. Within the classes that share a
-shingle not all pairs are looked at: in each of a few rounds every class is compared with
-one class that it shares most shingles with, and what is found alike is one group. Then
-all pairs that are still in different groups are compared, so no group is missed and large
-families of near copies cost a few comparisons a member.
+shingle not all pairs are looked at: first every class is compared with the likeliest of a
+few that are picked for each shingle, and what is found alike is one group. Then all pairs
+that are still in different groups are compared, so no group is missed, and a large family
+of near copies costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from usageweave.llm.blocks import (
     count_keys,
     in_blocks,
     mix,
+    packed,
+    unpacked,
     whole_windows,
     window_hashes,
     with_totals,
@@ -38,8 +40,11 @@ from usageweave.llm.blocks import (
 from usageweave.llm.components import components
 from usageweave.llm.shared import stored
 
-#: Parts of the hash range whose shingles are counted for the last filter before a look.
-PARTS = 16
+#: Parts of the hash range for whose shingles parities are kept, 64 in a number.
+PARTS = 512
+SKETCH = [f"s{i}" for i in range(PARTS // 64)]
+#: Lowest bytes of keys that are not needed to count them, and to compare two sets.
+UNCOUNTED, UNCOMPARED = 1, 2
 
 
 @dataclass(frozen=True)
@@ -48,8 +53,8 @@ class JoinOptions:
     n: int = 4
     #: Least similarity in percent.
     percent: int = 85
-    #: Rounds in which each class is compared with one other.
-    rounds: int = 2
+    #: Classes picked for each shingle to compare the others with.
+    picks: int = 2
 
 
 def _shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +76,13 @@ def _shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _keys(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     keys = _shingles(texts, n)[0]
-    return keys, np.ones((1, len(keys)), np.uint8)
+    shift = np.uint64(8 * UNCOUNTED)
+    return keys >> shift << shift, np.ones((1, len(keys)), np.uint8)
 
 
 SETS = (
     "text_key binary, size long, rare int, prefix array<long>,"
-    " parts array<int>, shared binary"
+    " sketch array<long>, shared binary"
 )
 
 
@@ -84,7 +90,7 @@ def _sets(options: JoinOptions):
     """The work on a block: each text's set; what is joined only where it can join."""
 
     def work(rows, texts, keys, totals):
-        owner = _shingles(texts, options.n)[1]
+        keys, owner = _shingles(texts, options.n)
         n_texts = len(texts)
         # Distinct shingles of each text, rarest first and then by hash.
         order = np.lexsort((keys, totals[0], owner))
@@ -101,19 +107,20 @@ def _sets(options: JoinOptions):
         marks = np.stack([s[ends] - s[ends - sizes] for s in sums], axis=1)
         rare = np.bincount(owner[counts == 1], minlength=n_texts)
         reach = sizes - -(-options.percent * sizes // 100) + 1
-        part = (keys >> np.uint64(KEY_BITS - 4)).astype(np.int64)
-        by_part = np.bincount(owner * PARTS + part, minlength=n_texts * PARTS).reshape(-1, PARTS)
-        prefix, parts, shared = [], [], []
+        part = owner * PARTS + (mix(keys) % np.uint64(PARTS)).astype(np.int64)
+        odd = (np.bincount(part, minlength=n_texts * PARTS) & 1).astype(np.uint8)
+        sketches = np.packbits(odd.reshape(n_texts, -1), axis=1).view(np.int64)
+        prefix, sketch, shared = [], [], []
         for i in range(n_texts):
             start = ends[i] - sizes[i]
             if sizes[i] and rare[i] < reach[i]:
                 own = keys[start + rare[i] : ends[i]]
                 prefix.append(own[: reach[i] - rare[i]].astype(np.int64))
-                parts.append(by_part[i].astype(np.int32))
-                shared.append(np.sort(own).tobytes())
+                sketch.append(sketches[i])
+                shared.append(packed(np.sort(own), UNCOMPARED))
             else:
                 prefix.append(None)
-                parts.append(None)
+                sketch.append(None)
                 shared.append(None)
         columns = {
             "doc_id": rows.column("doc_id"),
@@ -122,7 +129,7 @@ def _sets(options: JoinOptions):
             "size": pa.array(sizes, pa.int64()),
             "rare": pa.array(rare, pa.int32()),
             "prefix": pa.array(prefix, pa.list_(pa.int64())),
-            "parts": pa.array(parts, pa.list_(pa.int32())),
+            "sketch": pa.array(sketch, pa.list_(pa.int64())),
             "shared": pa.array(shared, pa.binary()),
         }
         return pa.table(columns)
@@ -132,7 +139,7 @@ def _sets(options: JoinOptions):
 
 def shingle_sets(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """doc_id, text_hash, text_key (equal for equal sets), size, and for texts that may
-    join: how many shingles are theirs alone, the prefix without these, shingles by part of the
+    join: how many shingles are theirs alone, the prefix without these, parities by part of the
     range, and all shingles that others have, too.
     """
     text = F.col("text").cast("string")
@@ -142,25 +149,38 @@ def shingle_sets(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataF
     def keys_of(texts: list[bytes]):
         return _keys(texts, options.n)
 
-    totals = count_keys(blocks, groups, keys_of)
+    totals = count_keys(blocks, groups, keys_of, UNCOUNTED)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return with_totals(
         blocks, totals, groups, keys_of, _sets(options), f"doc_id {id_type}, text_hash long, {SETS}"
     )
 
 
+def _least(percent: int) -> str:
+    """Fewest common shingles of sets of sizes x.size and y.size that are similar enough."""
+    return f"(({percent} * (x.size + y.size) + {99 + percent}) div {100 + percent})"
+
+
+def _differ() -> str:
+    """In how many parts the sketches of ``x`` and ``y`` differ."""
+    return "(" + " + ".join(f"bit_count(x.{s} ^ y.{s})" for s in SKETCH) + ")"
+
+
 class _Join:
     """Classes of equal sets, their prefixes by shingle, and the links found so far."""
 
     def __init__(self, sets: DataFrame, options: JoinOptions) -> None:
         self.options = options
-        one = F.first(F.struct("size", "rare", "prefix", "parts", "shared"))
-        self.classes = stored(
+        one = F.first(F.struct("size", "rare", "prefix", "sketch", "shared"))
+        classes = (
             sets.where("shared IS NOT NULL")
             .groupBy(F.col("text_key").alias("node"))
             .agg(one.alias("set"))
-            .select("node", "set.*"),
-            "join-classes",
+            .select("node", "set.*")
+        )
+        sketch = [F.col("sketch")[i].alias(s) for i, s in enumerate(SKETCH)]
+        self.classes = stored(
+            classes.select("node", "size", "rare", "prefix", *sketch, "shared"), "join-classes"
         )
         each = self.classes.select("node", "size", "rare", F.posexplode("prefix").alias("at", "key"))
         each = each.select("key", "node", "size", (F.col("rare") + F.col("at")).alias("place"))
@@ -170,119 +190,104 @@ class _Join:
         self.seen: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def grouped(self) -> DataFrame:
-        """Postings with each class's group so far, of shingles in several groups."""
-        p = self.postings
-        if self.labels is None:
-            return p.withColumn("component", F.col("node"))
-        p = p.join(self.labels, "node", "left").withColumn(
-            "component", F.coalesce("component", "node")
-        )
-        spread = p.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        return p.join(spread.where("low <> high").select("key"), "key")
-
-    def alike(self, joined: DataFrame) -> DataFrame:
-        """Those pairs ``x``, ``y`` that share a shingle and may be similar by their sizes
+    def _may_be_alike(self) -> str:
+        """Whether ``x`` and ``y``, which share a shingle, may be similar by their sizes
         and by what is left behind the shingle's places. (Behind their first common
         shingle that bounds all they share; by a later one a pair may be passed over.)
         """
         t = self.options.percent
-        return joined.where(
+        return (
             f"100 * y.size >= {t} * x.size AND 100 * x.size >= {t} * y.size"
-            f" AND least(x.size - x.place, y.size - y.place) >= {_least('x.size', 'y.size', t)}"
-        ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            f" AND least(x.size - x.place, y.size - y.place) >= {_least(t)}"
+        )
+
+    def _sketches_near(self) -> str:
+        return f"{_differ()} <= x.size + y.size - 2 * {_least(self.options.percent)}"
 
-    def one_each(self, turn: int) -> DataFrame:
-        """For each class one other to compare it with: of the classes that are picked
-        for a shingle, one for each, the one with which it shares most shingles.
+    def likeliest(self) -> DataFrame:
+        """For each class one other to compare it with: of those picked for its shingles
+        the one whose sketch is nearest.
         """
-        p = stored(self.grouped(), "join-grouped")
-        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "place", "component"))
-        picked = p.groupBy("key").agg(first.alias("p")).select("key", "p.*")
-        joined = p.alias("x").join(
-            picked.alias("y"), F.expr("x.key = y.key AND x.component <> y.component")
+        turns = F.explode(F.array(*[F.lit(t) for t in range(self.options.picks)]))
+        first = F.struct(F.xxhash64("node", "turn").alias("h"), "node", "size", "place")
+        picked = (
+            self.postings.withColumn("turn", turns)
+            .groupBy("key", "turn")
+            .agg(F.min(first).alias("p"))
+            .select("key", "p.*")
+        )
+        near = f"x.key = y.key AND x.node <> y.node AND {self._may_be_alike()}"
+        pairs = self.postings.alias("x").join(picked.alias("y"), F.expr(near))
+        pairs = pairs.selectExpr("x.node AS a", "y.node AS b").distinct()
+        narrow = self.classes.select("node", "size", *SKETCH)
+        sketched = (
+            pairs.join(narrow.alias("x"), F.expr("a = x.node"))
+            .join(narrow.alias("y"), F.expr("b = y.node"))
+            .where(self._sketches_near())
+            .select("a", F.struct(F.expr(_differ()).alias("differ"), "b").alias("to"))
         )
-        pairs = self.unseen(self.alike(joined).groupBy("a", "b").count())
-        best = F.max_by("b", F.struct("count", "b")).alias("b")
-        return pairs.groupBy("a").agg(best)
+        return sketched.groupBy("a").agg(F.min("to")["b"].alias("b"))
 
     def rest(self) -> DataFrame:
-        """All pairs between groups. Members of a shingle's largest group are joined with
-        the others only, not with each other.
+        """All pairs of different groups. Members of a shingle's largest group are joined
+        with the others only, not with each other.
         """
-        p = stored(self.grouped(), "join-grouped")
+        p = self.postings.join(self.labels, "node", "left").withColumn(
+            "component", F.coalesce("component", "node")
+        )
         sizes = p.groupBy("key", "component").count()
         largest = sizes.groupBy("key").agg(
-            F.max_by("component", F.struct("count", "component")).alias("largest")
+            F.max_by("component", F.struct("count", "component")).alias("largest"),
+            F.count("*").alias("groups"),
         )
-        others = p.join(largest, "key").where("component <> largest")
-        joined = others.alias("x").join(
-            p.alias("y"), F.expr("x.key = y.key AND x.component <> y.component")
+        p = p.join(largest.where("groups > 1"), "key")
+        p = stored(p.join(self.classes.select("node", *SKETCH), "node"), "join-grouped")
+        near = (
+            "x.key = y.key AND x.component <> y.component"
+            f" AND {self._may_be_alike()} AND {self._sketches_near()}"
         )
-        return self.unseen(self.alike(joined))
+        pairs = p.where("component <> largest").alias("x").join(p.alias("y"), F.expr(near))
+        return pairs.selectExpr("x.node AS a", "y.node AS b")
 
     def every_pair(self) -> DataFrame:
-        joined = self.postings.alias("x").join(
-            self.postings.alias("y"), F.expr("x.key = y.key AND x.node < y.node")
-        )
-        return self.alike(joined).distinct()
-
-    def unseen(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` with the smaller node first, once each, without those compared."""
-        more = [c for c in pairs.columns if c not in ("a", "b")]
-        if not more:
-            pairs = pairs.select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-            ).distinct()
-        if self.seen is None:
-            return pairs
-        turned = self.seen.selectExpr("b AS a", "a AS b")
-        return pairs.join(self.seen.unionByName(turned), ["a", "b"], "left_anti")
+        near = f"x.key = y.key AND x.node < y.node AND {self._may_be_alike()}"
+        pairs = self.postings.alias("x").join(self.postings.alias("y"), F.expr(near))
+        return pairs.selectExpr("x.node AS a", "y.node AS b")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs``: those whose sets are similar enough."""
-        t = self.options.percent
-        pairs = stored(
-            pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-            "join-pairs",
-        )
-        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        narrow = self.classes.select("node", "size", "parts")
-        x = narrow.withColumnsRenamed({"node": "a", "size": "a_size", "parts": "a_parts"})
-        y = narrow.withColumnsRenamed({"node": "b", "size": "b_size", "parts": "b_parts"})
-        apart = F.aggregate(
-            F.zip_with("a_parts", "b_parts", lambda i, j: F.abs(i - j)), F.lit(0), lambda n, d: n + d
-        )
-        near = (
-            pairs.join(x, "a")
-            .join(y, "b")
-            .withColumn("least", F.expr(_least("a_size", "b_size", t)))
-            .where(apart <= F.col("a_size") + F.col("b_size") - 2 * F.col("least"))
-            .select("a", "b", "least")
-        )
-        sets = self.classes.select("node", "shared")
-        held = near.join(sets.withColumnsRenamed({"node": "a", "shared": "a_set"}), "a").join(
-            sets.withColumnsRenamed({"node": "b", "shared": "b_set"}), "b"
+        """Links among ``pairs`` not compared yet: those whose sets are similar enough."""
+        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        once = once.distinct()
+        if self.seen is not None:
+            once = once.join(self.seen, ["a", "b"], "left_anti")
+        once = stored(once, "join-pairs")
+        self.seen = once if self.seen is None else self.seen.unionByName(once)
+        sets = self.classes.select("node", "size", "shared")
+        held = (
+            once.join(sets.alias("x"), F.expr("a = x.node"))
+            .join(sets.alias("y"), F.expr("b = y.node"))
+            .select(
+                "a",
+                "b",
+                F.expr(_least(self.options.percent)).alias("least"),
+                F.col("x.shared").alias("a_set"),
+                F.col("y.shared").alias("b_set"),
+            )
         )
         found = stored(held.mapInArrow(_verified, "a binary, b binary, common long"), "join-links")
         self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links)
         return found
 
-
-def _least(a: str, b: str, percent: int) -> str:
-    """Fewest common shingles of sets of sizes ``a`` and ``b`` that are similar enough."""
-    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+    def regroup(self) -> None:
+        self.labels = components(self.links)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            sets = [np.frombuffer(row[c], np.uint64) for c in ("a_set", "b_set")]
-            common = len(np.intersect1d(*sets, assume_unique=True))
+            sets = [unpacked(row[c], UNCOMPARED) for c in ("a_set", "b_set")]
+            common = len(np.intersect1d(*sets))
             if common >= row["least"]:
                 rows.append({"a": row["a"], "b": row["b"], "common": common})
         if rows:
@@ -311,9 +316,10 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
     """
     sets = stored(shingle_sets(docs, options), "join-sets")
     join = _Join(sets.where("size > 0"), options)
-    for turn in range(options.rounds):
-        join.compare(join.one_each(turn))
+    join.compare(join.likeliest())
+    join.regroup()
     join.compare(join.rest())
+    join.regroup()
     members = sets.where("size > 0 AND shared IS NOT NULL").select(
         "doc_id", "text_hash", "size", F.col("text_key").alias("node")
     )
