@@ -45,19 +45,16 @@ STRETCHES = "array<struct<start:int,edges:int,count:int,digest:binary>>"
 
 
 def _edges(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all windows in order of texts and words; their ones and two tags: short
-    fingerprints of the edges before and behind, or mixed at a text's ends.
+    """Keys of all windows in order of texts and words; their ones, and as a tag a short
+    fingerprint of the edge behind, or mixed at a text's end.
     """
     hashes, counts = word_hashes(texts)
     whole = whole_windows(counts, k)
     keys = window_hashes(hashes, k)[whole]
-    values = np.ones((3, len(keys)), np.uint8)
-    print_of = (mix(keys) % np.uint64(MIXED)).astype(np.uint8)
+    values = np.ones((2, len(keys)), np.uint8)
+    values[1, :-1] = (mix(keys[1:]) % np.uint64(MIXED)).astype(np.uint8)
     windows = np.maximum(counts - k + 1, 0)
-    ends = np.cumsum(windows)[windows > 0]
-    starts = ends - windows[windows > 0]
-    values[1, 1:], values[2, :-1] = print_of[:-1], print_of[1:]
-    values[1, starts], values[2, ends - 1] = MIXED, MIXED
+    values[1, np.cumsum(windows)[windows > 0] - 1] = MIXED
     return keys, values
 
 
@@ -76,7 +73,7 @@ def _walk(k: int):
     """The work on a block: a row for each document with its stretches."""
 
     def work(rows, texts, keys, totals):
-        counts, before, behind = totals
+        counts, behind = totals
         repeated = counts > 1
         n_words, removed, digests, stretches = [], [], [], []
         at = 0
@@ -87,10 +84,9 @@ def _walk(k: int):
             found = []
             if len(places):
                 g = places + at
-                # Cut where edges are not neighbours, or either of two neighbours branches.
-                # (Unequal counts show a branch that the short fingerprints may miss.)
-                cut = (np.diff(places) > 1) | (counts[g[:-1]] != counts[g[1:]])
-                cut |= (behind[g[:-1]] == MIXED) | (before[g[1:]] == MIXED)
+                # Cut where edges are not neighbours, or the path branches between them.
+                cut = (np.diff(places) > 1) | (behind[g[:-1]] == MIXED)
+                cut |= counts[g[:-1]] != counts[g[1:]]
                 first = np.concatenate(([0], np.flatnonzero(cut) + 1))
                 for i, n in zip(first, np.diff(first, append=len(places))):
                     start = int(places[i])
