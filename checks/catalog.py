@@ -19,7 +19,7 @@ from usageweave.operators import timeline, timezones
 from usageweave.operators.storage import materialise, scratch_folder
 from usageweave.operators.units import by_unit
 from usageweave.plans.jobs import categorise, plot_tables
-from usageweave.plans.preprocess import finished_table, preprocess
+from usageweave.plans.preprocess import BAD_TIME, BAD_ZONE, finished_table, preprocess
 from usageweave.sources import logs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -744,6 +744,7 @@ def _run(spark, folder, opts=FULL, raw=None, keep_stages=False):
 _REPORT_SQL = q.with_(
     q.full(FULL),
     """report AS (SELECT participant_id, rows_in, CAST(0 AS BIGINT) AS unreadable_times,
+      CAST(0 AS BIGINT) AS unusable_zones,
       has_valid, has_filtered, coalesce(rows_kept, 0) AS rows_kept,
       coalesce(missing_ends, 0) AS missing_ends, coalesce(disordered, 0) AS disordered,
       CASE WHEN coalesce(disordered, 0) > 0 THEN 'error' WHEN has_valid THEN 'processed'
@@ -767,6 +768,58 @@ def _(spark, folder):
     return _run(spark, folder, keep_stages=True).report()
 
 
+# Some devices name a zone that does not exist, some have no readable time.
+_USER = "CAST(substring(participant_id, 2) AS INT)"
+_NO_TIME, _NO_ZONE = f"{_USER} % 11 = 5", f"{_USER} % 7 = 3"
+_BAD_SQL = f"""bad AS (SELECT participant_id, CASE WHEN {_NO_TIME} THEN '{BAD_TIME}'
+      WHEN {_NO_ZONE} THEN '{BAD_ZONE}' END AS reason, count(*) AS rows FROM log GROUP BY 1, 2)"""
+
+
+def _run_with_bad_units(spark, folder):
+    raw = fr.text_log(spark, folder).withColumns(
+        {
+            "event_timestamp": F.expr(f"CASE WHEN {_NO_TIME} THEN 'x' ELSE event_timestamp END"),
+            "timezone": F.expr(f"CASE WHEN {_NO_ZONE} THEN 'Mars/Base' ELSE timezone END"),
+        }
+    )
+    return _run(spark, folder, raw=raw, keep_stages=True)
+
+
+@register(
+    "quarantine_reasons",
+    q.with_(q.log(), _BAD_SQL) + "SELECT * FROM bad WHERE reason IS NOT NULL",
+)
+def _(spark, folder):
+    rows = _run_with_bad_units(spark, folder).quarantine
+    return rows.groupBy("participant_id", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register(
+    "unit_report_bad_units",
+    q.with_(q.log(), _BAD_SQL)
+    + f"""SELECT participant_id, rows AS rows_in, CASE WHEN reason = '{BAD_TIME}' THEN rows
+      ELSE 0 END AS unreadable_times, CASE WHEN reason = '{BAD_ZONE}' THEN rows ELSE 0 END
+      AS unusable_zones, CAST(0 AS BIGINT) AS rows_kept, CASE WHEN reason = '{BAD_TIME}'
+      THEN 'No readable event timestamp' ELSE 'No usable primary time zone' END AS message
+      FROM bad WHERE reason IS NOT NULL""",
+)
+def _(spark, folder):
+    report = _run_with_bad_units(spark, folder).report().filter("status = 'error'")
+    return report.select(
+        "participant_id", "rows_in", "unreadable_times", "unusable_zones", "rows_kept", "message"
+    )
+
+
+@register(
+    "unknown_types_of_run",
+    q.with_(q.log(), q.named())
+    + f"""SELECT kind AS interaction_type, count(*) AS rows FROM named
+      WHERE kind NOT IN {q.in_list(C.MAPPED_TYPES)} GROUP BY 1""",
+)
+def _(spark, folder):
+    return _run(spark, folder).unknown_types()
+
+
 @register(
     "run_summary",
     _REPORT_SQL

@@ -88,7 +88,8 @@ def test_common_header_is_read_directly(spark, tmp_path):
 
 def test_folder_to_finished_table(spark, folder):
     raw = materialise(logs.scan_raw(spark, folder), "raw")
-    result = preprocess(raw, OPTIONS, keep_stages=True)
+    listed = files.list_files(spark, folder)
+    result = preprocess(raw, OPTIONS, keep_stages=True, files=listed)
     out = finished_table(result, OPTIONS).filter("interaction_type = 'App Usage'")
     got = {
         (r.participant_id, r.start_timestamp, r.stop_timestamp, r.duration_seconds)
@@ -99,9 +100,7 @@ def test_folder_to_finished_table(spark, folder):
     assert ("P1", "01-01-2024 00:00:00", "01-01-2024 00:10:00", 600.0) in got
     assert ("P2", "01-01-2024 00:00:00", "01-01-2024 00:41:00", 2460.0) in got
     assert result.quarantine.count() == 1
-    report = reports.with_empty_units(
-        result.report(), files.list_files(spark, folder), "source_file"
-    )
+    report = result.report()
     status = {r.source_file.rsplit("/", 1)[1]: (r.status, r.message) for r in report.collect()}
     assert status == {
         "Raw P1+a.csv": ("processed", None),
@@ -134,12 +133,55 @@ def test_finished_files_round_trip(spark, folder, tmp_path):
     assert {(str(r.segment_date), r.left_hours) for r in bars} >= {("2024-01-01", 0.0)}
     assert tables["dates"].count() == 5
     assert tables["gaps"].count() > 0
-    mapped = back.withColumn("source_file", F.lit("/x/one.csv")).drop("event_local")
     target = str(tmp_path / "mapped")
-    sinks.write_categorised(mapped.select("app_package_name", "source_file"), target)
-    assert [p.name for p in (tmp_path / "mapped").iterdir() if p.is_dir()] == [
-        "output_name=one_with_categories"
-    ]
+    sinks.write_categorised(back.select("app_package_name", "source_file"), target)
+    assert {p.name for p in (tmp_path / "mapped").iterdir() if p.is_dir()} == {
+        "output_name=P1+a Automatically Preprocessed_with_categories",
+        "output_name=P2 Automatically Preprocessed_with_categories",
+    }
+
+
+def test_written_units_stay_apart_and_in_order(spark, tmp_path):
+    """Equal stems, dotted ids, and text times that fall back with the clock."""
+    times = ["2024-11-03T05:30:00Z", "2024-11-03T06:10:00Z", "2024-11-03T07:00:00Z"]
+    for site in ("siteA", "siteB"):
+        (tmp_path / "in" / site).mkdir(parents=True)
+        lines = [HEAD, *[row(site, t) for t in times]]
+        (tmp_path / "in" / site / "Raw P1.csv").write_text("\n".join(lines))
+    (tmp_path / "in" / "Raw nohead.csv").write_text(row("P9", times[0]) + "\n")
+    raw = materialise(logs.scan_raw(spark, str(tmp_path / "in")), "raw")
+    listed = files.list_files(spark, str(tmp_path / "in"))
+    options = StudyOptions(selected_timezone="America/Chicago", removed_types=())
+    result = preprocess(raw, options, files=listed)
+    status = {r.source_file.rsplit("/", 1)[1]: r.status for r in result.report().collect()}
+    assert status["Raw nohead.csv"] == "error"
+    for unit, n_units in (("source_file", 2), ("participant_id", 2)):
+        table = finished_table(result, options, keep_seq=True)
+        if unit == "participant_id":
+            dotted = F.concat(F.lit("S1.00"), F.when(F.col("source_file").contains("A"), "1").otherwise("2"))
+            table = table.withColumn(unit, dotted).drop("source_file")
+        path = str(tmp_path / f"out-{unit}")
+        sinks.write_preprocessed(table, path, unit, "csv")
+        back = logs.scan_preprocessed(spark, path)
+        found = {}
+        for r in back.orderBy("source_file", "file_order").collect():
+            found.setdefault(r.source_file, []).append(r.event_timestamp)
+        assert len(found) == n_units
+        for stamps in found.values():
+            assert len(stamps) >= 3 and stamps == [s for s in stamps if s]
+            hours = [s[11:16] for s in stamps]
+            assert hours == sorted(hours, key=lambda h: ["00:30", "01:10", "01:00"].index(h))
+    with pytest.raises(ValueError, match="keep_seq"):
+        sinks.write_preprocessed(finished_table(result, options), str(tmp_path / "x"), "source_file")
+
+
+def test_local_time_of_finished_rows_ignores_the_offset(spark):
+    rows = [("2024-01-01 00:00:00-05:00",), ("2024-01-01 00:00:00.250000+02:00",), (None,)]
+    df = spark.createDataFrame(rows, "event_timestamp string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("start_timestamp", "stop_timestamp")}
+    )
+    got = [r.event_local for r in logs.finished_types(df).collect()]
+    assert [str(x) for x in got] == ["2024-01-01 00:00:00", "2024-01-01 00:00:00.250000", "None"]
 
 
 def test_finished_files_without_times_are_skipped(spark, tmp_path):

@@ -176,23 +176,26 @@ def test_hot_units_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(units, "MAX_HOT_UNITS", 2)
     rows = random_log(12, 3, 60)
     options = presets("all", hot_unit_rows=40, slice_rows=20)
-    # Three units of 60 rows: no more than two could be above half the rows.
-    assert [ln.slices for _, ln in split_lanes(frame(spark, rows), options)] == [0]
+    with pytest.raises(ValueError, match="raise hot_unit_rows"):
+        split_lanes(frame(spark, rows), options)
 
 
-def test_large_dimensions_are_not_broadcast(spark, monkeypatch):
+def test_large_dimensions_are_not_broadcast(spark):
     log = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "k string")
     table = spark.createDataFrame([("a", 1), ("c", 2)], "k string, v int")
 
     def joined():
         df = units.lookup_join(log, table, ["k"])
-        logical = df._jdf.queryExecution().logical().toString()
-        return sorted(df.collect(), key=str), "strategy=broadcast" in logical
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        return sorted(df.collect(), key=str), "BroadcastHashJoin" in plan
 
-    few, hinted = joined()
-    assert hinted
-    monkeypatch.setattr(units, "MAX_LOOKUP_ROWS", 1)
-    assert joined() == (few, False)
+    few, broadcast = joined()
+    assert broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert joined() == (few, False)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_assert_ordered_fails_the_job(spark):

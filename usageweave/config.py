@@ -23,7 +23,10 @@ class StudyOptions:
 
     ``unit`` names the column that identifies one device log.  Units with more
     than ``hot_unit_rows`` rows are worked on in time slices of about
-    ``slice_rows`` rows instead of in one task each.
+    ``slice_rows`` rows instead of in one task each.  ``unit_partitions`` is the
+    number of partitions the other units are dealt into, by default Spark's
+    ``spark.sql.shuffle.partitions``; adaptive execution can merge but not split
+    them, so a large log needs about one for each 200 MB.
     """
 
     unit: str = "source_file"
@@ -44,6 +47,7 @@ class StudyOptions:
     plot_target_child_only: bool = False
     hot_unit_rows: int = 2_000_000
     slice_rows: int = 1_000_000
+    unit_partitions: int = 0
 
     def __post_init__(self) -> None:
         unexpected = set(self.same_app_stops) - set(C.SAME_APP_STOPS)

@@ -38,25 +38,35 @@ def unit_participant(df: DataFrame, unit: str) -> DataFrame:
     )
 
 
+def unit_kinds(labelled: DataFrame, unit: str) -> DataFrame:
+    """Whether each unit has valid and filtered app events to make sessions of."""
+    kind = F.col("interaction_type")
+    active = (C.ACTIVITY_RESUMED, C.ACTIVITY_PAUSED)
+    filtered = (C.FILTERED_APP_RESUMED, C.FILTERED_APP_PAUSED)
+    return labelled.groupBy(unit).agg(
+        F.coalesce(F.bool_or(kind.isin(*active)), F.lit(False)).alias("has_valid"),
+        F.coalesce(F.bool_or(kind.isin(*filtered)), F.lit(False)).alias("has_filtered"),
+    )
+
+
 def unit_report(
-    raw: DataFrame, labelled: DataFrame, finished: DataFrame, unit: str
+    raw: DataFrame, seen: DataFrame, finished: DataFrame, unit: str, quarantine: DataFrame
 ) -> DataFrame:
     """One row per unit with counts and a status.
 
-    ``raw`` are the rows read (``ts_error`` marks unreadable times),
-    ``labelled`` those that go into sessionising and ``finished`` the result.
+    ``raw`` are the rows read (``ts_error`` marks unreadable times), ``seen`` what
+    :func:`unit_kinds` says of those that go into sessionising, ``finished`` the
+    result, and ``quarantine`` the rows that are in no result.
     """
     one = F.lit(1)
+    kind = F.col("interaction_type")
     read = raw.groupBy(unit).agg(
         F.count(one).alias("rows_in"),
         F.count_if("ts_error").alias("unreadable_times"),
+        F.count_if(F.col("event_timestamp").isNotNull() & ~F.col("ts_error")).alias("timed"),
     )
-    kind = F.col("interaction_type")
-    active = (C.ACTIVITY_RESUMED, C.ACTIVITY_PAUSED)
-    filtered = (C.FILTERED_APP_RESUMED, C.FILTERED_APP_PAUSED)
-    seen = labelled.groupBy(unit).agg(
-        F.coalesce(F.bool_or(kind.isin(*active)), F.lit(False)).alias("has_valid"),
-        F.coalesce(F.bool_or(kind.isin(*filtered)), F.lit(False)).alias("has_filtered"),
+    rejected = quarantine.filter(~F.col("ts_error")).groupBy(unit).agg(
+        F.count(one).alias("unusable_zones")
     )
     kept = finished.groupBy(unit).agg(
         F.count(one).alias("rows_kept"),
@@ -65,15 +75,15 @@ def unit_report(
             "disordered"
         ),
     )
-    # Three per-unit aggregates: what is joined has one row per unit.
+    # Per-unit aggregates: what is joined has one row per unit.
     joined = read.join(seen, unit, "left").join(kept, unit, "left")
-    joined = joined.na.fill(0, ["rows_kept", "missing_ends", "disordered"])
+    joined = joined.join(rejected, unit, "left")
+    joined = joined.na.fill(0, ["rows_kept", "missing_ends", "disordered", "unusable_zones"])
     joined = joined.na.fill(False, ["has_valid", "has_filtered"])
     problem = (
         F.when(F.col("rows_in") == 0, "Empty file")
-        .when(
-            F.col("unreadable_times") == F.col("rows_in"), "No readable event timestamp"
-        )
+        .when(F.col("timed") == 0, "No readable event timestamp")
+        .when(F.col("unusable_zones") > 0, "No usable primary time zone")
         .when(F.col("disordered") > 0, "Start timestamp later than stop timestamp")
     )
     message = F.coalesce(
@@ -84,11 +94,11 @@ def unit_report(
         .when(~F.col("has_valid"), "empty")
         .otherwise("processed")
     )
-    return joined.withColumns({"status": status, "message": message})
+    return joined.withColumns({"status": status, "message": message}).drop("timed")
 
 
 def with_empty_units(report: DataFrame, units: DataFrame, unit: str) -> DataFrame:
-    """Add files that yielded no row at all as error units."""
+    """Add files that yielded no row, or have no header of a log, as error units."""
     absent = units.select(unit).distinct().join(report.select(unit), unit, "left_anti")
     return report.unionByName(
         absent.withColumns(

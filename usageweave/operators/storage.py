@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing folder under ``spark.checkpoint.dir``.
+@cache
+def _own_folder() -> str:
+    """A folder for a local session that names none; it goes when the session ends."""
+    folder = tempfile.mkdtemp(prefix="usageweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def require_scratch(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a temporary folder of its
     own; on a cluster the shared folder has to be configured.
@@ -18,9 +29,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="usageweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _own_folder()
+    return base.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, not yet existing folder under the scratch folder."""
+    return f"{require_scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,6 @@ from usageweave import constants as C
 from usageweave.config import StudyOptions
 from usageweave.functions.times import clock_hours, ntz_micros
 from usageweave.functions.values import category_colour
-from usageweave.operators.units import lookup_join
 
 KIND = "interaction_type"
 
@@ -48,7 +47,7 @@ def daily_usage_segments(df: DataFrame, bounds: DataFrame, unit: str) -> DataFra
     """
     start, stop = F.col("start_local"), F.col("stop_local")
     df = df.filter(F.to_date(start) <= F.to_date(stop))
-    df = lookup_join(df, bounds.select(unit, "last_date"), [unit])
+    df = df.join(bounds.select(unit, "last_date"), [unit], "left")
     last_day = F.least(F.to_date(stop), F.col("last_date"))
     df = df.filter(F.to_date(start) <= last_day).withColumn(
         "segment_date", F.explode(F.sequence(F.to_date(start), last_day))
@@ -93,7 +92,7 @@ def gap_segments(df: DataFrame, bounds: DataFrame, unit: str) -> DataFrame:
     first date are left out.
     """
     df = df.filter(F.col("data_time_gap_hours") > 0)
-    df = lookup_join(df, bounds.select(unit, "first_date"), [unit])
+    df = df.join(bounds.select(unit, "first_date"), [unit], "left")
     hours = clock_hours(F.col("event_local"))
     before = F.col("data_time_gap_hours") - F.col("_hours")
     df = df.withColumn("_hours", hours).withColumns(

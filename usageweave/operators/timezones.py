@@ -85,7 +85,7 @@ def attach_primary_timezone(df: DataFrame, lane: Lane, text: str | None) -> Data
     return (
         df.withColumn("_choice", _choice(text))
         # Asked for by unit here, so that no other exchange is needed.
-        .repartition(F.col(lane.unit))
+        .repartition(*([lane.partitions] if lane.partitions else []), F.col(lane.unit))
         .withColumns(
             {
                 "_n": F.count(F.lit(1)).over(same),
@@ -120,6 +120,8 @@ def apply_timezone_mode(
     if mode is TimezoneMode.KEEP_PRIMARY:
         df = df.filter(F.col("timezone") == primary)
     usable = usable_zone("primary_timezone")
-    return df.withColumns({"timezone": usable, "zone_error": usable.isNull()}).drop(
+    # Rows with an unusable target keep the zone they came with.
+    zone = F.coalesce(usable, F.col("timezone"))
+    return df.withColumns({"timezone": zone, "zone_error": usable.isNull()}).drop(
         "primary_timezone"
     )

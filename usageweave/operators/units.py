@@ -24,11 +24,10 @@ from usageweave.config import StudyOptions
 from usageweave.functions.values import same_app
 from usageweave.operators.storage import materialise
 
-# No more units than this can be hot, and no more slices than this are made,
-# so the per-slice tables stay below MAX_HOT_UNITS + MAX_SLICES rows.
+# Per-slice tables are broadcast, so options that would make them larger than
+# MAX_HOT_UNITS + MAX_SLICES rows are refused.
 MAX_HOT_UNITS = 100_000
 MAX_SLICES = 20_000
-MAX_LOOKUP_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -37,6 +36,7 @@ class Lane:
 
     unit: str
     slices: int = 0
+    partitions: int = 0
 
     @property
     def sliced(self) -> bool:
@@ -59,16 +59,20 @@ def split_lanes(df: DataFrame, options: StudyOptions) -> list[tuple[DataFrame, L
     unit = options.unit
     df = df.withColumn(unit, F.coalesce(F.col(unit), F.lit("")))
     sizes = df.groupBy(unit).agg(F.count(F.lit(1)).alias("unit_rows"))
-    total, largest = sizes.agg(F.sum("unit_rows"), F.max("unit_rows")).first()
-    limit = max(options.hot_unit_rows, (total or 0) // MAX_HOT_UNITS)
-    if (largest or 0) <= limit:
-        return [(df, Lane(unit))]
-    hot = materialise(sizes.filter(F.col("unit_rows") > limit), "hot-units")
-    hot_rows = hot.agg(F.sum("unit_rows")).first()[0]
-    slices = min(MAX_SLICES, -(-hot_rows // options.slice_rows))
-    names = F.broadcast(hot.select(unit))  # fewer than MAX_HOT_UNITS rows
+    plain = Lane(unit, partitions=options.unit_partitions)
+    hot = materialise(sizes.filter(F.col("unit_rows") > options.hot_unit_rows), "hot-units")
+    hot_units, hot_rows = hot.agg(F.count(F.lit(1)), F.sum("unit_rows")).first()
+    if not hot_units:
+        return [(df, plain)]
+    slices = -(-hot_rows // options.slice_rows)
+    if hot_units > MAX_HOT_UNITS or slices > MAX_SLICES:
+        raise ValueError(
+            f"{hot_units} hot units in {slices} slices: raise hot_unit_rows or slice_rows"
+            f" until there are at most {MAX_HOT_UNITS} and {MAX_SLICES}"
+        )
+    names = F.broadcast(hot.select(unit))  # at most MAX_HOT_UNITS rows
     return [
-        (df.join(names, unit, "left_anti"), Lane(unit)),
+        (df.join(names, unit, "left_anti"), plain),
         (df.join(names, unit, "left_semi"), Lane(unit, max(2, slices))),
     ]
 
@@ -86,12 +90,12 @@ def by_unit(
 def lookup_join(
     df: DataFrame, table: DataFrame, on: list[str], how: str = "left"
 ) -> DataFrame:
-    """Join a dimension: broadcast when counted small, else a shuffled join.
+    """Join a dimension that is stored first, so that its size in bytes is known.
 
-    A shuffled join keeps skewed keys apart through adaptive skew handling.
+    Spark broadcasts it up to ``spark.sql.autoBroadcastJoinThreshold``; beyond
+    that it shuffles, and adaptive skew handling splits hot keys.
     """
-    few = table.limit(MAX_LOOKUP_ROWS + 1).count() <= MAX_LOOKUP_ROWS
-    return df.join(F.broadcast(table) if few else table, on, how)
+    return df.join(materialise(table, "lookup"), on, how)
 
 
 def whole_unit(df: DataFrame, lane: Lane, values: dict[str, Column]) -> DataFrame:

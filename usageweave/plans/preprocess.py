@@ -16,24 +16,43 @@ from usageweave.functions.times import require_utc
 from usageweave.operators import columns as cols
 from usageweave.operators import engagement, enrich, labelling, reports, sessions
 from usageweave.operators.ordering import order_log
-from usageweave.operators.storage import materialise
+from usageweave.operators.storage import materialise, require_scratch
 from usageweave.operators.timezones import apply_timezone_mode
 from usageweave.operators.units import Lane, split_lanes
 
 
 @dataclass(frozen=True)
 class Result:
-    """``rows`` is the finished table, ``quarantine`` the unreadable input rows."""
+    """``rows`` is the finished table; ``quarantine`` has the input rows that no
+    result can hold, each with its ``reason``.
+    """
 
     rows: DataFrame
     quarantine: DataFrame
     raw: DataFrame
-    labelled: DataFrame
+    kinds: DataFrame
     unit: str
+    filters: DataFrame | None = None
+    files: DataFrame | None = None
 
     def report(self) -> DataFrame:
-        """Status and counts per unit, from the stored stages of the run."""
-        return reports.unit_report(self.raw, self.labelled, self.rows, self.unit)
+        """Status and counts per unit; with ``files`` also of files without rows."""
+        report = reports.unit_report(
+            self.raw, self.kinds, self.rows, self.unit, self.quarantine
+        )
+        if self.files is None:
+            return report
+        return reports.with_empty_units(report, self.files, self.unit)
+
+    def unexpected_labels(self) -> DataFrame:
+        """Listed apps whose label in the log is not one of those listed."""
+        if self.filters is None:
+            raise ValueError("the run had no filter list")
+        return labelling.unexpected_labels(self.raw, self.filters)
+
+    def unknown_types(self) -> DataFrame:
+        """Rows per interaction type that no raw spelling maps to."""
+        return reports.unknown_interaction_counts(self.raw)
 
 
 def read_times(raw: DataFrame, options: StudyOptions) -> DataFrame:
@@ -49,11 +68,18 @@ def read_times(raw: DataFrame, options: StudyOptions) -> DataFrame:
 SCANNED = ("file_order", "event_timestamp", "interaction_type", "app_package_name")
 
 
+#: Reasons for quarantine.
+BAD_TIME = "unreadable event timestamp"
+BAD_ZONE = "unusable primary time zone"
+
+
 def labelled_log(
     df: DataFrame, lane: Lane, options: StudyOptions, filters: DataFrame | None
 ) -> DataFrame:
-    """Ordered rows that go into sessionising, other columns in ``rest``."""
-    df = apply_timezone_mode(df, lane, options, text="timestamp_text")
+    """Ordered rows that go into sessionising, other columns in ``rest``.
+
+    ``df`` has been through ``apply_timezone_mode``.
+    """
     df = df.filter(~F.col("zone_error")).drop("zone_error", "timestamp_text")
     scanned = [lane.unit, *SCANNED]
     # Looked up before the log is ordered, applied after types are removed.
@@ -88,36 +114,47 @@ def preprocess(
     codebook: DataFrame | None = None,
     run_time: datetime | None = None,
     keep_stages: bool = False,
+    files: DataFrame | None = None,
 ) -> Result:
     """Run the whole job over all units at once.
 
     ``raw`` needs the columns of a raw log plus the unit key and
-    ``file_order``.  With ``keep_stages`` the labelled log and the result are
-    stored, so that the report does not compute them again.
+    ``file_order``.  With ``keep_stages`` the result and the types each unit
+    has are stored, so that the report does not compute them again.  ``files``
+    (unit key) lists the files that were read, so that it names empty ones, too.
+    Every row of ``raw`` goes into ``rows`` or ``quarantine``, but for those that
+    the options remove by type or zone.
     """
     require_utc(raw.sparkSession)
+    require_scratch(raw.sparkSession)
     unit = options.unit
     raw = raw.withColumn(unit, F.coalesce(F.col(unit), F.lit("")))
     timed = read_times(raw, options)
-    labelled, finished = [], []
+    kinds, finished = [], []
+    rejected = [timed.filter("ts_error").withColumn("reason", F.lit(BAD_TIME))]
     # Rows per unit are counted on the raw log: no time is parsed for that.
     for part, lane in split_lanes(raw, options):
         readable = read_times(part, options).filter(~F.col("ts_error"))
-        log = labelled_log(readable.drop("ts_error"), lane, options, filters)
-        if keep_stages:
-            log = materialise(log, "labelled")
-        labelled.append(lane.finish(log))
+        zoned = apply_timezone_mode(readable, lane, options, text="timestamp_text")
+        bad_zone = lane.finish(zoned.filter("zone_error").drop("zone_error"))
+        rejected.append(bad_zone.withColumn("reason", F.lit(BAD_ZONE)))
+        log = labelled_log(zoned.drop("ts_error"), lane, options, filters)
+        kinds.append(reports.unit_kinds(lane.finish(log), unit))
         finished.append(lane.finish(usage_table(log, lane, options, codebook)))
     rows = reduce(DataFrame.unionByName, finished)
+    seen = reduce(DataFrame.unionByName, kinds)
     if keep_stages:
         rows = materialise(rows, "finished")
+        seen = materialise(seen, "kinds")
     rows = cols.admin_columns(rows, run_time or datetime.now(), __version__)
     return Result(
         rows=rows,
-        quarantine=timed.filter("ts_error"),
+        quarantine=reduce(DataFrame.unionByName, rejected),
         raw=timed,
-        labelled=reduce(DataFrame.unionByName, labelled),
+        kinds=seen,
         unit=unit,
+        filters=filters,
+        files=files,
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usageweave import constants as C
 from usageweave.operators.timezones import discover_timezones
-from usageweave.sources.files import read_tables
+from usageweave.sources.files import FILE, ORDER, read_tables
 
 RAW_COLUMNS = (
     "study_id",
@@ -19,6 +19,7 @@ RAW_COLUMNS = (
     "event_timestamp",
     "timezone",
 )
+REQUIRED = ("interaction_type", "event_timestamp")
 
 
 def scan_raw(
@@ -28,8 +29,12 @@ def scan_raw(
     ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
     multiline: bool = False,
 ) -> DataFrame:
-    """Raw logs with every expected column; absent ones are null."""
-    df = read_tables(spark, folder, pattern, ignore, multiline)
+    """Raw logs with every expected column; absent ones are null.
+
+    Files without the columns of :data:`REQUIRED` yield no rows: they have no
+    header, or are not logs.  ``files.list_files`` names them for the report.
+    """
+    df = read_tables(spark, folder, pattern, ignore, multiline, REQUIRED)
     absent = [c for c in RAW_COLUMNS if c not in df.columns]
     return df.withColumns({c: F.lit(None).cast("string") for c in absent})
 
@@ -48,7 +53,12 @@ def scan_preprocessed(spark: SparkSession, folder: str) -> DataFrame:
     the event time ``event_local``; a missing date is the start date.
     """
     times = ("start_timestamp", "stop_timestamp")
-    return finished_types(read_tables(spark, folder, r"\.csv$", (), required=times))
+    df = read_tables(spark, folder, r"\.csv$", (), required=times)
+    # The folder that the writer made for a unit is the unit, in all its files.
+    unit = F.regexp_extract(FILE, r"^.*/output_name=[^/]+", 0)
+    order = F.struct(F.col(FILE).alias("file"), f"{ORDER}.*")
+    df = df.withColumns({ORDER: order, FILE: F.when(unit != "", unit).otherwise(F.col(FILE))})
+    return finished_types(df)
 
 
 def finished_types(df: DataFrame) -> DataFrame:
@@ -69,7 +79,8 @@ def finished_types(df: DataFrame) -> DataFrame:
     date = F.coalesce(F.to_date("date"), start_date) if "date" in df.columns else start_date
     df = df.withColumn("date", date)
     if "event_timestamp" in df.columns:
-        clock = F.substring("event_timestamp", 1, 26)
+        # What is left is local time, with or without a fraction of a second.
+        clock = F.regexp_replace("event_timestamp", r"\s*(?:Z|[+-]\d{2}:\d{2})$", "")
         df = df.withColumn(
             "event_local", F.try_to_timestamp(clock).cast("timestamp_ntz")
         )

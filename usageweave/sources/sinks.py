@@ -9,7 +9,7 @@ from usageweave import constants as C
 from usageweave.functions.values import quoted, stripped
 from usageweave.operators.enrich import dedupe_keep, duplicate_rows
 from usageweave.operators.labelling import merge_unexpected_labels
-from usageweave.sources.files import ORDER, read_tables
+from usageweave.sources.files import FILE, ORDER, read_tables
 
 
 def file_stem(path: Column) -> Column:
@@ -17,10 +17,28 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(name, r"(.)\.[^.]*$", "$1")
 
 
-def output_name(path: Column) -> Column:
-    """Name of a unit's result: stem without ``Raw ``, plus the suffix."""
-    stem = F.replace(file_stem(path), F.lit("Raw "), F.lit(""))
-    return F.concat(stem, F.lit(C.OUTPUT_SUFFIX))
+def output_name(unit: Column, is_file: bool = True) -> Column:
+    """Name of a unit's result: stem without ``Raw ``, plus the suffix.
+
+    Units that are no files keep their whole name; a slash in it would begin a
+    folder of its own and becomes an underscore.
+    """
+    stem = file_stem(unit) if is_file else F.replace(unit, F.lit("/"), F.lit("_"))
+    return F.concat(F.replace(stem, F.lit("Raw "), F.lit("")), F.lit(C.OUTPUT_SUFFIX))
+
+
+def output_names(df: DataFrame, unit: str) -> DataFrame:
+    """(unit, output_name): one name for each unit; units whose names would be the
+    same get a short digest of the unit behind them.
+    """
+    names = df.select(unit).distinct().withColumn(
+        "output_name", output_name(F.col(unit), unit == FILE)
+    )
+    several = names.groupBy("output_name").count().where("count > 1").drop("count")
+    several = several.withColumn("several", F.lit(True))
+    digest = F.concat(F.col("output_name"), F.lit(" "), F.substring(F.md5(unit), 1, 8))
+    name = F.when(F.col("several"), digest).otherwise(F.col("output_name"))
+    return names.join(several, "output_name", "left").select(unit, name.alias("output_name"))
 
 
 def flags_text(flags: Column) -> Column:
@@ -33,24 +51,30 @@ def flags_text(flags: Column) -> Column:
 def write_preprocessed(
     df: DataFrame, path: str, unit: str, file_format: str = "parquet"
 ) -> None:
-    """One folder per unit below ``path``.
+    """One folder per unit below ``path``, with the unit in a column ``unit``.
 
-    Rows arrive grouped by unit, so no shuffle is needed; the slices of a hot
-    unit are written by several tasks.  A ``seq`` column gives the order of
-    rows and is not written itself; without it they are sorted by event time.
+    Rows are dealt out by ranges of (unit, seq), so a unit has one file, or
+    several whose names are in the order of its rows if it is large or lies on
+    the border of a range.  The ``seq`` column is not written itself.
     """
-    df = df.withColumn("output_name", output_name(F.col(unit))).drop(unit)
+    if C.SEQ not in df.columns:
+        raise ValueError("rows need their number in the unit: finished_table(keep_seq=True)")
+    names = output_names(df, unit)
+    df = df.join(names, unit).withColumnRenamed(unit, "unit")
     if file_format == "csv" and "any_app_usage_flags" in df.columns:
         df = df.withColumn("any_app_usage_flags", flags_text(F.col("any_app_usage_flags")))
-    order = C.SEQ if C.SEQ in df.columns else "event_timestamp"
-    df = df.sortWithinPartitions("output_name", order).drop(C.SEQ)
+    df = df.repartitionByRange("output_name", C.SEQ)
+    df = df.sortWithinPartitions("output_name", C.SEQ).drop(C.SEQ)
     writer = df.write.partitionBy("output_name").format(file_format)
     (writer.option("header", True) if file_format == "csv" else writer).save(path)
 
 
 def write_categorised(df: DataFrame, path: str, unit: str = "source_file") -> None:
     """Category mapper output, one folder per file, ``{stem}_with_categories``."""
-    name = F.concat(file_stem(F.col(unit)), F.lit("_with_categories"))
+    # A folder that the writer made has no extension to remove.
+    folder = F.regexp_extract(unit, r"output_name=([^/]+)$", 1)
+    stem = F.when(folder != "", folder).otherwise(file_stem(F.col(unit)))
+    name = F.concat(stem, F.lit("_with_categories"))
     named = df.withColumn("output_name", name).drop(unit, ORDER)
     named.write.partitionBy("output_name").option("header", True).csv(path)
 
