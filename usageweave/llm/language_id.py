@@ -64,8 +64,8 @@ def grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(f" {joined} ".encode("utf-32-le", "replace"), "<u4")
     owner = np.cumsum(codes == 0)
     letter = _letters()[codes]
-    # Of each run of other characters the first stays, as a space; no gram spans texts.
-    keep = letter | np.concatenate(([True], letter[:-1]))
+    # Of each run of other characters the first in its text stays, as a space.
+    keep = letter | np.concatenate(([True], letter[:-1] | (codes[:-1] == 0)))
     codes = np.where(letter, codes, 32)[keep].astype(np.uint64)
     owner, letter = owner[keep], letter[keep]
     if len(codes) < n:
