@@ -18,7 +18,16 @@ SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("name", ["op6_url_filter", "op7_line_dedup", "op8_substring_dedup"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "op3_ngram_join",
+        "op6_url_filter",
+        "op7_line_dedup",
+        "op8_substring_dedup",
+        "op10_quality_rules",
+    ],
+)
 def test_query_agrees_with_sql(spark, name):
     con = connection(SMALL)
     assert differences(spark, con, SMALL, queries()[name], oracle_sql()[name]) == []

@@ -150,4 +150,5 @@ def op9_hashing_ann(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and whether it stays."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    return quality.judge(docs).select("doc_id", "quality.*")
+    judged = quality.judge(docs).select("doc_id", "quality.*")
+    return judged.drop("class_distance", "word_distance")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from usageweave.llm.line_dedup import BLOCKS, LineOptions
+from usageweave.llm.quality import CLASSES, QualityOptions
 from usageweave.llm.url_filter import LOWER, PATTERN_RULES, UPPER
 
 ORACLES: dict[str, str] = {}
@@ -95,3 +96,105 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (n)
 """
+
+_Q = QualityOptions()
+_N = len(CLASSES) + 1
+
+
+def _count(pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"len(regexp_extract_all(t, '{quoted}'))"
+
+
+def _term(x: str, y: str) -> str:
+    """One side of the Jensen-Shannon divergence for one bin."""
+    return f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
+
+
+_BINS = ", ".join(_count(p) for p in CLASSES.values())
+_SUMS = ", ".join(f"sum(classes[{i}])" for i in range(1, _N + 1))
+ORACLES["op10_quality_rules"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce('x' || lang, '') AS lang,
+    coalesce(text, '') AS t FROM documents),
+a AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, [{_BINS}] AS found FROM d),
+c AS (
+  SELECT *, len(w) AS n_words, list_append(found, length(t) - list_sum(found)) AS classes FROM a),
+g AS (SELECT n, w, unnest(range(1, n_words - 1)) AS i FROM c WHERE n_words >= 3),
+r AS (
+  SELECT n, i, count(*) OVER (PARTITION BY n, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS m
+  FROM g),
+v AS (
+  SELECT n, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT n, unnest([i, i + 1, i + 2]) AS j FROM r WHERE m > 1) GROUP BY n),
+l AS (
+  SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT n, unnest(string_split(t, chr(10))) AS line FROM d) WHERE {_WORD} GROUP BY n),
+x AS (SELECT n, lang, lower(unnest(w)) AS word FROM c),
+s AS (SELECT * FROM x WHERE length(word) <= {_Q.short_word}),
+f AS (SELECT lang, word, count(*) AS q FROM s GROUP BY lang, word),
+top AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY q DESC, word) AS place FROM f
+  QUALIFY place <= {_Q.common_words}),
+ref AS (SELECT lang, [{_SUMS}] AS ref, sum(n_words) AS ref_words FROM c GROUP BY lang),
+class_bins AS (
+  SELECT n, unnest(classes) / length(t) AS p, unnest(ref) / list_sum(ref) AS q
+  FROM c JOIN ref USING (lang) WHERE length(t) > 0),
+class_far AS (
+  SELECT n, sqrt(greatest(0, sum(({_term('p', 'q')} + {_term('q', 'p')}) / 2))) AS far
+  FROM class_bins GROUP BY n),
+own AS (SELECT n, place, count(*) AS p FROM s JOIN top USING (lang, word) GROUP BY n, place),
+common AS (
+  SELECT c.n, coalesce(p, 0) AS p, q FROM c JOIN top USING (lang)
+  LEFT JOIN own ON own.n = c.n AND own.place = top.place),
+others AS (
+  SELECT c.n, n_words - coalesce((SELECT sum(p) FROM common m WHERE m.n = c.n), 0) AS p,
+    ref_words - coalesce((SELECT sum(q) FROM top WHERE top.lang = c.lang), 0) AS q
+  FROM c JOIN ref USING (lang)),
+word_bins AS (
+  SELECT n, p / n_words AS p, q / ref_words AS q
+  FROM (FROM common UNION ALL FROM others) JOIN c USING (n) JOIN ref USING (lang)
+  WHERE n_words > 0),
+word_far AS (
+  SELECT n, sqrt(greatest(0, sum(({_term('p', 'q')} + {_term('q', 'p')}) / 2))) AS far
+  FROM word_bins GROUP BY n),
+z AS (
+  SELECT c.*, length(t) - classes[3] AS word_chars, classes[5] AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    class_far.far AS class_far, word_far.far AS word_far
+  FROM c LEFT JOIN l USING (n) LEFT JOIN v USING (n)
+  LEFT JOIN class_far USING (n) LEFT JOIN word_far USING (n)),
+b AS (
+  SELECT *, n_words < {_Q.min_words}
+    OR 100 * n_repeat_words > {_Q.max_repeat_percent} * n_words AS base_failed FROM z)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed
+    AND NOT coalesce(class_far > {_Q.max_class_distance} AND word_chars >= {_Q.min_class_chars}, FALSE)
+    AND NOT coalesce(word_far > {_Q.max_word_distance} AND n_words >= {_Q.min_word_words}, FALSE)
+    AS kept
+FROM b
+"""
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+ORACLES["op3_ngram_join"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT n, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT n, array_to_string(w[i:i + 3], ' ') AS x FROM i),
+z AS (SELECT n, count(*) AS size FROM s GROUP BY n),
+p AS (
+  SELECT a.n AS a, b.n AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.n < b.n
+  GROUP BY a.n, b.n),
+e AS (
+  SELECT a, b FROM p JOIN z y ON y.n = a JOIN z v ON v.n = b
+  WHERE 100 * common >= 85 * (y.size + v.size - common)),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (
+  SELECT n, n AS m FROM d
+  UNION SELECT r.n, t.b FROM r JOIN t ON r.m = t.a),
+c AS (SELECT r.n, min(d.doc_id) AS component_id FROM r JOIN d ON d.n = r.m GROUP BY r.n)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id
+FROM d JOIN c USING (n) LEFT JOIN z USING (n)
+"""
