@@ -278,8 +278,8 @@ class _Join:
         self.links = found if self.links is None else self.links.unionByName(found)
         return found
 
-    def regroup(self) -> None:
-        self.labels = components(self.links)
+    def regroup(self, rounds: int | None = None) -> None:
+        self.labels = components(self.links, self.labels, rounds)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +317,8 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
     sets = stored(shingle_sets(docs, options), "join-sets")
     join = _Join(sets.where("size > 0"), options)
     join.compare(join.likeliest())
-    join.regroup()
+    # Groups that two rounds leave apart only cost some comparisons more.
+    join.regroup(rounds=2)
     join.compare(join.rest())
     join.regroup()
     members = sets.where("size > 0 AND shared IS NOT NULL").select(
