@@ -109,6 +109,11 @@ def references(docs: DataFrame, options: QualityOptions = QualityOptions()) -> D
     )
 
 
+def _once(value: Column) -> Column:
+    """``value`` behind an explode, so that no filter or projection above copies it."""
+    return F.explode(F.array(value))
+
+
 def distance(left: Column, right: Column) -> Column:
     """Jensen-Shannon distance of two histograms of counts; null if one is empty."""
 
@@ -118,15 +123,20 @@ def distance(left: Column, right: Column) -> Column:
     def term(p: Column, m: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
-    def both(x: Column, y: Column) -> Column:
-        p, q = x / total(left), y / total(right)
-        return (term(p, (p + q) / 2) + term(q, (p + q) / 2)) / 2
+    def of(s: Column) -> Column:
+        def both(x: Column, y: Column) -> Column:
+            p, q = x / s["a"], y / s["b"]
+            return (term(p, (p + q) / 2) + term(q, (p + q) / 2)) / 2
 
-    parts = F.zip_with(left, right, both)
-    return F.when(
-        (total(left) > 0) & (total(right) > 0),
-        F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))),
+        parts = F.zip_with(s["left"], s["right"], both)
+        far = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        return F.when((s["a"] > 0) & (s["b"] > 0), F.sqrt(F.greatest(F.lit(0.0), far)))
+
+    # Totals are bound to the lambda's argument, once for each pair of histograms.
+    bound = F.struct(
+        left.alias("left"), right.alias("right"), total(left).alias("a"), total(right).alias("b")
     )
+    return F.transform(F.array(bound), of)[0]
 
 
 #: Starts of 3-word windows as numbers that sort by a hash of the words, then by start.
@@ -189,9 +199,8 @@ def features(docs: DataFrame, options: QualityOptions = QualityOptions()) -> Dat
             lambda w: F.length(w) <= options.short_word,
         ),
     }
-    df = df.select(
-        "_row", "lang", F.struct(*[c.alias(k) for k, c in counts.items()]).alias("_quality")
-    )
+    counted = F.struct(*[c.alias(k) for k, c in counts.items()])
+    df = df.select("_row", "lang", _once(counted).alias("_quality"))
     q = F.col("_quality")
     failed = (q.n_words < options.min_words) | (
         100 * q.n_repeat_words > options.max_repeat_percent * q.n_words
@@ -221,6 +230,8 @@ def judge(
         "ref_words",
         lambda r: F.size(F.filter(q.short, lambda w: w == r)).cast("long"),
     )
+    df = df.select("*", _once(common).alias("common"))
+    common = F.col("common")
     rest = q.n_words - F.aggregate(common, F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumn("word_bins", F.concat(common, F.array(rest)))
     df = df.withColumns(
@@ -244,5 +255,4 @@ def judge(
         "word_distance",
     )
     columns = [F.col("_row")[c].alias(c) for c in docs.columns if c != "quality"]
-    # Through an explode, a filter on the verdict isn't pushed down into copies of all this.
-    return df.select(*columns, F.explode(F.array(quality)).alias("quality"))
+    return df.select(*columns, quality.alias("quality"))
