@@ -17,10 +17,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go; documents stay."""
+    """Lines that are boilerplate of their source go; documents stay. Copies of a document
+    do not make its lines boilerplate: they are whole when near duplicates are looked for.
+    """
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("doc"), "source", "text")
-    out = line_dedup.drop_boilerplate(rows, F.col("source"), line_dedup.text_lines(F.col("text")))
+    lines = line_dedup.text_lines(F.col("text"))
+    options = line_dedup.LineOptions(count_copies=False)
+    out = line_dedup.drop_boilerplate(rows, F.col("source"), lines, options)
     text = F.when(F.col("line_dedup.n_dropped") == 0, F.col("text")).otherwise(
         F.array_join("line_dedup.kept", "\n")
     )

@@ -57,3 +57,30 @@ def test_stages(spark, tmp_path):
     want = Counter((r.doc_id, tuple(library.encode_ordinary(r.text))) for r in mixed)
     assert want == Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in tokens)
     assert all(r.round_trip and r.n_tokens == len(r.ids) // 4 for r in tokens)
+
+
+def test_a_large_group_of_copies_ends_as_one_document(spark):
+    from conftest import prose
+
+    def page(i, n_lines=20, menu=True):
+        return ["menu one two three"] * menu + [prose(1000 * i + j, 30) for j in range(n_lines)]
+
+    rows = [(i, "\n".join(page(i)), "s") for i in range(12)]
+    original = page(50, menu=False)
+    rows += [(100 + i, "\n".join(original), "s") for i in range(30)]
+    for i in range(30):
+        near = list(original)
+        for k in (i % 20, (7 * i + 3) % 20):
+            near[k] = near[k].replace(near[k].split()[15], f"other{i}", 1)
+        rows.append((200 + i, "\n".join(near), "s"))
+    docs = spark.createDataFrame(
+        [(i, t, "en", s, len(t)) for i, t, s in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).repartition(3)
+    lines = pipeline.drop_common_lines(spark, docs, FOLDER)
+    before = {i: t for i, t, _ in rows}
+    for r in lines.collect():
+        want = before[r.doc_id].replace("menu one two three\n", "")
+        assert r.text == want, r.doc_id
+    left = {r.doc_id for r in pipeline.drop_near_duplicates(spark, lines, FOLDER).collect()}
+    assert left == {*range(12), 100}
