@@ -126,3 +126,26 @@ def test_learned_formats_add_spans(spark, odd_docs, no_docs):
         base = [s for s in r.secrets if s.kind != "format"]
         assert [(s.start, s.end, s.kind) for s in base] == brute_spans(r.text or "")
     assert secret_scan.find(no_docs, secret_scan.learn(no_docs)).count() == 0
+
+
+def test_formats_of_letters_or_digits_only_are_found(spark):
+    import string
+
+    rnd = random.Random(10)
+
+    def key(letters, n=14):
+        return "".join(rnd.choice(letters) for _ in range(n))
+
+    words = [key(string.ascii_lowercase, 12 + i % 9) for i in range(150)]
+    words += [f"{1900 + i}-{1901 + i}-{1902 + i}" for i in range(50)]
+    labelled = [key(string.ascii_letters + string.digits) for _ in range(150)]
+    labelled += [key(string.digits) for _ in range(50)]
+    rows = [(i, f"token = {k} and {words[i]}") for i, k in enumerate(labelled)]
+    bare = ["qHVzKdWbYmRXcT", "83920174659201"]
+    rows += [(900, f"bare {bare[0]} internationalisation"), (901, f"bare {bare[1]} 1950-1951-1952")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.learn(docs.where("doc_id < 900"))
+    found = {r.doc_id: r.secrets for r in secret_scan.find(docs, model).collect()}
+    for i, want in zip((900, 901), bare):
+        assert [(s.kind, s.start, s.text) for s in found[i]] == [("format", 5, want)]
+    assert all([s.kind for s in found[i]] == ["assign"] for i in range(200))

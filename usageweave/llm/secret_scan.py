@@ -111,7 +111,7 @@ class Model:
         self._known: dict[str, bool] = {}
 
     def is_secret(self, token: str) -> bool:
-        """Whether the token, of letters and digits at least, has a learned format."""
+        """Whether the token, of whatever characters, has a learned format."""
         classes = token.translate(CLASSES)
         known = self._known.get(classes)
         if known is None:
@@ -121,8 +121,6 @@ class Model:
         return known
 
     def _judge(self, classes: str) -> bool:
-        if "0" not in classes or not {"U", "h", "L"} & set(classes):
-            return False
         length = len(classes) + 1
         plain = None if self.ordinary is None else self.ordinary.log_likelihood(classes)
         for automaton, usual in self.kinds:
