@@ -220,6 +220,19 @@ def test_odd_documents_of_a_language_go(spark):
     assert kept == set(range(60))
 
 
+def test_copies_of_an_odd_text_do_not_become_the_reference(spark):
+    clean = "the cat and the dog of an old man in a big red house by the sea at dusk. "
+    good = [(i, "en", clean * 4 + f"number {i} of us. " * 2) for i in range(60)]
+    odd = " ".join(f"zzzzz{i}### QQ" for i in range(400))
+    options = quality.QualityOptions(max_repeat_percent=100)
+    # Exact copies, near copies, and texts that fail the base rules but are many.
+    for other in ([odd] * 30, [f"{odd} xx{i}" for i in range(30)], ["## 1" * 5] * 200):
+        rows = good + [(100 + i, "en", t) for i, t in enumerate(other)]
+        docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+        judged = quality.judge(docs, options=options).where("quality.kept").collect()
+        assert {r.doc_id for r in judged} == set(range(60))
+
+
 # --- vectors ----------------------------------------------------------------
 
 

@@ -2,12 +2,12 @@
 
 Two histograms describe a text: its characters by class (capitals, digits, white space,
 punctuation, symbols, the rest) and its words (the language's commonest short words, one
-bin each, and all other words). The references are the same histograms summed over every
-document of the language. A text is rejected when the Jensen-Shannon distance (base 2,
+bin each, and all other words). The references are the mean of the same histograms over the
+different texts of the language that pass the base rules and are not odd themselves. A text is rejected when the Jensen-Shannon distance (base 2,
 0 to 1) of either histogram exceeds its bound and the text is long enough for the
 distance to mean something.
 
-Built-in functions only; nothing is shuffled but partial sums by language and word.
+Built-in functions only; what is shuffled are the short words of each text, by its digest.
 """
 
 from __future__ import annotations
@@ -57,56 +57,135 @@ def class_counts(text: Column) -> list[Column]:
     return [*found, rest]
 
 
-def short_words(text: Column, options: QualityOptions) -> Column:
-    return F.filter(words(F.lower(text)), lambda w: F.length(w) <= options.short_word)
+#: Shares are summed as whole numbers of this size, so that order does not matter.
+_UNIT = 1_000_000_000
 
 
-def references(docs: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
-    """(lang, ref_classes, ref_words, ref_word_counts) over all of ``docs``.
+def _units(count: Column, total: Column) -> Column:
+    return F.round(F.lit(_UNIT) * count / total).cast("long")
+
 
-    ``ref_words`` are the language's commonest short words, by count and then by
-    spelling, and ``ref_word_counts`` their counts with all other words last. Null is a
-    language of its own. No documents, no rows.
+def _ordinary_texts(docs: DataFrame, options: QualityOptions) -> DataFrame:
+    """Each text of a language that passes the base rules, once: its character classes
+    and short words, in units of its own characters and words.
     """
-    docs = docs.select("lang", "text")
-    names = [*CLASSES, "rest"]
-    counted = docs.select(
-        "lang",
-        *[c.alias(n) for c, n in zip(class_counts(F.col("text")), names)],
-        count_of(F.col("text"), r"[^\x20\x09-\x0D]+").alias("n_words"),
-    )
-    by_lang = counted.groupBy("lang").agg(
-        F.array(*[F.sum(n) for n in names]).alias("ref_classes"),
-        F.sum("n_words").alias("all_words"),
+    text = F.col("_row.text")
+    q = F.col("_quality")
+    passed = features(docs.select("lang", "text"), options).where(~q.base_failed)
+    once = (
+        passed.select(
+            "lang",
+            F.unhex(F.md5(text)).alias("digest"),
+            F.struct(q.n_words.alias("n_words"), q.classes.alias("classes"), F.sort_array(q.short).alias("short")).alias("of"),
+        )
+        .groupBy("lang", "digest")
+        .agg(F.first("of").alias("of"))
     )
-    each = (
-        docs.select("lang", F.explode(short_words(F.col("text"), options)).alias("word"))
-        .groupBy("lang", "word")
-        .count()
+    return stored(once.select("lang", "digest", "of.*"), "quality-texts")
+
+
+def _classes_in_units(classes: Column) -> Column:
+    total = F.aggregate(classes, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.transform(classes, lambda x: _units(x, total))
+
+
+def _word_units(texts: DataFrame) -> DataFrame:
+    """(lang, word, units): each short word of each text."""
+    return (
+        texts.select("lang", "digest", "n_words", F.explode("short").alias("word"))
+        .groupBy("lang", "digest", "word")
+        .agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
+        .select("lang", "word", _units(F.col("n"), F.col("n_words")).alias("units"))
     )
-    rank = F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+
+
+def _middle(values: DataFrame, keys: list[str], texts: DataFrame) -> DataFrame:
+    """The lower median of ``units`` by ``keys`` over all texts of the language, of which
+    those without a row have none; only medians over 0.
+    """
+    each = values.select(*keys, F.expr("units div 10000 AS step")).groupBy(*keys, "step").count()
+    above = Window.partitionBy(*keys).orderBy(F.desc("step"))
+    n = texts.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("texts"))
+    return (
+        each.withColumn("upto", F.sum("count").over(above))
+        .join(n, F.expr("lang <=> of_lang"))
+        .where("2 * upto > texts AND step > 0")
+        .groupBy(*keys)
+        .agg((F.max("step") * 10000).alias("units"))
     )
+
+
+def _as_references(classes: DataFrame, each: DataFrame, options: QualityOptions) -> DataFrame:
+    """References of (lang, ref_classes, all_words) and (lang, word, units)."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("units"), "word"))
     common = (
         each.withColumn("place", rank)
         .where(F.col("place") <= options.common_words)
         .groupBy("lang")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "word", "count"))).alias("top"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "word", "units"))).alias("top"))
     )
-    top = F.coalesce(F.col("top"), F.expr("array()"))
-    joined = by_lang.join(
+    joined = classes.join(
         common.withColumnRenamed("lang", "of_lang"), F.expr("lang <=> of_lang"), "left"
     )
-    common_count = F.coalesce(F.col("top.count"), F.array().cast("array<bigint>"))
-    rest = F.col("all_words") - F.aggregate(
-        common_count, F.lit(0).cast("long"), lambda a, x: a + x
-    )
+    count = F.coalesce(F.col("top.units"), F.array().cast("array<bigint>"))
+    rest = F.col("all_words") - F.aggregate(count, F.lit(0).cast("long"), lambda a, x: a + x)
     return joined.select(
         "lang",
         "ref_classes",
         F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("ref_words"),
-        F.concat(common_count, F.array(rest)).alias("ref_word_counts"),
+        F.concat(count, F.array(F.greatest(F.lit(0), rest))).alias("ref_word_counts"),
+    )
+
+
+def _common_counts(short: Column) -> Column:
+    """How often each of ``ref_words`` is in ``short``."""
+    return F.transform(
+        "ref_words", lambda r: F.size(F.filter(short, lambda w: w == r)).cast("long")
+    )
+
+
+def references(docs: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
+    """(lang, ref_classes, ref_words, ref_word_counts) of the ordinary texts of ``docs``.
+
+    Each different text that passes the base rules counts once and by its shares, however
+    long it is. Texts out of bounds of their language's medians (all of them stay if none
+    is within) are left out, so near copies of one odd text do not become the reference
+    while they are the smaller part. ``ref_words`` are the commonest short words by mean
+    share and then by spelling, and ``ref_word_counts`` their shares with all other words
+    last. Null is a language of its own. Without such texts a language has no row.
+    """
+    texts = _ordinary_texts(docs, options)
+    n = len(CLASSES) + 1
+    units = _classes_in_units(F.col("classes"))
+    bins = _middle(texts.select("lang", F.posexplode(units).alias("bin", "units")), ["lang", "bin"], texts)
+    found = F.map_from_entries(F.collect_list(F.struct("bin", "units")))
+    middle = bins.groupBy("lang").agg(found.alias("found")).select(
+        "lang",
+        F.array(*[F.coalesce(F.col("found")[i], F.lit(0).cast("long")) for i in range(n)]).alias("ref_classes"),
+        F.lit(_UNIT).cast("long").alias("all_words"),
     )
+    words_ = _middle(_word_units(texts), ["lang", "word"], texts)
+    first = stored(_as_references(middle, words_, options), "quality-medians")
+    df = texts.join(first.withColumnRenamed("lang", "of_lang"), F.expr("lang <=> of_lang"), "left")
+    df = df.select("*", _once(_common_counts(F.col("short"))).alias("common"))
+    common = F.col("common")
+    rest = F.col("n_words") - F.aggregate(common, F.lit(0).cast("long"), lambda a, x: a + x)
+    far = distance(F.col("classes"), F.col("ref_classes")) > options.max_class_distance
+    far_words = (
+        distance(F.concat(common, F.array(rest)), F.col("ref_word_counts"))
+        > options.max_word_distance
+    )
+    odd = F.coalesce(far, F.lit(False)) | F.coalesce(far_words, F.lit(False))
+    df = df.select("lang", "digest", "n_words", "classes", "short", odd.alias("odd"))
+    df = stored(df, "quality-ordinary")
+    some = df.groupBy(F.col("lang").alias("of_lang")).agg(F.min("odd").alias("all_odd"))
+    df = df.join(some, F.expr("lang <=> of_lang")).where("all_odd OR NOT odd").drop("of_lang")
+    totals = df.groupBy("lang").agg(
+        F.array(*[F.sum(units[i]) for i in range(n)]).alias("ref_classes"),
+        (F.count("*") * _UNIT).alias("all_words"),
+    )
+    each = _word_units(df).groupBy("lang", "word").agg(F.sum("units").alias("units"))
+    return _as_references(totals, each, options)
 
 
 def _once(value: Column) -> Column:
@@ -226,11 +305,7 @@ def judge(
     refs = stored(refs, "quality-references").withColumnRenamed("lang", "of_lang")
     df = features(docs, options).join(refs, F.expr("lang <=> of_lang"), "left")
     q = F.col("_quality")
-    common = F.transform(
-        "ref_words",
-        lambda r: F.size(F.filter(q.short, lambda w: w == r)).cast("long"),
-    )
-    df = df.select("*", _once(common).alias("common"))
+    df = df.select("*", _once(_common_counts(q.short)).alias("common"))
     common = F.col("common")
     rest = q.n_words - F.aggregate(common, F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumn("word_bins", F.concat(common, F.array(rest)))
