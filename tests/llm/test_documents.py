@@ -273,3 +273,32 @@ def test_odd_vectors(spark):
     rows = hashing_ann.neighbours(few, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in rows] == [(1, 0.0), (25, 5.0)]
     assert hashing_ann.neighbours(df.limit(0), asked).count() == 0
+
+
+def test_repeated_rows_take_no_places_of_neighbours(spark):
+    rnd = np.random.default_rng(3)
+    vectors = rnd.standard_normal((60, 8)).tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    equal = [(100 + i, [9.0] * 8) for i in range(12)]
+    once = spark.createDataFrame(rows + equal, "vec_id long, embedding array<double>")
+    often = spark.createDataFrame(
+        2 * rows + 11 * equal[:1] + 12 * equal, "vec_id long, embedding array<double>"
+    )
+    asked = F.col("vec_id").isin(0, 7, 100, 111)
+    for options in (hashing_ann.AnnOptions(), hashing_ann.AnnOptions(shard_rows=16)):
+        want = hashing_ann.neighbours(once, asked, options).collect()
+        got = hashing_ann.neighbours(often, asked, options).collect()
+        assert Counter(r.query_id for r in got) == {0: 10, 7: 10, 100: 10, 111: 10}
+        for query in (100, 111):
+            ids = {r.vec_id for r in got if r.query_id == query}
+            assert ids == set([i for i in range(100, 112) if i != query][:10])
+        if options.shard_rows > 100:
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_an_id_with_several_vectors_leaves_places_to_others(spark):
+    rows = [(0, [0.5, 0.0])] + [(1, [0.5 + math.cos(t), math.sin(t)]) for t in range(30)]
+    rows += [(i, [0.5, 1.5 + i]) for i in range(2, 14)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hashing_ann.neighbours(df, F.col("vec_id") == 0).collect()
+    assert len(got) == 10 and len({(r.vec_id, r.score) for r in got}) == 10

@@ -174,7 +174,9 @@ def neighbours(
     components take no part, nor do those whose length is not the commonest one (of equally
     common lengths, the longest). Rows with a null vec_id are not candidates or queries.
     With no more than k candidates all are found. An empty table gives an empty one; other
-    columns are left behind. A query id that is there twice is searched for once a vector.
+    columns are left behind. Repeated rows (same vec_id and vector) are one candidate and
+    one query; an id with several vectors is a candidate and a query with each of them, and
+    of its rows for one query those of equal score are one.
     """
     k = options.k
     rows = vectors.where("vec_id IS NOT NULL").where(usable(F.col("embedding")))
@@ -187,9 +189,10 @@ def neighbours(
     common = lengths.orderBy(F.desc("count"), F.desc("n")).first()
     length = common["n"] if common else 0
     rows = rows.where(F.size("vector") == length).withColumn("same", F.md5(F.to_json("vector")))
+    candidates = rows.select("same", "vec_id").distinct()
     # The ids a query can want of equal vectors: k besides its own, the smallest.
     nth = F.row_number().over(Window.partitionBy("same").orderBy("vec_id"))
-    ids = rows.select("same", "vec_id").withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    ids = candidates.withColumn("nth", nth).where(F.col("nth") <= k + 1)
     ids = ids.groupBy("same").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = stored(
         rows.groupBy("same").agg(F.first("vector").alias("vector")).join(ids, "same"),
@@ -200,7 +203,9 @@ def neighbours(
     shards = max(1, -(-count // options.shard_rows))
     queries = stored(
         rows.where("is_query")
-        .select(F.col("vec_id").alias("query_id"), "vector")
+        .groupBy(F.col("vec_id").alias("query_id"), "same")
+        .agg(F.first("vector").alias("vector"))
+        .drop("same")
         .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20))),
         "ann-queries",
     )
@@ -228,10 +233,15 @@ def neighbours(
             own = codes.encode(asking)
             for query, vector, code in zip(left.column("query_id").to_pylist(), asking, own):
                 # One more entry, as the query's own may be among them.
-                at, far = shard.nearest(vector, code, k + 1)
-                near = [
-                    (d, i) for a, d in zip(at.tolist(), far.tolist()) for i in ids[a] if i != query
-                ]
+                n = k + 1
+                while True:
+                    at, far = shard.nearest(vector, code, n)
+                    pairs = zip(at.tolist(), far.tolist())
+                    near = {(d, i) for a, d in pairs for i in ids[a] if i != query}
+                    # Fewer only if an id has several vectors: more entries are needed.
+                    if len(near) >= k or n >= len(ids):
+                        break
+                    n *= 2
                 out += [(query, i, d) for d, i in sorted(near)[:k]]
         columns = list(zip(*out)) if out else ((), (), ())
         return pa.table(
