@@ -122,6 +122,30 @@ def test_grams_stay_inside_words_and_texts():
     assert len(language_id.grams([""], 3)[0]) == len(language_id.grams([], 3)[0]) == 0
 
 
+def test_languages_of_long_texts_and_large_alphabets_are_learned(spark):
+    rnd = np.random.default_rng(5)
+
+    def text(first, letters, n):
+        # Few letters as in Latin script, or thousands that are used evenly.
+        letters = rnd.integers(0, letters, n)
+        ends = rnd.random(n) < 0.2
+        return "".join(chr(first + c) + " " * e for c, e in zip(letters.tolist(), ends.tolist()))
+
+    pairs = rnd.integers(0x4E00, 0x4E00 + 3000, (4000, 2)).tolist()
+
+    def wide(n):
+        own = [pairs[i] for i in rnd.integers(0, len(pairs), n)]
+        return " ".join(chr(a) + chr(b) for a, b in own)
+
+    rows = [("aa", text(0x430, 20, 500)) for _ in range(30)]
+    rows += [("bb", text(0x61, 20, 21_000)) for _ in range(3)]
+    rows += [("cc", wide(2000)) for _ in range(30)]
+    model = language_id.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == ["aa", "bb", "cc"]
+    texts = [text(0x430, 20, 60), text(0x61, 20, 60), *[wide(3) for _ in range(40)]]
+    assert model.decide(texts)[0] == ["aa", "bb", *["cc"] * 40]
+
+
 # --- pages ------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ scored whole, each in the task that reads it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -34,12 +34,17 @@ class LanguageOptions:
     n: int = 3
     #: Labelled texts the filter is learned from, for each language at most.
     sample_per_language: int = 400
-    #: Longer texts (in characters) are not in the sample.
+    #: Longer texts (in characters) are in the sample only if there are not enough others,
+    #: and then by so many leading characters.
     sample_chars: int = 20_000
-    #: An n-gram belongs to a language from this share of all its n-grams on.
+    #: An n-gram belongs to a language from this share of all its n-grams on, or from a
+    #: smaller one that makes a language's n-grams so large a part of its text.
     least_share: float = 1e-4
-    #: Slots of the filter (a power of two) and hash functions.
+    least_cover: float = 0.9
+    #: Slots of the filter (a power of two), doubled while a language would set more than
+    #: half of them, up to a bound; and hash functions.
     slots: int = 1 << 16
+    most_slots: int = 1 << 22
     hashes: int = 3
     #: Characters scored at a time.
     block_chars: int = 1 << 20
@@ -111,16 +116,15 @@ class Filter:
     def learn(cls, samples: dict[str, list[str]], options: LanguageOptions) -> Filter:
         languages = sorted(samples)
         n_words = max(1, -(-len(languages) // 64))
+        owned = [cls._own(samples[lang], options) for lang in languages]
+        slots, most = options.slots, max(map(len, owned), default=0) * options.hashes
+        while slots * np.log(2) < most and slots < options.most_slots:
+            slots *= 2
+        options = replace(options, slots=slots)
         made = cls(
             languages, np.zeros((options.slots, n_words), np.uint64), np.zeros(0), options
         )
-        for i, lang in enumerate(languages):
-            parts = [np.unique(grams([t], options.n)[0], return_counts=True) for t in samples[lang]]
-            if not parts:
-                continue
-            hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([p[1] for p in parts]), len(hashes))
-            own = hashes[counts >= max(2.0, options.least_share * counts.sum())]
+        for i, own in enumerate(owned):
             bit = np.uint64(1) << np.uint64(i % 64)
             for k in range(options.hashes):
                 made.masks[made._slots(own, k), i // 64] |= bit
@@ -133,6 +137,22 @@ class Filter:
         made.chance = filled**options.hashes
         return made
 
+    @staticmethod
+    def _own(texts: list[str], options: LanguageOptions) -> np.ndarray:
+        """The n-grams that belong to a language, by its sample."""
+        parts = [np.unique(grams([t], options.n)[0], return_counts=True) for t in texts]
+        if not parts:
+            return np.zeros(0, np.uint64)
+        hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([p[1] for p in parts]), len(hashes))
+        if not len(counts):
+            return hashes
+        falling = np.sort(counts)[::-1]
+        cover = np.cumsum(falling)
+        least = falling[np.searchsorted(cover, options.least_cover * cover[-1])]
+        usual = max(2.0, options.least_share * counts.sum())
+        return hashes[counts >= min(usual, least)]
+
     def shares(self, texts: list[str]) -> np.ndarray:
         """For each text and language, the share of n-grams the language has, corrected
         for false positives; NaN rows for texts without letters.
@@ -170,15 +190,16 @@ def learn(labelled: DataFrame, options: LanguageOptions = LanguageOptions()) ->
     """The filter of the languages in ``labelled`` (lang, text); null labels are left out.
 
     The sample is the ``sample_per_language`` texts of each language that come first by a
-    hash of the text, so it is the same in every run. Without labels nothing is learned
-    and every text is undecided.
+    hash of the text, so it is the same in every run; those of up to ``sample_chars`` come
+    before longer ones. Without labels nothing is learned and every text is undecided.
     """
-    place = F.xxhash64("text")
-    labelled = labelled.where(F.length("text") <= options.sample_chars)
+    place = F.struct(
+        (F.length("text") > options.sample_chars).alias("long"), F.xxhash64("text").alias("hash")
+    )
     first = Window.partitionBy("lang").orderBy("place", "text")
     # The cut is made on digests; only the texts that are in the sample are moved.
     keys = (
-        labelled.where("lang IS NOT NULL")
+        labelled.where("lang IS NOT NULL AND text IS NOT NULL")
         .select("lang", place.alias("place"), F.md5("text").alias("text"))
         .withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") <= options.sample_per_language)
@@ -186,7 +207,8 @@ def learn(labelled: DataFrame, options: LanguageOptions = LanguageOptions()) ->
         .distinct()
     )
     keys = stored(keys, "language-sample")
-    texts = labelled.select("lang", "text", place.alias("place")).join(keys, ["lang", "place"])
+    text = F.substring("text", 1, options.sample_chars).alias("text")
+    texts = labelled.select("lang", text, place.alias("place")).join(keys, ["lang", "place"])
     nth = F.row_number().over(first)
     texts = texts.withColumn("nth", nth).where(F.col("nth") <= options.sample_per_language)
     samples: dict[str, list[str]] = {}
