@@ -45,9 +45,8 @@ _END_WORDS = 5
 
 def _ends(line: Column) -> tuple[Column, Column]:
     """Hashes of the first and of the last words of a line."""
-    first = F.regexp_extract(line, rf"^\s*(?:\S+\s+){{0,{_END_WORDS - 1}}}\S+", 0)
-    last = F.regexp_extract(line, rf"\S+(?:\s+\S+){{0,{_END_WORDS - 1}}}\s*$", 0)
-    return F.hash(F.trim(first)), F.hash(F.trim(last))
+    line = F.trim(line)
+    return tuple(F.hash(F.substring_index(line, " ", n)) for n in (_END_WORDS, -_END_WORDS))
 
 
 def _often(found: Column, pages: Column, options: LineOptions) -> Column:
