@@ -188,6 +188,59 @@ def references(docs: DataFrame, options: QualityOptions = QualityOptions()) -> D
     return _as_references(totals, each, options)
 
 
+def short_words(text: Column, options: QualityOptions) -> Column:
+    return F.filter(words(F.lower(text)), lambda w: F.length(w) <= options.short_word)
+
+
+def total_references(docs: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
+    """(lang, ref_classes, ref_words, ref_word_counts) over all of ``docs``,
+    every row by its length: the references that the SQL of ``op10`` is written with.
+
+    ``ref_words`` are the language's commonest short words, by count and then by
+    spelling, and ``ref_word_counts`` their counts with all other words last. Null is a
+    language of its own. No documents, no rows.
+    """
+    docs = docs.select("lang", "text")
+    names = [*CLASSES, "rest"]
+    counted = docs.select(
+        "lang",
+        *[c.alias(n) for c, n in zip(class_counts(F.col("text")), names)],
+        count_of(F.col("text"), r"[^\x20\x09-\x0D]+").alias("n_words"),
+    )
+    by_lang = counted.groupBy("lang").agg(
+        F.array(*[F.sum(n) for n in names]).alias("ref_classes"),
+        F.sum("n_words").alias("all_words"),
+    )
+    each = (
+        docs.select("lang", F.explode(short_words(F.col("text"), options)).alias("word"))
+        .groupBy("lang", "word")
+        .count()
+    )
+    rank = F.row_number().over(
+        Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    )
+    common = (
+        each.withColumn("place", rank)
+        .where(F.col("place") <= options.common_words)
+        .groupBy("lang")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "word", "count"))).alias("top"))
+    )
+    top = F.coalesce(F.col("top"), F.expr("array()"))
+    joined = by_lang.join(
+        common.withColumnRenamed("lang", "of_lang"), F.expr("lang <=> of_lang"), "left"
+    )
+    common_count = F.coalesce(F.col("top.count"), F.array().cast("array<bigint>"))
+    rest = F.col("all_words") - F.aggregate(
+        common_count, F.lit(0).cast("long"), lambda a, x: a + x
+    )
+    return joined.select(
+        "lang",
+        "ref_classes",
+        F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("ref_words"),
+        F.concat(common_count, F.array(rest)).alias("ref_word_counts"),
+    )
+
+
 def _once(value: Column) -> Column:
     """``value`` behind an explode, so that no filter or projection above copies it."""
     return F.explode(F.array(value))
