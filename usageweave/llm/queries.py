@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageweave.llm import byte_bpe, language_id, line_dedup, mixing, quality
+from usageweave.llm import byte_bpe, collocations, language_id, line_dedup, mixing, quality
 from usageweave.llm import hashing_ann, ngram_join, secret_scan, substring_dedup, url_filter
 from usageweave.llm.shared import ship_package
 from usageweave.llm.sql import ORACLES
@@ -154,3 +154,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     refs = quality.total_references(docs)
     judged = quality.judge(docs, refs).select("doc_id", "quality.*")
     return judged.drop("class_distance", "word_distance")
+
+
+@register
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of every language."""
+    docs = table(spark, folder, "documents").select("lang", "text")
+    return collocations.phrases(docs)

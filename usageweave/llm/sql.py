@@ -198,3 +198,50 @@ c AS (SELECT r.n, min(d.doc_id) AS component_id FROM r JOIN d ON d.n = r.m GROUP
 SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id
 FROM d JOIN c USING (n) LEFT JOIN z USING (n)
 """
+
+_CUT = "[.,;:!?\\x0A-\\x0D]"
+ORACLES["op13_phrases"] = f"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text
+  FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '{_CUT}')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+g AS (
+  SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) s
+  WHERE len(words) >= size),
+f AS (
+  SELECT lang, size, words[i : i + size - 1] AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE size >= 2 AND f >= 30),
+x AS (
+  SELECT lang, words AS phrase, max(f) AS longest
+  FROM (
+    SELECT lang, f, unnest(list_distinct(list_transform(
+      flatten(list_transform(range(2, size), lambda m: list_transform(
+        range(1, size - m + 2), lambda i: [i, i + m - 1]))),
+      lambda b: phrase[b[1] : b[2]]))) AS words
+    FROM c)
+  GROUP BY lang, words),
+k AS (
+  SELECT c.lang, c.phrase, c.size, c.f AS a, unnest(range(1, c.size)) AS k
+  FROM c LEFT JOIN x ON c.lang = x.lang AND c.phrase = x.phrase
+  WHERE x.longest IS NULL OR 100 * x.longest < 80 * c.f),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r,
+    (2000000::HUGEINT * k.a) // (l.f + r.f) AS score
+  FROM k
+  JOIN f l ON l.lang = k.lang AND l.phrase = k.phrase[1 : k.k]
+  JOIN f r ON r.lang = k.lang AND r.phrase = k.phrase[k.k + 1 : k.size]),
+b AS (
+  SELECT * FROM s
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score FROM b),
+q AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM o)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM q JOIN n USING (lang) WHERE rank <= 2000
+"""
