@@ -99,6 +99,36 @@ def whole_windows(counts: np.ndarray, n: int) -> np.ndarray:
     return np.arange(total - n + 1) + n <= ends[: total - n + 1]
 
 
+def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all ``n``-word shingles of the lower-cased texts, and the text each is of, in
+    order of texts. A text of fewer words is one shingle as a whole.
+    """
+    hashes, counts = word_hashes(texts, lower=True)
+    whole = whole_windows(counts, n)
+    keys = window_hashes(hashes, n)[whole]
+    owner = np.repeat(np.arange(len(texts)), np.maximum(counts - n + 1, 0))
+    ends = np.cumsum(counts)
+    for size in range(1, n):
+        (of,) = np.nonzero(counts == size)
+        if len(of):
+            short = window_hashes(hashes, size)[ends[of] - size]
+            short = mix(short + np.uint64(size)) >> np.uint64(64 - KEY_BITS)
+            keys, owner = np.concatenate([keys, short]), np.concatenate([owner, of])
+    order = np.argsort(owner, kind="stable")
+    return keys[order], owner[order]
+
+
+def set_marks(keys: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """16 bytes for each set, equal for equal sets: two sums of its scrambled keys."""
+    ends = np.cumsum(sizes)
+    sums = [
+        np.concatenate(([0], np.cumsum(mix(keys + np.uint64(k)), dtype=np.uint64)))
+        for k in (1, 2)
+    ]
+    marks = np.stack([s[ends] - s[ends - sizes] for s in sums], axis=1)
+    return [m.tobytes() for m in marks]
+
+
 def in_blocks(docs: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """``docs`` (with ``text``) and their ``block``, and the number of key groups.
 

@@ -8,8 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageweave.llm import byte_bpe, collocations, language_id, line_dedup, mixing, quality
-from usageweave.llm import hashing_ann, ngram_join, secret_scan, substring_dedup, url_filter
+from usageweave.llm import byte_bpe, collocations, conversations, language_id, line_dedup
+from usageweave.llm import hashing_ann, minhash, mixing, ngram_join, quality, secret_scan
+from usageweave.llm import substring_dedup, url_filter
 from usageweave.llm.shared import ship_package
 from usageweave.llm.sql import ORACLES
 
@@ -156,6 +157,20 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("class_distance", "word_distance")
 
 
+@register
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every conversation after damage, and its cheapest repair."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repaired_conversations(conversations.damaged(rows), rows)
+
+
+@register
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingles of every document, its component of near duplicates, and whether it stays."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs).drop("text_hash")
+
+
 @register
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     """The best phrases of every language."""

@@ -178,7 +178,11 @@ FROM b
 """
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')"
-ORACLES["op3_ngram_join"] = f"""
+
+
+def _near_duplicates(percent: int, more: str = "") -> str:
+    """Components of texts whose sets of four-word shingles are alike."""
+    return f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT n, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0),
@@ -189,16 +193,20 @@ p AS (
   GROUP BY a.n, b.n),
 e AS (
   SELECT a, b FROM p JOIN z y ON y.n = a JOIN z v ON v.n = b
-  WHERE 100 * common >= 85 * (y.size + v.size - common)),
+  WHERE 100 * common >= {percent} * (y.size + v.size - common)),
 t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (
   SELECT n, n AS m FROM d
   UNION SELECT r.n, t.b FROM r JOIN t ON r.m = t.a),
 c AS (SELECT r.n, min(d.doc_id) AS component_id FROM r JOIN d ON d.n = r.m GROUP BY r.n)
-SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id
+SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id{more}
 FROM d JOIN c USING (n) LEFT JOIN z USING (n)
 """
 
+
+ORACLES["op3_ngram_join"] = _near_duplicates(85)
+ORACLES["op12_minhash"] = _near_duplicates(80, ", doc_id = component_id AS kept")
+
 _CUT = "[.,;:!?\\x0A-\\x0D]"
 ORACLES["op13_phrases"] = f"""
 WITH t AS (
