@@ -75,7 +75,7 @@ def test_pieces_cases_and_full_filters_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     check(df, PhraseOptions(least=6))
     # A filter of the least size lets almost everything through; the rest is as before.
-    check(df, PhraseOptions(least=6, filter_bits=8, segments=1, word_segments=1))
+    check(df, PhraseOptions(least=6, filter_bits=8, common_share=1.0, word_segments=1))
 
 
 def test_frequent_neighbours_of_a_third_of_all_words(spark):

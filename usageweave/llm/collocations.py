@@ -10,8 +10,8 @@ that of the language), and the largest entry of a stripe is the most frequent ex
 Phrases that occur often enough consist of shorter ones that do, so stripes are made for
 one length after the other and only where both shorter phrases are frequent. Tasks know
 these from a bit filter of bounded size: a false positive costs a count that is thrown
-away later, and no frequent phrase is missed. Stripes are cut into segments by the next
-word, so that the stripe of a very common prefix is merged by many tasks.
+away later, and no frequent phrase is missed. The stripes of very common prefixes (there can
+only be a few) are cut into segments by the next word, so that many tasks merge them.
 """
 
 from __future__ import annotations
@@ -50,12 +50,14 @@ class PhraseOptions:
     #: Phrases reported for each language.
     top: int = 2000
     #: Bytes of text whose stripes are made at once.
-    block_bytes: int = 12_000_000
+    block_bytes: int = 6_000_000
     #: Most bits of a filter (32 MB); a fuller filter lets more through, never less.
     filter_bits: int = 1 << 28
-    #: Segments of a stripe, and of that of the empty prefix.
-    segments: int = 16
+    #: Segments of the stripe of a common prefix, and of that of the empty one.
+    segments: int = 256
     word_segments: int = 4096
+    #: A prefix is common with this share of all words; so there are 4096 at most.
+    common_share: float = 1 / 4096
 
 
 @dataclass
@@ -113,36 +115,49 @@ def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
-def _frequent_places(block: _Block, size: int, bits: np.ndarray | None) -> np.ndarray:
-    """Where a phrase of ``size`` words begins whose two shorter phrases may be frequent."""
+@dataclass
+class _Known:
+    """What tasks know of the frequent phrases of one word less: a bit filter of all of
+    them, and the hashes of the common ones.
+    """
+
+    bits: bytes
+    common: np.ndarray
+
+
+def _frequent_places(block: _Block, size: int, known: _Known | None):
+    """Where a phrase of ``size`` words begins whose two shorter phrases may be frequent,
+    and whether its prefix is common.
+    """
     n = len(block.ids) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    if size == 1:
-        return np.arange(n)
+    if n <= 0 or size == 1:
+        return np.arange(max(n, 0)), np.ones(max(n, 0), bool)
     hashes = shorter = block.hashes[block.ids]
     for j in range(1, size - 1):
         shorter = _extended(shorter[:-1], hashes[j:])
-    known = _in_filter(bits, shorter)
+    may_be = _in_filter(np.frombuffer(known.bits, np.uint8), shorter)
     whole = block.pieces[:n] == block.pieces[size - 1 :]
-    return np.flatnonzero(whole & known[:n] & known[1 : n + 1])
+    at = np.flatnonzero(whole & may_be[:n] & may_be[1 : n + 1])
+    return at, np.isin(shorter[at], known.common)
 
 
-STRIPES = "lang string, prefix string, segment int, next array<string>, n array<long>"
+STRIPES = "lang string, prefix string, segment int, next string, n array<int>"
 _ARROW = pa.schema(
     [
         ("lang", pa.string()),
         ("prefix", pa.string()),
         ("segment", pa.int32()),
-        ("next", pa.list_(pa.string())),
-        ("n", pa.list_(pa.int64())),
+        ("next", pa.string()),
+        ("n", pa.list_(pa.int32())),
     ]
 )
 
 
-def _stripes(block: _Block, size: int, bits, options: PhraseOptions) -> pa.RecordBatch:
+def _stripes(
+    block: _Block, size: int, known: _Known | None, options: PhraseOptions
+) -> pa.RecordBatch:
     """The stripes of all prefixes of ``size - 1`` words of a block."""
-    at = _frequent_places(block, size, bits)
+    at, common = _frequent_places(block, size, known)
     prefix = np.zeros(len(at), np.int64)
     vocabulary = len(block.word_of)
     for j in range(size - 1):
@@ -157,26 +172,31 @@ def _stripes(block: _Block, size: int, bits, options: PhraseOptions) -> pa.Recor
     last = block.ids[place + size - 1]
     parts = options.word_segments if size == 1 else options.segments
     segment = (mix(block.hashes[last]) % np.uint64(parts)).astype(np.int64)
+    segment[~common[shown]] = 0
     order = np.lexsort((segment, prefix))
     prefix, place, last, segment, n = (x[order] for x in (prefix, place, last, segment, n))
     new = np.ones(len(place), bool)
     new[1:] = (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1])
     begins = np.flatnonzero(new)
-    words = [block.words.take(block.word_of[block.ids[place[begins] + j]]) for j in range(size - 1)]
+    words = [
+        block.words.take(pa.array(block.word_of[block.ids[place[begins] + j]]))
+        for j in range(size - 1)
+    ]
+    empty = pa.array([""] * len(begins), pa.string())
     langs = pa.array(block.langs, pa.string())
     columns = [
         langs.take(pa.array(block.lang_of[last[begins]], pa.int64())),
-        pc.binary_join_element_wise(*words, " ") if words else pa.array([""] * len(begins), pa.string()),
+        pc.binary_join_element_wise(*words, " ") if words else empty,
         pa.array(segment[begins], pa.int32()),
-        _lists(begins, block.words.take(pa.array(block.word_of[last]))),
-        _lists(begins, pa.array(n, pa.int64())),
+        pc.binary_join(_lists(begins, block.words.take(pa.array(block.word_of[last]))), " "),
+        _lists(begins, pa.array(n, pa.int32())),
     ]
     out = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
     if size > 1:
         return out
     totals = np.bincount(block.lang_of[block.ids], minlength=len(block.langs)).tolist()
     rows = [
-        {"lang": lang, "prefix": "", "segment": 0, "next": [""], "n": [total]}
+        {"lang": lang, "prefix": "", "segment": 0, "next": "", "n": [total]}
         for lang, total in zip(block.langs, totals)
         if total
     ]
@@ -189,18 +209,18 @@ def _lists(begins: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def stripes(docs: DataFrame, size: int, filters, options: PhraseOptions) -> DataFrame:
+def stripes(docs: DataFrame, size: int, known, options: PhraseOptions) -> DataFrame:
     """The stripes (lang, prefix, segment, next, n) of all prefixes of ``size - 1`` words
-    of each block of ``docs`` (lang, text). ``filters``: a broadcast filter of the frequent
-    phrases of ``size - 1`` words; not needed for words.
+    of each block of ``docs`` (lang, text): next words joined by spaces, and their counts.
+    ``known``: what is broadcast of the frequent phrases of ``size - 1`` words; none for words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(filters.value, np.uint8) if filters else None
+        shorter = known.value if known else None
         langs, texts, held = [], [], 0
 
         def done():
-            return _stripes(_read(langs, texts), size, bits, options)
+            return _stripes(_read(langs, texts), size, shorter, options)
 
         for batch in batches:
             text = batch.column("text").cast(pa.binary())
@@ -220,7 +240,8 @@ def stripes(docs: DataFrame, size: int, filters, options: PhraseOptions) -> Data
 def merged(rows: DataFrame) -> DataFrame:
     """Stripes added up element by element: (lang, prefix, next, f)."""
     dealt = rows.repartition("lang", "prefix", "segment")
-    entries = dealt.select("lang", "prefix", "segment", F.inline(F.arrays_zip("next", "n")))
+    zipped = F.arrays_zip(F.split("next", " ").alias("next"), "n")
+    entries = dealt.select("lang", "prefix", "segment", F.inline(zipped))
     return (
         entries.groupBy("lang", "prefix", "segment", "next")
         .agg(F.sum("n").alias("f"))
@@ -228,31 +249,40 @@ def merged(rows: DataFrame) -> DataFrame:
     )
 
 
-def _filter(phrases: DataFrame, size: int, options: PhraseOptions):
-    """A broadcast bit filter of phrases (lang, phrase), 16 bits for each if its bound
-    allows; it is built by Spark's bitmap aggregate, a row for each chunk.
-    """
-    spark = phrases.sparkSession
-    wanted = max(_CHUNK, 1 << (16 * phrases.count()).bit_length())
-    n_bits = min(wanted, options.filter_bits)
+def _hashed(phrases: DataFrame, size: int) -> DataFrame:
+    """(hash, f) of phrases (lang, phrase, f) of ``size`` words."""
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             text = b"\n".join(batch.column("phrase").cast(pa.binary()).to_pylist())
             own = word_hashes([text])[0].reshape(-1, size)
-            salts = np.array([_language_hash(n) for n in batch.column("lang").to_pylist()], np.uint64)
+            langs = batch.column("lang").to_pylist()
+            salts = np.array([_language_hash(n) for n in langs], np.uint64)
             own = mix(own ^ salts[:, None])
             hashes = own[:, 0]
             for j in range(1, size):
                 hashes = _extended(hashes, own[:, j])
-            place = (hashes & np.uint64(n_bits - 1)).astype(np.int64) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(place)], ["place"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.view(np.int64)), batch.column("f")], ["hash", "f"]
+            )
+
+    return phrases.select("lang", "phrase", "f").mapInArrow(run, "hash long, f long")
+
 
+def _known(phrases: DataFrame, size: int, n_words: int, options: PhraseOptions):
+    """What to broadcast of frequent phrases: the filter has 16 bits for each if its bound
+    allows, and is built by Spark's bitmap aggregate, a row for each chunk.
+    """
+    spark = phrases.sparkSession
+    wanted = max(_CHUNK, 1 << (16 * phrases.count()).bit_length())
+    n_bits = min(wanted, options.filter_bits)
+    hashed = stored(_hashed(phrases, size), "phrases-hashed")
+    common = hashed.where(F.col("f") >= F.lit(max(1.0, n_words * options.common_share)))
+    place = (F.col("hash").bitwiseAND(F.lit(n_bits - 1)) + 1).alias("place")
     chunks = (
-        phrases.select("lang", "phrase")
-        .mapInArrow(places, "place long")
+        hashed.select(place)
         .groupBy(F.bitmap_bucket_number("place").alias("chunk"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     )
@@ -261,7 +291,8 @@ def _filter(phrases: DataFrame, size: int, options: PhraseOptions):
         start = (row["chunk"] - 1) * _CHUNK // 8
         chunk = row["bits"][: len(bits) - start]
         bits[start : start + len(chunk)] = chunk
-    return spark.sparkContext.broadcast(bytes(bits))
+    found = np.array([r["hash"] for r in common.select("hash").collect()], np.int64)
+    return spark.sparkContext.broadcast(_Known(bytes(bits), found.view(np.uint64)))
 
 
 def frequent(docs: DataFrame, options: PhraseOptions = PhraseOptions()) -> DataFrame:
@@ -271,9 +302,9 @@ def frequent(docs: DataFrame, options: PhraseOptions = PhraseOptions()) -> DataF
     """
     lang, text = F.coalesce("lang", F.lit("und")), F.coalesce("text", F.lit(""))
     docs = docs.select(lang.cast("string").alias("lang"), text.cast("string").alias("text"))
-    found, filters = None, None
+    found, known, n_words = None, None, 0
     for size in range(1, options.longest + 1):
-        counts = merged(stripes(docs, size, filters, options)).where(
+        counts = merged(stripes(docs, size, known, options)).where(
             (F.col("f") >= options.least) | (F.col("next") == "")
         )
         joined = F.concat_ws(" ", F.when(F.col("prefix") != "", F.col("prefix")), "next")
@@ -283,8 +314,10 @@ def frequent(docs: DataFrame, options: PhraseOptions = PhraseOptions()) -> DataF
             f"phrases-{size}",
         )
         found = level if found is None else found.unionByName(level)
+        if size == 1:
+            n_words = level.where("size = 0").agg(F.sum("f")).first()[0] or 0
         if size < options.longest:
-            filters = _filter(level.where("size > 0"), size, options)
+            known = _known(level.where("size > 0"), size, n_words, options)
     return found
 
 
@@ -300,9 +333,10 @@ def scored(counts: DataFrame, options: PhraseOptions = PhraseOptions()) -> DataF
     candidates = counts.where("size >= 2").select("lang", "phrase", "size", F.col("f").alias("a"))
     # What holds a candidate and is longer by several words holds one longer by one word,
     # which occurs as often at least.
+    shorter = F.array(*[_words(i, "size - 1") for i in "12"])
     longer = (
         counts.where("size >= 3")
-        .select("lang", "f", F.explode(F.array(*[_words(i, "size - 1") for i in "12"])).alias("phrase"))
+        .select("lang", "f", F.explode(shorter).alias("phrase"))
         .groupBy("lang", "phrase")
         .agg(F.max("f").alias("longest"))
     )
@@ -310,10 +344,13 @@ def scored(counts: DataFrame, options: PhraseOptions = PhraseOptions()) -> DataF
     kept = candidates.join(longer, ["lang", "phrase"], "left").where(
         f"longest IS NULL OR NOT ({share})"
     )
-    cuts = kept.select(
-        "lang", "phrase", "a", "size", F.explode(F.expr("sequence(1, size - 1)")).alias("k")
-    ).select(
-        "lang", "phrase", "a", "k", _words("1", "k").alias("left"), _words("k + 1", "size - k").alias("right")
+    cuts = kept.select("*", F.explode(F.expr("sequence(1, size - 1)")).alias("k")).select(
+        "lang",
+        "phrase",
+        "a",
+        "k",
+        _words("1", "k").alias("left"),
+        _words("k + 1", "size - k").alias("right"),
     )
     parts = counts.where("size >= 1")
     lefts = parts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
