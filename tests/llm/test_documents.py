@@ -257,6 +257,28 @@ def test_copies_of_an_odd_text_do_not_become_the_reference(spark):
         assert {r.doc_id for r in judged} == set(range(60))
 
 
+def test_copied_junk_leaves_the_verdicts_of_the_query_alone(spark, tmp_path):
+    """Copies of one rejected text as a third of all rows: every labelled-good document that
+    passes the base rules stays, and no copy does.
+    """
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = docs.join(quality.judge(docs, columns=["doc_id"]), "doc_id")
+    junk = judged.where("NOT quality.kept AND NOT quality.base_failed AND lang = 'en'").first()
+    assert junk
+    copies = spark.range(500).select(
+        (F.col("id") + 10**6).alias("doc_id"), F.lit(junk.text).alias("text"), F.lit("en").alias("lang")
+    )
+    rows = docs.select("doc_id", "text", "lang").unionByName(copies)
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["op10_quality_rules"](spark, str(tmp_path)).where("NOT base_failed")
+    got = {r.doc_id: r.kept for r in got.collect()}
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    assert len([d for d in got if d in good]) > 100
+    assert all(kept for d, kept in got.items() if d in good)
+    assert not any(kept for d, kept in got.items() if d >= 10**6)
+
+
 # --- vectors ----------------------------------------------------------------
 
 

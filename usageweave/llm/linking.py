@@ -2,8 +2,9 @@
 
 Nodes that link share a key. Members of a large group all share keys with each other, so
 not all pairs are looked at. In turns, one node is picked for each key that still holds
-several groups, and every node is compared with one of the picked: the one that it shares
-most keys with and was not compared with before. Turns go on until one finds no new link.
+several groups, and nodes are compared with the picked of their keys that are in other
+groups; in the first turn, in which all are, with that one only that they share most keys
+with. Turns go on until one finds no new link.
 Then all pairs of different groups that share a key are compared, each once, so no link
 between groups is missed; of a key's largest group the members are joined with the others
 only. A large family of near copies so costs a few comparisons a member.
@@ -45,56 +46,76 @@ class Grouping:
         self.postings, self.compare, self.near = postings, compare, near
         self.wide, self.first = wide, first
         self.extra = [c for c in postings.columns if c not in ("key", "node")]
-        self.links: DataFrame | None = None
+        self.open = postings
         self.seen: DataFrame | None = None
         self.labels: DataFrame | None = None
         #: Pairs that were compared, and turns that were taken.
         self.compared = self.turns = 0
 
     def _unsettled(self) -> DataFrame:
-        """Postings of keys that hold several groups, with the group of each node."""
+        """Postings of keys that hold several groups, with the group of each node. Groups only
+        grow, so a key that holds one is done with.
+        """
         if self.labels is None:
             return self.postings.withColumn("component", F.col("node"))
-        p = self.postings.join(self.labels, "node", "left").withColumn(
+        p = self.open.join(self.labels, "node", "left").withColumn(
             "component", F.coalesce("component", "node")
         )
         ends = p.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-        return stored(p.join(ends.where("a <> b").select("key"), "key"), "linking-unsettled")
+        p = stored(p.join(ends.where("a <> b").select("key"), "key"), "linking-unsettled")
+        self.open = p.drop("component")
+        return p
+
+    def _unseen(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) that were not compared yet."""
+        return pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti")
 
     def _link(self, pairs: DataFrame) -> bool:
-        """Compare ``pairs`` (a, b) not compared yet; whether any of them links."""
-        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        once = once.distinct()
-        if self.seen is not None:
-            once = once.join(self.seen, ["a", "b"], "left_anti")
-        once = stored(once, "linking-pairs")
+        """Compare the different ones of ``pairs`` (a < b, unseen); whether any links."""
+        once = stored(pairs.select("a", "b").distinct(), "linking-pairs")
         self.seen = once if self.seen is None else self.seen.unionByName(once)
         self.compared += once.count()
         found = self.compare(once).select("a", "b")
         if found.isEmpty():
             return False
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links, self.labels)
+        self.labels = components(found) if self.labels is None else self._merged(found)
         return True
 
+    def _merged(self, found: DataFrame) -> DataFrame:
+        """The labels after links ``found`` (a, b) between groups: these are merged as nodes of
+        a graph of groups.
+        """
+        labels = self.labels
+        for end in "ab":
+            of = labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
+            found = found.join(of, end, "left")
+        ends = [F.coalesce(f"{e}_label", e).alias(e) for e in "ab"]
+        groups = components(stored(found.select(*ends).distinct(), "linking-groups"))
+        groups = groups.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        # Nodes that were alone till now are groups of their own.
+        alone = found.where("a_label IS NULL").select(F.col("a").alias("node"))
+        alone = alone.unionByName(found.where("b_label IS NULL").select(F.col("b").alias("node")))
+        alone = alone.distinct().withColumn("component", F.col("node"))
+        every = labels.unionByName(alone).join(groups, "component", "left")
+        component = F.coalesce("to", "component").alias("component")
+        return stored(every.select("node", component), "linking-labels")
+
     def _turn(self) -> bool:
         p = self._unsettled()
         turn = F.xxhash64("node", F.lit(self.turns)).alias("turn")
-        self.turns += 1
         pick = F.min(F.struct(turn, "node", "component", *self.extra)).alias("y")
         picked = p.groupBy("key").agg(pick).select("key", "y.*").drop("turn")
         near = f"x.key = y.key AND x.component <> y.component AND {self.near}"
-        pairs = (
-            p.alias("x")
-            .join(picked.alias("y"), F.expr(near))
-            .groupBy(F.col("x.node").alias("of"), F.col("y.node").alias("to"))
-            .agg(F.count("*").alias("shared"))
-            .select("of", "to", "shared", F.least("of", "to").alias("a"), F.greatest("of", "to").alias("b"))
-        )
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        best = pairs.groupBy("of").agg(F.max(F.struct("shared", "to"))["to"].alias("to"))
-        return self._link(best.select(F.col("of").alias("a"), F.col("to").alias("b")))
+        pairs = p.alias("x").join(picked.alias("y"), F.expr(near))
+        if not self.turns:
+            pairs = pairs.groupBy(F.col("x.node").alias("of"), F.col("y.node").alias("to"))
+            best = F.max(F.struct("shared", "to"))["to"].alias("to")
+            pairs = pairs.agg(F.count("*").alias("shared")).groupBy("of").agg(best)
+        else:
+            pairs = pairs.selectExpr("x.node AS of", "y.node AS to")
+        self.turns += 1
+        pairs = pairs.select(F.least("of", "to").alias("a"), F.greatest("of", "to").alias("b"))
+        return self._link(self._unseen(pairs))
 
     def _rest(self) -> bool:
         p = self._unsettled()
@@ -111,7 +132,8 @@ class Grouping:
             " AND (x.node < y.node OR y.component = y.largest)"
         )
         pairs = p.where("component <> largest").alias("x").join(p.alias("y"), F.expr(near))
-        return self._link(pairs.selectExpr("x.node AS a", "y.node AS b"))
+        pairs = pairs.selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b")
+        return self._link(self._unseen(pairs))
 
     def run(self) -> DataFrame:
         """(node, component): the smallest node that links reach, for linked nodes."""
@@ -121,3 +143,18 @@ class Grouping:
         if self.labels is None:
             return self.postings.select("node", F.col("node").alias("component")).limit(0)
         return self.labels
+
+
+def smallest_ids(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, component, component_id) for each node of ``members`` (node, doc_id): its label
+    of ``labels``, null for a node that links with none, and the smallest doc_id of all
+    members of its component. Null ids don't count as smallest.
+    """
+    lows = members.groupBy("node").agg(F.min("doc_id").alias("low"))
+    marked = stored(lows.join(labels, "node", "left"), "linking-lows")
+    # One row for each component, stored, is joined with its nodes, however many they are.
+    of = marked.where("component IS NOT NULL").groupBy("component")
+    least = stored(of.agg(F.min("low").alias("least")), "linking-least")
+    smallest = F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least"))
+    joined = marked.join(least, "component", "left")
+    return stored(joined.select("node", "component", smallest.alias("component_id")), "linking-ids")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usageweave.llm.blocks import KEY_BITS, mix, packed, set_marks, shingles, unpacked
-from usageweave.llm.linking import Grouping, several
+from usageweave.llm.linking import Grouping, several, smallest_ids
 from usageweave.llm.shared import stored
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -224,7 +224,8 @@ def grouping(
     """The classes of equal sets among ``signed`` (:func:`signatures` of ``docs``, stored),
     ready to be grouped by the bands they share.
     """
-    one = F.first(F.struct(F.col("n_shingles").alias("size"), "sketch", "bands", "doc_id", "text_hash"))
+    size = F.col("n_shingles").alias("size")
+    one = F.first(F.struct(size, "sketch", "bands", "doc_id", "text_hash"))
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(one.alias("one"))
     classes = stored(classes.select("node", "one.*"), "minhash-classes")
     banded = classes.select("node", "size", F.explode("bands").alias("key"))
@@ -263,19 +264,7 @@ def near_duplicates(docs: DataFrame, options: MinhashOptions = MinhashOptions())
     """
     signed = stored(signatures(docs, options), "minhash-signatures")
     labels = grouping(docs, signed, options).run()
-    lows = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
-    marked = stored(lows.join(labels, "node", "left"), "minhash-lows")
-    # One row for each component, stored: joined with a component of any size.
-    least = stored(
-        marked.where("component IS NOT NULL").groupBy("component").agg(F.min("low").alias("least")),
-        "minhash-least",
-    )
-    ids = stored(
-        marked.join(least, "component", "left").select(
-            "node", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id")
-        ),
-        "minhash-ids",
-    )
+    ids = smallest_ids(signed.where("node IS NOT NULL"), labels)
     joined = signed.where("node IS NOT NULL").join(ids, "node")
     alone = signed.where("node IS NULL").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "component_id", "text_hash"]

@@ -4,15 +4,15 @@ Every text is the set of its ``n``-word shingles, as 56-bit hashes. All sets are
 alike: shingles by how often they occur in all texts, rarest first. Two sets that are
 similar enough share one of the first ``size - ceil(t * size) + 1`` shingles of each, so
 only these are joined; shingles that occur once can't join, and most texts have nothing
-else in front. Lengths, the places of the common shingle, and the parities of the sets'
-shingles by part of their range, which differ in no more parts than the sets in shingles,
-rule out pairs before the sets themselves are compared, once for each pair.
-
-Texts with equal sets are one class and are joined as one. Within the classes that share a
-shingle not all pairs are looked at: first every class is compared with the likeliest of a
-few that are picked for each shingle, and what is found alike is one group. Then all pairs
-that are still in different groups are compared, so no group is missed, and a large family
-of near copies costs a few comparisons a member.
+else in front. Lengths and the places of the first common shingle rule out pairs, and then the suffix
+filter does: the sets are split at the same places of the hash range, into halves, their
+halves and so on, and what the parts differ by in size is the least that the sets differ by.
+Parts are so small that texts of any length are told apart. The sets themselves are compared
+once for each pair that is left.
+
+Texts with equal sets are one class and are joined as one. Of the classes that share a
+shingle not all pairs are looked at, but for those that :mod:`linking` can't put into one
+group by others, so a large family of near copies costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +30,19 @@ from usageweave.llm.blocks import (
     KEY_BITS,
     count_keys,
     in_blocks,
-    mix,
     packed,
+    set_marks,
+    shingles,
     unpacked,
-    whole_windows,
-    window_hashes,
     with_totals,
-    word_hashes,
 )
-from usageweave.llm.components import components
+from usageweave.llm.linking import Grouping, several, smallest_ids
 from usageweave.llm.shared import stored
 
-#: Parts of the hash range for whose shingles parities are kept, 64 in a number.
-PARTS = 512
-SKETCH = [f"s{i}" for i in range(PARTS // 64)]
-#: Lowest bytes of keys that are not needed to count them, and to compare two sets.
-UNCOUNTED, UNCOMPARED = 1, 2
+#: Lowest bytes of keys that are not needed to count them.
+UNCOUNTED = 1
+#: Parts of the hash range at the first split, and the most there are.
+FIRST_PARTS, MOST_PARTS = 16, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -53,44 +51,50 @@ class JoinOptions:
     n: int = 4
     #: Least similarity in percent.
     percent: int = 85
-    #: Classes picked for each shingle to compare the others with.
-    picks: int = 2
-
-
-def _shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all shingles, and the text each is of, in order of texts."""
-    hashes, counts = word_hashes(texts, lower=True)
-    whole = whole_windows(counts, n)
-    keys = window_hashes(hashes, n)[whole]
-    owner = np.repeat(np.arange(len(texts)), np.maximum(counts - n + 1, 0))
-    ends = np.cumsum(counts)
-    for size in range(1, n):
-        (of,) = np.nonzero(counts == size)
-        if len(of):
-            short = window_hashes(hashes, size)[ends[of] - size]
-            short = mix(short + np.uint64(size)) >> np.uint64(64 - KEY_BITS)
-            keys, owner = np.concatenate([keys, short]), np.concatenate([owner, of])
-    order = np.argsort(owner, kind="stable")
-    return keys[order], owner[order]
 
 
 def _keys(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = _shingles(texts, n)[0]
+    keys = shingles(texts, n)[0]
     shift = np.uint64(8 * UNCOUNTED)
     return keys >> shift << shift, np.ones((1, len(keys)), np.uint8)
 
 
 SETS = (
-    "text_key binary, size long, rare int, prefix array<long>,"
-    " sketch array<long>, shared binary"
+    "text_key binary, size long, rare int, prefix array<long>, parts binary, shared binary"
 )
 
 
+def _parts(keys: np.ndarray) -> bytes:
+    """How many of the keys are in each part of their range, some two in a part."""
+    bits = int(np.clip(len(keys) // 2, FIRST_PARTS, MOST_PARTS)).bit_length()
+    n = min(1 << bits, MOST_PARTS)
+    at = (keys >> np.uint64(KEY_BITS - n.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def _folded(parts: np.ndarray, n: int) -> np.ndarray:
+    """Counts in ``n`` larger parts; 255 stands for as many or more."""
+    return np.minimum(parts.reshape(n, -1).sum(axis=1, dtype=np.int64), 255)
+
+
+def differ_at_least(a: bytes, b: bytes, enough: int) -> int:
+    """Fewest keys in one of two sets only, by their parts: of a few parts first, then of
+    more, until there are ``enough``.
+    """
+    a, b = (np.frombuffer(x, np.uint8) for x in (a, b))
+    finest, n = min(len(a), len(b)), FIRST_PARTS
+    while True:
+        least = int(np.abs(_folded(a, n) - _folded(b, n)).sum())
+        if least >= enough or n == finest:
+            return least
+        n = min(8 * n, finest)
+
+
 def _sets(options: JoinOptions):
     """The work on a block: each text's set; what is joined only where it can join."""
 
     def work(rows, texts, keys, totals):
-        keys, owner = _shingles(texts, options.n)
+        keys, owner = shingles(texts, options.n)
         n_texts = len(texts)
         # Distinct shingles of each text, rarest first and then by hash.
         order = np.lexsort((keys, totals[0], owner))
@@ -100,36 +104,29 @@ def _sets(options: JoinOptions):
             keys, counts, owner = keys[new], counts[new], owner[new]
         sizes = np.bincount(owner, minlength=n_texts)
         ends = np.cumsum(sizes)
-        sums = [
-            np.concatenate(([0], np.cumsum(mix(keys + np.uint64(k)), dtype=np.uint64)))
-            for k in (1, 2)
-        ]
-        marks = np.stack([s[ends] - s[ends - sizes] for s in sums], axis=1)
         rare = np.bincount(owner[counts == 1], minlength=n_texts)
         reach = sizes - -(-options.percent * sizes // 100) + 1
-        part = owner * PARTS + (mix(keys) % np.uint64(PARTS)).astype(np.int64)
-        odd = (np.bincount(part, minlength=n_texts * PARTS) & 1).astype(np.uint8)
-        sketches = np.packbits(odd.reshape(n_texts, -1), axis=1).view(np.int64)
-        prefix, sketch, shared = [], [], []
+        prefix, parts, shared = [], [], []
         for i in range(n_texts):
             start = ends[i] - sizes[i]
             if sizes[i] and rare[i] < reach[i]:
                 own = keys[start + rare[i] : ends[i]]
                 prefix.append(own[: reach[i] - rare[i]].astype(np.int64))
-                sketch.append(sketches[i])
-                shared.append(packed(np.sort(own), UNCOMPARED))
+                own = np.sort(own)
+                parts.append(_parts(own))
+                shared.append(packed(own))
             else:
                 prefix.append(None)
-                sketch.append(None)
+                parts.append(None)
                 shared.append(None)
         columns = {
             "doc_id": rows.column("doc_id"),
             "text_hash": rows.column("text_hash"),
-            "text_key": pa.array([m.tobytes() for m in marks], pa.binary()),
+            "text_key": pa.array(set_marks(keys, sizes), pa.binary()),
             "size": pa.array(sizes, pa.int64()),
             "rare": pa.array(rare, pa.int32()),
             "prefix": pa.array(prefix, pa.list_(pa.int64())),
-            "sketch": pa.array(sketch, pa.list_(pa.int64())),
+            "parts": pa.array(parts, pa.binary()),
             "shared": pa.array(shared, pa.binary()),
         }
         return pa.table(columns)
@@ -139,8 +136,8 @@ def _sets(options: JoinOptions):
 
 def shingle_sets(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """doc_id, text_hash, text_key (equal for equal sets), size, and for texts that may
-    join: how many shingles are theirs alone, the prefix without these, parities by part of the
-    range, and all shingles that others have, too.
+    join: how many shingles are theirs alone, the prefix without these, and of all shingles
+    that others have, too, the number in each part of the range and the shingles themselves.
     """
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -161,139 +158,92 @@ def _least(percent: int) -> str:
     return f"(({percent} * (x.size + y.size) + {99 + percent}) div {100 + percent})"
 
 
-def _differ() -> str:
-    """In how many parts the sketches of ``x`` and ``y`` differ."""
-    return "(" + " + ".join(f"bit_count(x.{s} ^ y.{s})" for s in SKETCH) + ")"
-
-
 class _Join:
-    """Classes of equal sets, their prefixes by shingle, and the links found so far."""
+    """Classes of equal sets and their prefixes by shingle."""
 
     def __init__(self, sets: DataFrame, options: JoinOptions) -> None:
         self.options = options
-        one = F.first(F.struct("size", "rare", "prefix", "sketch", "shared"))
+        one = F.first(F.struct("size", "rare", "prefix", "parts", "shared"))
         classes = (
             sets.where("shared IS NOT NULL")
             .groupBy(F.col("text_key").alias("node"))
             .agg(one.alias("set"))
             .select("node", "set.*")
         )
-        sketch = [F.col("sketch")[i].alias(s) for i, s in enumerate(SKETCH)]
-        self.classes = stored(
-            classes.select("node", "size", "rare", "prefix", *sketch, "shared"), "join-classes"
-        )
+        self.classes = stored(classes, "join-classes")
         each = self.classes.select("node", "size", "rare", F.posexplode("prefix").alias("at", "key"))
         each = each.select("key", "node", "size", (F.col("rare") + F.col("at")).alias("place"))
-        several = each.groupBy("key").count().where("count > 1").select("key")
-        self.postings = stored(each.join(several, "key"), "join-postings")
-        self.links: DataFrame | None = None
-        self.seen: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def _may_be_alike(self) -> str:
-        """Whether ``x`` and ``y``, which share a shingle, may be similar by their sizes
-        and by what is left behind the shingle's places. (Behind their first common
-        shingle that bounds all they share; by a later one a pair may be passed over.)
-        """
-        t = self.options.percent
-        return (
+        self.postings = stored(several(each), "join-postings")
+        #: Whether ``x`` and ``y``, which share a shingle, may be similar by their sizes and by
+        #: what is left behind the shingle's places. Behind their first common shingle that
+        #: bounds all they share; by a later one a pair may be passed over.
+        t = options.percent
+        self.near = (
             f"100 * y.size >= {t} * x.size AND 100 * x.size >= {t} * y.size"
             f" AND least(x.size - x.place, y.size - y.place) >= {_least(t)}"
         )
+        self.first = "array_intersect(x.prefix, y.prefix)[0] = x.key"
 
-    def _sketches_near(self) -> str:
-        return f"{_differ()} <= x.size + y.size - 2 * {_least(self.options.percent)}"
-
-    def likeliest(self) -> DataFrame:
-        """For each class one other to compare it with: of those picked for its shingles
-        the one whose sketch is nearest.
-        """
-        turns = F.explode(F.array(*[F.lit(t) for t in range(self.options.picks)]))
-        first = F.struct(F.xxhash64("node", "turn").alias("h"), "node", "size", "place")
-        picked = (
-            self.postings.withColumn("turn", turns)
-            .groupBy("key", "turn")
-            .agg(F.min(first).alias("p"))
-            .select("key", "p.*")
-        )
-        near = f"x.key = y.key AND x.node <> y.node AND {self._may_be_alike()}"
-        pairs = self.postings.alias("x").join(picked.alias("y"), F.expr(near))
-        pairs = pairs.selectExpr("x.node AS a", "y.node AS b").distinct()
-        narrow = self.classes.select("node", "size", *SKETCH)
-        sketched = (
-            pairs.join(narrow.alias("x"), F.expr("a = x.node"))
-            .join(narrow.alias("y"), F.expr("b = y.node"))
-            .where(self._sketches_near())
-            .select("a", F.struct(F.expr(_differ()).alias("differ"), "b").alias("to"))
-        )
-        return sketched.groupBy("a").agg(F.min("to")["b"].alias("b"))
-
-    def rest(self) -> DataFrame:
-        """All pairs of different groups. Members of a shingle's largest group are joined
-        with the others only, not with each other.
-        """
-        p = self.postings.join(self.labels, "node", "left").withColumn(
-            "component", F.coalesce("component", "node")
-        )
-        sizes = p.groupBy("key", "component").count()
-        largest = sizes.groupBy("key").agg(
-            F.max_by("component", F.struct("count", "component")).alias("largest"),
-            F.count("*").alias("groups"),
-        )
-        p = p.join(largest.where("groups > 1"), "key")
-        p = stored(p.join(self.classes.select("node", *SKETCH), "node"), "join-grouped")
-        near = (
-            "x.key = y.key AND x.component <> y.component"
-            f" AND {self._may_be_alike()} AND {self._sketches_near()}"
-        )
-        pairs = p.where("component <> largest").alias("x").join(p.alias("y"), F.expr(near))
-        return pairs.selectExpr("x.node AS a", "y.node AS b")
+    def grouping(self) -> Grouping:
+        wide = self.classes.select("node", "prefix")
+        return Grouping(self.postings, self.compare, self.near, wide, self.first)
 
     def every_pair(self) -> DataFrame:
-        near = f"x.key = y.key AND x.node < y.node AND {self._may_be_alike()}"
-        pairs = self.postings.alias("x").join(self.postings.alias("y"), F.expr(near))
+        p = self.postings.join(self.classes.select("node", "prefix"), "node")
+        near = f"x.key = y.key AND x.node < y.node AND {self.near} AND {self.first}"
+        pairs = p.alias("x").join(p.alias("y"), F.expr(near))
         return pairs.selectExpr("x.node AS a", "y.node AS b")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs`` not compared yet: those whose sets are similar enough."""
-        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        once = once.distinct()
-        if self.seen is not None:
-            once = once.join(self.seen, ["a", "b"], "left_anti")
-        once = stored(once, "join-pairs")
-        self.seen = once if self.seen is None else self.seen.unionByName(once)
-        sets = self.classes.select("node", "size", "shared")
-        held = (
-            once.join(sets.alias("x"), F.expr("a = x.node"))
-            .join(sets.alias("y"), F.expr("b = y.node"))
+        """Links among ``pairs``: those whose sets are similar enough."""
+        narrow = self.classes.select("node", "size", "rare", "parts")
+        near = (
+            pairs.join(narrow.alias("x"), F.expr("a = x.node"))
+            .join(narrow.alias("y"), F.expr("b = y.node"))
             .select(
                 "a",
                 "b",
                 F.expr(_least(self.options.percent)).alias("least"),
-                F.col("x.shared").alias("a_set"),
-                F.col("y.shared").alias("b_set"),
+                F.expr("x.size + y.size - x.rare - y.rare").alias("both"),
+                F.col("x.parts").alias("a_parts"),
+                F.col("y.parts").alias("b_parts"),
             )
+            .mapInArrow(_suffix_filter, "a binary, b binary, least long")
         )
-        found = stored(held.mapInArrow(_verified, "a binary, b binary, common long"), "join-links")
-        self.links = found if self.links is None else self.links.unionByName(found)
-        return found
+        sets = self.classes.select("node", "shared")
+        held = (
+            near.join(sets.alias("x"), F.expr("a = x.node"))
+            .join(sets.alias("y"), F.expr("b = y.node"))
+            .select(
+                "a", "b", "least", F.col("x.shared").alias("a_set"), F.col("y.shared").alias("b_set")
+            )
+        )
+        return stored(held.mapInArrow(_verified, "a binary, b binary, common long"), "join-links")
+
 
-    def regroup(self, rounds: int | None = None) -> None:
-        self.labels = components(self.links, self.labels, rounds)
+def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that have ``least`` common shingles by the sizes of their parts: of the ``both``
+    shingles that others share, what is in one set only is not common.
+    """
+    for batch in batches:
+        columns = [batch.column(c) for c in ("a_parts", "b_parts")]
+        numbers = [batch.column(c).to_pylist() for c in ("both", "least")]
+        near = []
+        for a, b, both, least in zip(*columns, *numbers):
+            most = both - 2 * least
+            near.append(most >= 0 and differ_at_least(a.as_py(), b.as_py(), most + 1) <= most)
+        yield batch.select(["a", "b", "least"]).filter(pa.array(near, pa.bool_()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            sets = [unpacked(row[c], UNCOMPARED) for c in ("a_set", "b_set")]
-            common = len(np.intersect1d(*sets))
-            if common >= row["least"]:
-                rows.append({"a": row["a"], "b": row["b"], "common": common})
-        if rows:
-            yield pa.RecordBatch.from_pylist(
-                rows, pa.schema([("a", pa.binary()), ("b", pa.binary()), ("common", pa.int64())])
-            )
+        common = [
+            len(np.intersect1d(unpacked(a.as_py()), unpacked(b.as_py()), assume_unique=True))
+            for a, b in zip(batch.column("a_set"), batch.column("b_set"))
+        ]
+        common = pa.array(common, pa.int64())
+        out = batch.select(["a", "b"]).append_column("common", common)
+        yield out.filter(pc.greater_equal(common, batch.column("least")))
 
 
 def links(sets: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
@@ -315,25 +265,18 @@ def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> Da
     empty table gives an empty one; other columns are left behind.
     """
     sets = stored(shingle_sets(docs, options), "join-sets")
-    join = _Join(sets.where("size > 0"), options)
-    join.compare(join.likeliest())
-    # Groups that two rounds leave apart only cost some comparisons more.
-    join.regroup(rounds=2)
-    join.compare(join.rest())
-    join.regroup()
-    members = sets.where("size > 0 AND shared IS NOT NULL").select(
+    labels = _Join(sets.where("size > 0"), options).grouping().run()
+    joining = sets.where("size > 0 AND shared IS NOT NULL").select(
         "doc_id", "text_hash", "size", F.col("text_key").alias("node")
     )
-    members = members.join(join.labels, "node", "left").withColumn(
+    members = joining.join(smallest_ids(joining, labels), "node").withColumn(
         "component", F.coalesce("component", "node")
     )
-    lowest = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = members.join(lowest, "component")
     alone = sets.where("size = 0 OR shared IS NULL").withColumns(
         {"component_id": F.col("doc_id"), "component": F.lit(None).cast("binary")}
     )
     columns = ["doc_id", F.col("size").alias("n_shingles"), "component_id", "text_hash", "component"]
-    return alone.select(*columns).unionByName(joined.select(*columns))
+    return alone.select(*columns).unionByName(members.select(*columns))
 
 
 def one_of_each(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:

@@ -1,13 +1,16 @@
 """Quality rules: counts of a text, and its divergence from its language's references.
 
 Two histograms describe a text: its characters by class (capitals, digits, white space,
-punctuation, symbols, the rest) and its words (the language's commonest short words, one
-bin each, and all other words). The references are the mean of the same histograms over the
-different texts of the language that pass the base rules and are not odd themselves. A text is rejected when the Jensen-Shannon distance (base 2,
-0 to 1) of either histogram exceeds its bound and the text is long enough for the
-distance to mean something.
-
-Built-in functions only; what is shuffled are the short words of each text, by its digest.
+punctuation, symbols, the rest) and its words (the short words with the largest shares in
+most texts of the language, one bin each, and all other words). The references are the mean of the same
+histograms over the different texts of the language that pass the base rules and are not
+odd themselves. A text is rejected when the Jensen-Shannon distance (base 2, 0 to 1) of
+either histogram exceeds its bound and the text is long enough for the distance to mean
+something.
+
+Built-in functions only. The counts of a text are worked out once and stored; references
+and verdicts both come from these. What is shuffled are the short words of each different
+text, by its digest, and counts.
 """
 
 from __future__ import annotations
@@ -41,7 +44,10 @@ class QualityOptions:
     #: Only words of at most so many characters can be common words.
     short_word: int = 4
     max_class_distance: float = 0.28
-    max_word_distance: float = 0.38
+    #: A histogram of n words is off by chance by about 1 / sqrt(n): the bound of the word
+    #: distance is ``max_word_distance + word_noise / sqrt(n)``.
+    max_word_distance: float = 0.16
+    word_noise: float = 1.4
     #: Texts under these sizes are not judged by the distance.
     min_class_chars: int = 200
     min_word_words: int = 50
@@ -65,83 +71,87 @@ def _units(count: Column, total: Column) -> Column:
     return F.round(F.lit(_UNIT) * count / total).cast("long")
 
 
-def _ordinary_texts(docs: DataFrame, options: QualityOptions) -> DataFrame:
-    """Each text of a language that passes the base rules, once: its character classes
-    and short words, in units of its own characters and words.
-    """
-    text = F.col("_row.text")
-    q = F.col("_quality")
-    passed = features(docs.select("lang", "text"), options).where(~q.base_failed)
-    once = (
-        passed.select(
-            "lang",
-            F.unhex(F.md5(text)).alias("digest"),
-            F.struct(q.n_words.alias("n_words"), q.classes.alias("classes"), F.sort_array(q.short).alias("short")).alias("of"),
-        )
-        .groupBy("lang", "digest")
-        .agg(F.first("of").alias("of"))
+def _held(short: Column, listed: Column) -> Column:
+    """How often each of the words ``listed`` is in ``short``."""
+    return F.transform(
+        listed, lambda w: (F.size(short) - F.size(F.array_remove(short, w))).cast("long")
     )
-    return stored(once.select("lang", "digest", "of.*"), "quality-texts")
 
 
-def _classes_in_units(classes: Column) -> Column:
-    total = F.aggregate(classes, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(classes, lambda x: _units(x, total))
+def _word_bins(q: Column, ref_words: Column) -> Column:
+    """How often each reference word is in a text, and all other words last."""
+    common = _held(q["short"], ref_words)
+    rest = q["n_words"] - F.aggregate(common, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.concat(common, F.array(rest))
 
 
-def _word_units(texts: DataFrame) -> DataFrame:
-    """(lang, word, units): each short word of each text."""
-    return (
-        texts.select("lang", "digest", "n_words", F.explode("short").alias("word"))
-        .groupBy("lang", "digest", "word")
-        .agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
-        .select("lang", "word", _units(F.col("n"), F.col("n_words")).alias("units"))
-    )
+def _in_units(counts: Column) -> Column:
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.transform(counts, lambda x: _units(x, total))
 
 
-def _middle(values: DataFrame, keys: list[str], texts: DataFrame) -> DataFrame:
-    """The lower median of ``units`` by ``keys`` over all texts of the language, of which
-    those without a row have none; only medians over 0.
-    """
-    each = values.select(*keys, F.expr("units div 10000 AS step")).groupBy(*keys, "step").count()
-    above = Window.partitionBy(*keys).orderBy(F.desc("step"))
-    n = texts.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("texts"))
-    return (
-        each.withColumn("upto", F.sum("count").over(above))
-        .join(n, F.expr("lang <=> of_lang"))
-        .where("2 * upto > texts AND step > 0")
-        .groupBy(*keys)
-        .agg((F.max("step") * 10000).alias("units"))
-    )
+def _of_lang(df: DataFrame, other: DataFrame, how: str = "left") -> DataFrame:
+    """``df`` joined with ``other`` on lang, where null is a language of its own."""
+    other = other.withColumnRenamed("lang", "of_lang")
+    return df.join(other, F.expr("lang <=> of_lang"), how).drop("of_lang")
 
 
-def _as_references(classes: DataFrame, each: DataFrame, options: QualityOptions) -> DataFrame:
-    """References of (lang, ref_classes, all_words) and (lang, word, units)."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("units"), "word"))
-    common = (
-        each.withColumn("place", rank)
-        .where(F.col("place") <= options.common_words)
-        .groupBy("lang")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "word", "units"))).alias("top"))
+def _lower_medians(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, units): the lower median of ``units`` by ``keys``, in steps of 10,000."""
+    each = values.groupBy(*keys, F.expr("units div 10000 AS step")).agg(F.count("*").alias("texts"))
+    whole = Window.partitionBy(*keys)
+    each = each.select(
+        *keys,
+        "step",
+        F.sum("texts").over(whole.orderBy("step")).alias("upto"),
+        F.sum("texts").over(whole).alias("all"),
     )
-    joined = classes.join(
-        common.withColumnRenamed("lang", "of_lang"), F.expr("lang <=> of_lang"), "left"
+    middle = each.where("2 * upto >= all").groupBy(*keys)
+    return middle.agg((F.min("step") * 10000).alias("units"))
+
+
+def _common_words(texts: DataFrame, options: QualityOptions) -> DataFrame:
+    """(lang, ref_words): the short words with the largest median shares in a language's texts.
+
+    A word with a median over 0 is in more than half of the texts, so only those are counted.
+    """
+    held = (
+        texts.select("lang", F.explode(F.array_distinct("q.short")).alias("word"))
+        .groupBy("lang", "word")
+        .agg(F.count("*").alias("texts"))
     )
-    count = F.coalesce(F.col("top.units"), F.array().cast("array<bigint>"))
-    rest = F.col("all_words") - F.aggregate(count, F.lit(0).cast("long"), lambda a, x: a + x)
-    return joined.select(
+    all_ = texts.groupBy("lang").agg(F.count("*").alias("all"))
+    most = _of_lang(held, all_, "inner").where("2 * texts > all")
+    most = stored(most.groupBy("lang").agg(F.collect_list("word").alias("most")), "quality-held")
+    n_held = _held(F.col("q.short"), F.col("most")).alias("n")
+    counted = _of_lang(texts, most, "inner").select(
         "lang",
-        "ref_classes",
-        F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("ref_words"),
-        F.concat(count, F.array(F.greatest(F.lit(0), rest))).alias("ref_word_counts"),
+        "q.n_words",
+        F.explode(F.arrays_zip(F.col("most").alias("word"), n_held)).alias("of"),
+    )
+    shares = counted.select("lang", "of.word", _units(F.col("of.n"), F.col("n_words")).alias("units"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("units"), "word"))
+    return (
+        _lower_medians(shares, ["lang", "word"])
+        .withColumn("place", rank)
+        .where((F.col("place") <= options.common_words) & (F.col("units") > 0))
+        .groupBy("lang")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "word")))["word"].alias("ref_words"))
     )
 
 
-def _common_counts(short: Column) -> Column:
-    """How often each of ``ref_words`` is in ``short``."""
-    return F.transform(
-        "ref_words", lambda r: F.size(F.filter(short, lambda w: w == r)).cast("long")
-    )
+def _medians(texts: DataFrame, n_bins: int) -> DataFrame:
+    """(lang, middle): the lower median of each of the ``bins`` over a language's texts."""
+    each = texts.select("lang", F.posexplode("bins").alias("bin", "units"))
+    middle = _lower_medians(each, ["lang", "bin"])
+    found = F.map_from_entries(F.collect_list(F.struct("bin", "units")))
+    bins = [F.coalesce(F.col("found")[i], F.lit(0).cast("long")) for i in range(n_bins)]
+    by_lang = middle.groupBy("lang").agg(found.alias("found"))
+    return by_lang.select("lang", F.array(*bins).alias("middle"))
+
+
+def _word_bound(n_words: Column, options: QualityOptions) -> Column:
+    return F.lit(options.max_word_distance) + F.lit(options.word_noise) / F.sqrt(n_words)
 
 
 def references(docs: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
@@ -150,94 +160,61 @@ def references(docs: DataFrame, options: QualityOptions = QualityOptions()) -> D
     Each different text that passes the base rules counts once and by its shares, however
     long it is. Texts out of bounds of their language's medians (all of them stay if none
     is within) are left out, so near copies of one odd text do not become the reference
-    while they are the smaller part. ``ref_words`` are the commonest short words by mean
-    share and then by spelling, and ``ref_word_counts`` their shares with all other words
+    while they are the smaller part. ``ref_words`` are the short words with the largest median
+    shares, ties by spelling, and ``ref_word_counts`` their shares with all other words
     last. Null is a language of its own. Without such texts a language has no row.
     """
-    texts = _ordinary_texts(docs, options)
-    n = len(CLASSES) + 1
-    units = _classes_in_units(F.col("classes"))
-    bins = _middle(texts.select("lang", F.posexplode(units).alias("bin", "units")), ["lang", "bin"], texts)
-    found = F.map_from_entries(F.collect_list(F.struct("bin", "units")))
-    middle = bins.groupBy("lang").agg(found.alias("found")).select(
-        "lang",
-        F.array(*[F.coalesce(F.col("found")[i], F.lit(0).cast("long")) for i in range(n)]).alias("ref_classes"),
-        F.lit(_UNIT).cast("long").alias("all_words"),
-    )
-    words_ = _middle(_word_units(texts), ["lang", "word"], texts)
-    first = stored(_as_references(middle, words_, options), "quality-medians")
-    df = texts.join(first.withColumnRenamed("lang", "of_lang"), F.expr("lang <=> of_lang"), "left")
-    df = df.select("*", _once(_common_counts(F.col("short"))).alias("common"))
-    common = F.col("common")
-    rest = F.col("n_words") - F.aggregate(common, F.lit(0).cast("long"), lambda a, x: a + x)
-    far = distance(F.col("classes"), F.col("ref_classes")) > options.max_class_distance
-    far_words = (
-        distance(F.concat(common, F.array(rest)), F.col("ref_word_counts"))
-        > options.max_word_distance
-    )
-    odd = F.coalesce(far, F.lit(False)) | F.coalesce(far_words, F.lit(False))
-    df = df.select("lang", "digest", "n_words", "classes", "short", odd.alias("odd"))
-    df = stored(df, "quality-ordinary")
-    some = df.groupBy(F.col("lang").alias("of_lang")).agg(F.min("odd").alias("all_odd"))
-    df = df.join(some, F.expr("lang <=> of_lang")).where("all_odd OR NOT odd").drop("of_lang")
-    totals = df.groupBy("lang").agg(
-        F.array(*[F.sum(units[i]) for i in range(n)]).alias("ref_classes"),
-        (F.count("*") * _UNIT).alias("all_words"),
-    )
-    each = _word_units(df).groupBy("lang", "word").agg(F.sum("units").alias("units"))
-    return _as_references(totals, each, options)
+    return _references(measured(docs.select("lang", "text"), [], options), options)
 
 
-def short_words(text: Column, options: QualityOptions) -> Column:
-    return F.filter(words(F.lower(text)), lambda w: F.length(w) <= options.short_word)
-
-
-def total_references(docs: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
-    """(lang, ref_classes, ref_words, ref_word_counts) over all of ``docs``,
-    every row by its length: the references that the SQL of ``op10`` is written with.
-
-    ``ref_words`` are the language's commonest short words, by count and then by
-    spelling, and ``ref_word_counts`` their counts with all other words last. Null is a
-    language of its own. No documents, no rows.
-    """
-    docs = docs.select("lang", "text")
-    names = [*CLASSES, "rest"]
-    counted = docs.select(
-        "lang",
-        *[c.alias(n) for c, n in zip(class_counts(F.col("text")), names)],
-        count_of(F.col("text"), r"[^\x20\x09-\x0D]+").alias("n_words"),
-    )
-    by_lang = counted.groupBy("lang").agg(
-        F.array(*[F.sum(n) for n in names]).alias("ref_classes"),
-        F.sum("n_words").alias("all_words"),
-    )
-    each = (
-        docs.select("lang", F.explode(short_words(F.col("text"), options)).alias("word"))
-        .groupBy("lang", "word")
-        .count()
-    )
-    rank = F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    )
-    common = (
-        each.withColumn("place", rank)
-        .where(F.col("place") <= options.common_words)
-        .groupBy("lang")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "word", "count"))).alias("top"))
-    )
-    top = F.coalesce(F.col("top"), F.expr("array()"))
-    joined = by_lang.join(
-        common.withColumnRenamed("lang", "of_lang"), F.expr("lang <=> of_lang"), "left"
+def _references(found: DataFrame, options: QualityOptions) -> DataFrame:
+    """:func:`references` from what :func:`measured` gives."""
+    q = F.col("_quality")
+    once = (
+        found.where(~q.base_failed)
+        .select(
+            "lang",
+            "digest",
+            F.struct(*[q[n].alias(n) for n in ("n_words", "classes", "short")]).alias("q"),
+        )
+        .groupBy("lang", "digest")
+        .agg(F.first("q").alias("q"))
     )
-    common_count = F.coalesce(F.col("top.count"), F.array().cast("array<bigint>"))
-    rest = F.col("all_words") - F.aggregate(
-        common_count, F.lit(0).cast("long"), lambda a, x: a + x
+    texts = stored(once.select("lang", "q"), "quality-texts")
+    ref_words = stored(_common_words(texts, options), "quality-words")
+    none = F.array().cast("array<string>")
+    texts = _of_lang(texts, ref_words).withColumn("ref_words", F.coalesce("ref_words", none))
+    n, n_words = len(CLASSES) + 1, options.common_words + 1
+    # A language with fewer common words has empty bins in front of the last.
+    own = _word_bins(F.col("q"), F.col("ref_words"))
+    empty = F.array_repeat(F.lit(0).cast("long"), options.common_words - F.size("ref_words"))
+    counted = texts.select(
+        "lang",
+        "q.n_words",
+        F.col("q.classes").alias("classes"),
+        _once(F.concat(F.slice(own, 1, F.size(own) - 1), empty, F.slice(own, -1, 1))).alias("words"),
     )
-    return joined.select(
+    both = F.concat(_in_units(F.col("classes")), _in_units(F.col("words")))
+    counted = counted.withColumn("bins", both)
+    counted = stored(counted, "quality-bins")
+    df = _of_lang(counted, stored(_medians(counted, n + n_words), "quality-medians"))
+    far = distance(F.col("classes"), F.slice("middle", 1, n)) > options.max_class_distance
+    word_distance = distance(F.col("words"), F.slice("middle", n + 1, n_words))
+    far_words = word_distance > _word_bound(F.col("n_words"), options)
+    odd = F.coalesce(far, F.lit(False)) | F.coalesce(far_words, F.lit(False))
+    df = stored(df.select("lang", "bins", odd.alias("odd")), "quality-ordinary")
+    some = df.groupBy("lang").agg(F.min("odd").alias("all_odd"))
+    df = _of_lang(df, some).where("all_odd OR NOT odd")
+    sums = F.array(*[F.sum(F.col("bins")[i]) for i in range(n + n_words)])
+    totals = _of_lang(df.groupBy("lang").agg(sums.alias("sums")), ref_words)
+    return totals.select(
         "lang",
-        "ref_classes",
-        F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("ref_words"),
-        F.concat(common_count, F.array(rest)).alias("ref_word_counts"),
+        F.slice("sums", 1, n).alias("ref_classes"),
+        F.coalesce("ref_words", none).alias("ref_words"),
+        F.concat(
+            F.slice("sums", F.lit(n + 1), F.coalesce(F.size("ref_words"), F.lit(0))),
+            F.slice("sums", -1, 1),
+        ).alias("ref_word_counts"),
     )
 
 
@@ -271,11 +248,16 @@ def distance(left: Column, right: Column) -> Column:
     return F.transform(F.array(bound), of)[0]
 
 
-#: Starts of 3-word windows as numbers that sort by a hash of the words, then by start.
+#: Hashes of 3-word windows.
+_WINDOWS = """
+CASE WHEN n_words >= 3 THEN transform(sequence(0, CAST(n_words AS INT) - 3), i ->
+  xxhash64(words[i], words[i + 1], words[i + 2]))
+ELSE CAST(array() AS ARRAY<BIGINT>) END
+"""
+#: Where hashes repeat, starts of windows as numbers that sort by hash, then by start.
 _CODES = """
-CASE WHEN n_words >= 3 THEN sort_array(transform(sequence(0L, n_words - 3), i ->
-  pmod(xxhash64(words[CAST(i AS INT)], words[CAST(i AS INT) + 1], words[CAST(i AS INT) + 2]),
-       9223372036854775807L div n_words) * n_words + i))
+CASE WHEN size(array_distinct(windows)) < size(windows) THEN
+  sort_array(transform(windows, (x, i) -> pmod(x, 9223372036854775807L div n_words) * n_words + i))
 ELSE CAST(array() AS ARRAY<BIGINT>) END
 """
 
@@ -300,15 +282,18 @@ aggregate(repeated, named_struct('upto', 0L, 'n', 0L), (a, x) -> named_struct(
 """
 
 
-def features(docs: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
-    """``docs`` with the struct ``_quality``: counts of each text and the base verdict.
+def features(
+    docs: DataFrame, columns: list[str], options: QualityOptions = QualityOptions()
+) -> DataFrame:
+    """(_row, lang, digest, _quality) for each of ``docs``: a struct of its ``columns``, its
+    language, a digest of its text, and the counts of its text with the base verdict.
 
     Null and empty texts count as texts without words, which fail the base rules.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    keep = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    df = docs.select(keep, text.alias("text"), F.col("lang").alias("lang"))
+    keep = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in columns]).alias("_row")
+    df = docs.select(keep, F.unhex(F.md5(text)).alias("digest"), text.alias("text"), F.col("lang").alias("lang"))
     df = df.withColumns(
         {
             "words": words(F.col("text")),
@@ -316,7 +301,8 @@ def features(docs: DataFrame, options: QualityOptions = QualityOptions()) -> Dat
             "classes": F.array(*class_counts(F.col("text"))),
         }
     ).withColumn("n_words", F.size("words").cast("long"))
-    df = df.withColumn("codes", F.expr(_CODES)).withColumn("repeated", F.expr(_REPEATED))
+    df = df.withColumn("windows", F.expr(_WINDOWS)).withColumn("codes", F.expr(_CODES))
+    df = df.withColumn("repeated", F.expr(_REPEATED))
     spaces = list(CLASSES).index("spaces")
     symbols = list(CLASSES).index("symbols")
     counts = {
@@ -332,7 +318,7 @@ def features(docs: DataFrame, options: QualityOptions = QualityOptions()) -> Dat
         ),
     }
     counted = F.struct(*[c.alias(k) for k, c in counts.items()])
-    df = df.select("_row", "lang", _once(counted).alias("_quality"))
+    df = df.select("_row", "lang", "digest", _once(counted).alias("_quality"))
     q = F.col("_quality")
     failed = (q.n_words < options.min_words) | (
         100 * q.n_repeat_words > options.max_repeat_percent * q.n_words
@@ -340,28 +326,37 @@ def features(docs: DataFrame, options: QualityOptions = QualityOptions()) -> Dat
     return df.withColumn("_quality", q.withField("base_failed", failed))
 
 
+def measured(
+    docs: DataFrame, columns: list[str], options: QualityOptions = QualityOptions()
+) -> DataFrame:
+    """:func:`features` of ``docs``, stored: texts are looked at once, however often their
+    counts are used.
+    """
+    return stored(features(docs, columns, options), "quality-features")
+
+
 def judge(
     docs: DataFrame,
     refs: DataFrame | None = None,
     options: QualityOptions = QualityOptions(),
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``quality``, a struct of the counts, ``base_failed``, both
-    distances (null where there is nothing to compare) and the verdict ``kept``.
+    """The ``columns`` of ``docs`` (all by default) with ``quality``, a struct of the counts,
+    ``base_failed``, both distances (null where there is nothing to compare) and the verdict
+    ``kept``.
 
     ``refs`` are :func:`references`, by default those of ``docs`` themselves. A document
     whose language has no reference is judged by the base rules alone. Every row of
-    ``docs`` comes back once, repeated rows and null keys included; all its columns stay,
-    also one that is called ``quality`` (it is replaced).
+    ``docs`` comes back once, repeated rows and null keys included; a column that is called
+    ``quality`` is replaced. Null texts count as empty ones, which fail the base rules; very
+    long ones are judged whole.
     """
-    if refs is None:
-        refs = references(docs, options)
-    refs = stored(refs, "quality-references").withColumnRenamed("lang", "of_lang")
-    df = features(docs, options).join(refs, F.expr("lang <=> of_lang"), "left")
+    columns = [c for c in (docs.columns if columns is None else columns) if c != "quality"]
+    found = measured(docs, columns, options)
+    refs = _references(found, options) if refs is None else refs
+    df = _of_lang(found, stored(refs, "quality-references"))
     q = F.col("_quality")
-    df = df.select("*", _once(_common_counts(q.short)).alias("common"))
-    common = F.col("common")
-    rest = q.n_words - F.aggregate(common, F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.withColumn("word_bins", F.concat(common, F.array(rest)))
+    df = df.select("*", _once(_word_bins(q, F.col("ref_words"))).alias("word_bins"))
     df = df.withColumns(
         {
             "class_distance": distance(q.classes, F.col("ref_classes")),
@@ -371,7 +366,7 @@ def judge(
     odd_chars = (F.col("class_distance") > options.max_class_distance) & (
         q.word_chars >= options.min_class_chars
     )
-    odd_words = (F.col("word_distance") > options.max_word_distance) & (
+    odd_words = (F.col("word_distance") > _word_bound(q.n_words, options)) & (
         q.n_words >= options.min_word_words
     )
     odd = F.coalesce(odd_chars, F.lit(False)) | F.coalesce(odd_words, F.lit(False))
@@ -382,5 +377,4 @@ def judge(
         "class_distance",
         "word_distance",
     )
-    columns = [F.col("_row")[c].alias(c) for c in docs.columns if c != "quality"]
-    return df.select(*columns, quality.alias("quality"))
+    return df.select(*[F.col("_row")[c].alias(c) for c in columns], quality.alias("quality"))

@@ -151,9 +151,7 @@ def op9_hashing_ann(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and whether it stays."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    # Its SQL sums the references over every row.
-    refs = quality.total_references(docs)
-    judged = quality.judge(docs, refs).select("doc_id", "quality.*")
+    judged = quality.judge(docs, columns=["doc_id"]).select("doc_id", "quality.*")
     return judged.drop("class_distance", "word_distance")
 
 

@@ -112,7 +112,23 @@ def _term(x: str, y: str) -> str:
 
 
 _BINS = ", ".join(_count(p) for p in CLASSES.values())
-_SUMS = ", ".join(f"sum(classes[{i}])" for i in range(1, _N + 1))
+
+
+def _far(bins: str, refs: str, key: str) -> str:
+    """Jensen-Shannon distances of histograms (key, lang, kind, bin, x, total) to those of
+    their language (lang, kind, bin, q).
+    """
+    return f"""
+  SELECT {key}, kind, sqrt(greatest(0, sum(({_term('p', 'q')} + {_term('q', 'p')}) / 2))) AS far
+  FROM (
+    SELECT {key}, kind, x / nullif(total, 0) AS p,
+      q / nullif(sum(q) OVER (PARTITION BY {key}, kind), 0) AS q
+    FROM {bins} JOIN {refs} USING (lang, kind, bin))
+  GROUP BY {key}, kind
+"""
+
+
+_BOUND = f"({_Q.max_word_distance} + {_Q.word_noise} / sqrt(n_words))"
 ORACLES["op10_quality_rules"] = f"""
 WITH d AS (
   SELECT row_number() OVER () AS n, doc_id, coalesce('x' || lang, '') AS lang,
@@ -131,50 +147,64 @@ v AS (
 l AS (
   SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM (SELECT n, unnest(string_split(t, chr(10))) AS line FROM d) WHERE {_WORD} GROUP BY n),
-x AS (SELECT n, lang, lower(unnest(w)) AS word FROM c),
-s AS (SELECT * FROM x WHERE length(word) <= {_Q.short_word}),
-f AS (SELECT lang, word, count(*) AS q FROM s GROUP BY lang, word),
+b AS (
+  SELECT c.*, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    n_words < {_Q.min_words}
+      OR 100 * coalesce(n_repeat_words, 0) > {_Q.max_repeat_percent} * n_words AS base_failed
+  FROM c LEFT JOIN l USING (n) LEFT JOIN v USING (n)),
+o AS (SELECT min(n) AS n FROM b WHERE NOT base_failed GROUP BY lang, t),
+s AS (SELECT n, lang, lower(unnest(w)) AS word FROM c),
+k AS (
+  SELECT n, lang, word, count(*) AS x FROM s JOIN o USING (n)
+  WHERE length(word) <= {_Q.short_word} GROUP BY n, lang, word),
+f AS (
+  SELECT lang, word, CAST(round(1000000000 * x / n_words) AS BIGINT) // 10000 AS step
+  FROM k JOIN c USING (n, lang)),
+texts AS (SELECT lang, count(*) AS texts FROM o JOIN c USING (n) GROUP BY lang),
+h AS (
+  SELECT lang, word, texts, list_reverse_sort(list(step)) AS steps FROM f JOIN texts USING (lang)
+  GROUP BY lang, word, texts HAVING 2 * count(*) > texts),
 top AS (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY q DESC, word) AS place FROM f
+  SELECT lang, word, row_number() OVER (
+    PARTITION BY lang ORDER BY steps[texts // 2 + 1] DESC, word) AS place FROM h
+  WHERE steps[texts // 2 + 1] > 0
   QUALIFY place <= {_Q.common_words}),
-ref AS (SELECT lang, [{_SUMS}] AS ref, sum(n_words) AS ref_words FROM c GROUP BY lang),
-class_bins AS (
-  SELECT n, unnest(classes) / length(t) AS p, unnest(ref) / list_sum(ref) AS q
-  FROM c JOIN ref USING (lang) WHERE length(t) > 0),
-class_far AS (
-  SELECT n, sqrt(greatest(0, sum(({_term('p', 'q')} + {_term('q', 'p')}) / 2))) AS far
-  FROM class_bins GROUP BY n),
-own AS (SELECT n, place, count(*) AS p FROM s JOIN top USING (lang, word) GROUP BY n, place),
-common AS (
-  SELECT c.n, coalesce(p, 0) AS p, q FROM c JOIN top USING (lang)
-  LEFT JOIN own ON own.n = c.n AND own.place = top.place),
-others AS (
-  SELECT c.n, n_words - coalesce((SELECT sum(p) FROM common m WHERE m.n = c.n), 0) AS p,
-    ref_words - coalesce((SELECT sum(q) FROM top WHERE top.lang = c.lang), 0) AS q
-  FROM c JOIN ref USING (lang)),
-word_bins AS (
-  SELECT n, p / n_words AS p, q / ref_words AS q
-  FROM (FROM common UNION ALL FROM others) JOIN c USING (n) JOIN ref USING (lang)
-  WHERE n_words > 0),
-word_far AS (
-  SELECT n, sqrt(greatest(0, sum(({_term('p', 'q')} + {_term('q', 'p')}) / 2))) AS far
-  FROM word_bins GROUP BY n),
+own AS (SELECT n, place, count(*) AS x FROM s JOIN top USING (lang, word) GROUP BY n, place),
+bins AS (
+  SELECT n, lang, 'chars' AS kind, unnest(range(1, {_N + 1})) AS bin, unnest(classes) AS x,
+    length(t) AS total FROM c
+  UNION ALL
+  SELECT c.n, lang, 'words', top.place, coalesce(x, 0), n_words
+  FROM c JOIN top USING (lang) LEFT JOIN own ON own.n = c.n AND own.place = top.place
+  UNION ALL
+  SELECT n, lang, 'words', 0, n_words - coalesce(x, 0), n_words
+  FROM c LEFT JOIN (SELECT n, sum(x) AS x FROM own GROUP BY n) USING (n)),
+u AS (
+  SELECT *, CAST(round(1000000000 * x / total) AS BIGINT) AS units FROM bins JOIN o USING (n)),
+m AS (
+  SELECT lang, kind, bin, quantile_disc(units // 10000, 0.5) * 10000 AS q FROM u
+  GROUP BY lang, kind, bin),
+odd AS (
+  SELECT n, lang, bool_or(coalesce(far > CASE kind WHEN 'chars' THEN {_Q.max_class_distance}
+    ELSE {_BOUND} END, FALSE)) AS odd
+  FROM ({_far('u', 'm', 'n')}) JOIN c USING (n) GROUP BY n, lang),
+ordinary AS (SELECT n FROM odd QUALIFY NOT odd OR bool_and(odd) OVER (PARTITION BY lang)),
+ref AS (
+  SELECT lang, kind, bin, sum(units) AS q FROM u JOIN ordinary USING (n) GROUP BY lang, kind, bin),
+far AS ({_far('bins', 'ref', 'n')}),
 z AS (
-  SELECT c.*, length(t) - classes[3] AS word_chars, classes[5] AS n_symbols,
-    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-    class_far.far AS class_far, word_far.far AS word_far
-  FROM c LEFT JOIN l USING (n) LEFT JOIN v USING (n)
-  LEFT JOIN class_far USING (n) LEFT JOIN word_far USING (n)),
-b AS (
-  SELECT *, n_words < {_Q.min_words}
-    OR 100 * n_repeat_words > {_Q.max_repeat_percent} * n_words AS base_failed FROM z)
+  SELECT b.*, length(t) - classes[3] AS word_chars, classes[5] AS n_symbols,
+    x.far AS class_far, y.far AS word_far
+  FROM b LEFT JOIN far x ON x.n = b.n AND x.kind = 'chars'
+  LEFT JOIN far y ON y.n = b.n AND y.kind = 'words')
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed
     AND NOT coalesce(class_far > {_Q.max_class_distance} AND word_chars >= {_Q.min_class_chars}, FALSE)
-    AND NOT coalesce(word_far > {_Q.max_word_distance} AND n_words >= {_Q.min_word_words}, FALSE)
+    AND NOT coalesce(word_far > {_BOUND} AND n_words >= {_Q.min_word_words}, FALSE)
     AS kept
-FROM b
+FROM z
 """
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')"
