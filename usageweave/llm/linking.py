@@ -4,7 +4,7 @@ Nodes that link share a key. Members of a large group all share keys with each o
 not all pairs are looked at. In turns, one node is picked for each key that still holds
 several groups, and nodes are compared with the picked of their keys that are in other
 groups; in the first turn, in which all are, with that one only that they share most keys
-with. Turns go on until one finds no new link.
+with. Turns go on while at least one in a hundred of the pairs they compare links.
 Then all pairs of different groups that share a key are compared, each once, so no link
 between groups is missed; of a key's largest group the members are joined with the others
 only. A large family of near copies so costs a few comparisons a member.
@@ -27,6 +27,19 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(keys.select("key"), "key")
 
 
+def beside(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b, ...) with the ``columns`` of both nodes of ``rows`` (node, ...), as
+    ``a_`` and ``b_`` and their names. Of rows only those of the pairs are dealt out twice.
+    """
+    ends = [pairs.select(F.col(end).alias("node")) for end in "ab"]
+    nodes = ends[0].unionByName(ends[1]).distinct()
+    own = rows.select("node", *columns).join(nodes, "node", "left_semi")
+    for end in "ab":
+        names = [F.col(c).alias(f"{end}_{c}") for c in columns]
+        pairs = pairs.join(own.select(F.col("node").alias(end), *names), end)
+    return pairs
+
+
 class Grouping:
     """``postings`` (key, node, ...): a row for each key of a node, only keys that several
     nodes have. ``near``: what two rows x and y of one key must meet in order to be
@@ -71,15 +84,17 @@ class Grouping:
         return pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti")
 
     def _link(self, pairs: DataFrame) -> bool:
-        """Compare the different ones of ``pairs`` (a < b, unseen); whether any links."""
+        """Compare the different ones of ``pairs`` (a < b, unseen); whether enough of them link
+        that another turn is worth it.
+        """
         once = stored(pairs.select("a", "b").distinct(), "linking-pairs")
         self.seen = once if self.seen is None else self.seen.unionByName(once)
-        self.compared += once.count()
         found = self.compare(once).select("a", "b")
-        if found.isEmpty():
-            return False
-        self.labels = components(found) if self.labels is None else self._merged(found)
-        return True
+        n_pairs, n_links = once.count(), found.count()
+        self.compared += n_pairs
+        if n_links:
+            self.labels = components(found) if self.labels is None else self._merged(found)
+        return n_links > n_pairs / 100
 
     def _merged(self, found: DataFrame) -> DataFrame:
         """The labels after links ``found`` (a, b) between groups: these are merged as nodes of

@@ -11,7 +11,7 @@ Coordinates are cut into bands; texts that agree in a whole band are candidates.
 pairs whose sketches agree in too few coordinates are ruled out by the bound, and all
 others are confirmed on their full sets of shingles. With 32 bands of 4 coordinates a
 pair of similarity 0.8 shares no band with a chance of 5 in 10^8, and agrees in fewer than
-70 of 128 coordinates with one of 1 in 10^9.
+75 of 128 coordinates with one of 2 in 10^7.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usageweave.llm.blocks import KEY_BITS, mix, packed, set_marks, shingles, unpacked
-from usageweave.llm.linking import Grouping, several, smallest_ids
+from usageweave.llm.linking import Grouping, beside, several, smallest_ids
 from usageweave.llm.shared import stored
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -42,7 +42,7 @@ class MinhashOptions:
     bins: int = 128
     band: int = 4
     #: Fewest coordinates in which the sketches of similar texts agree.
-    agree: int = 70
+    agree: int = 75
     #: Bytes of text that are sketched at once.
     block_bytes: int = 8_000_000
 
@@ -210,14 +210,6 @@ def _confirmed(percent: int):
     return run
 
 
-def _beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b) with the column of both nodes."""
-    for end in "ab":
-        own = rows.select(F.col("node").alias(end), F.col(column).alias(f"{end}_{column}"))
-        pairs = pairs.join(own, end)
-    return pairs.select("a", "b", f"a_{column}", f"b_{column}")
-
-
 def grouping(
     docs: DataFrame, signed: DataFrame, options: MinhashOptions = MinhashOptions()
 ) -> Grouping:
@@ -230,14 +222,15 @@ def grouping(
     classes = stored(classes.select("node", "one.*"), "minhash-classes")
     banded = classes.select("node", "size", F.explode("bands").alias("key"))
     postings = stored(several(banded), "minhash-postings")
-    shown = classes.join(postings.select("node").distinct(), "node")
+    shown = classes.join(postings.select("node").distinct(), "node", "left_semi")
+    shown = stored(shown, "minhash-shown")
     sets = stored(_sets(docs, shown.select("node", "doc_id", "text_hash"), options), "minhash-sets")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        near = _beside(pairs, classes, "sketch").mapInArrow(
+        near = beside(pairs, shown, "sketch").mapInArrow(
             _agreeing(options.agree), "a binary, b binary"
         )
-        held = _beside(near, sets, "keys")
+        held = beside(stored(near, "minhash-near"), sets, "keys")
         found = held.mapInArrow(_confirmed(options.percent), "a binary, b binary")
         return stored(found, "minhash-links")
 
@@ -246,7 +239,7 @@ def grouping(
         postings,
         compare,
         near=f"100 * x.size >= {t} * y.size AND 100 * y.size >= {t} * x.size",
-        wide=classes.select("node", "bands"),
+        wide=shown.select("node", "bands"),
         first="array_intersect(x.bands, y.bands)[0] = x.key",
     )
 

@@ -36,7 +36,7 @@ from usageweave.llm.blocks import (
     unpacked,
     with_totals,
 )
-from usageweave.llm.linking import Grouping, several, smallest_ids
+from usageweave.llm.linking import Grouping, beside, several, smallest_ids
 from usageweave.llm.shared import stored
 
 #: Lowest bytes of keys that are not needed to count them.
@@ -196,27 +196,21 @@ class _Join:
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """Links among ``pairs``: those whose sets are similar enough."""
-        narrow = self.classes.select("node", "size", "rare", "parts")
+        least = _least(self.options.percent).replace("x.", "a_").replace("y.", "b_")
         near = (
-            pairs.join(narrow.alias("x"), F.expr("a = x.node"))
-            .join(narrow.alias("y"), F.expr("b = y.node"))
-            .select(
+            beside(pairs, self.classes, "size", "rare", "parts")
+            .selectExpr(
                 "a",
                 "b",
-                F.expr(_least(self.options.percent)).alias("least"),
-                F.expr("x.size + y.size - x.rare - y.rare").alias("both"),
-                F.col("x.parts").alias("a_parts"),
-                F.col("y.parts").alias("b_parts"),
+                f"{least} AS least",
+                "a_size + b_size - a_rare - b_rare AS both",
+                "a_parts",
+                "b_parts",
             )
             .mapInArrow(_suffix_filter, "a binary, b binary, least long")
         )
-        sets = self.classes.select("node", "shared")
-        held = (
-            near.join(sets.alias("x"), F.expr("a = x.node"))
-            .join(sets.alias("y"), F.expr("b = y.node"))
-            .select(
-                "a", "b", "least", F.col("x.shared").alias("a_set"), F.col("y.shared").alias("b_set")
-            )
+        held = beside(stored(near, "join-near"), self.classes, "shared").select(
+            "a", "b", "least", F.col("a_shared").alias("a_set"), F.col("b_shared").alias("b_set")
         )
         return stored(held.mapInArrow(_verified, "a binary, b binary, common long"), "join-links")
 

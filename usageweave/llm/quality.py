@@ -170,17 +170,17 @@ def references(docs: DataFrame, options: QualityOptions = QualityOptions()) -> D
 def _references(found: DataFrame, options: QualityOptions) -> DataFrame:
     """:func:`references` from what :func:`measured` gives."""
     q = F.col("_quality")
+    # Words are dealt out as one string, which has no word with a space.
+    joined = F.array_join(q.short, " ").alias("short")
+    narrow = F.struct(q.n_words.alias("n_words"), q.classes.alias("classes"), joined)
     once = (
         found.where(~q.base_failed)
-        .select(
-            "lang",
-            "digest",
-            F.struct(*[q[n].alias(n) for n in ("n_words", "classes", "short")]).alias("q"),
-        )
+        .select("lang", "digest", narrow.alias("q"))
         .groupBy("lang", "digest")
         .agg(F.first("q").alias("q"))
     )
-    texts = stored(once.select("lang", "q"), "quality-texts")
+    short = F.filter(F.split("q.short", " "), lambda w: w != "")
+    texts = stored(once.select("lang", F.col("q").withField("short", short).alias("q")), "quality-texts")
     ref_words = stored(_common_words(texts, options), "quality-words")
     none = F.array().cast("array<string>")
     texts = _of_lang(texts, ref_words).withColumn("ref_words", F.coalesce("ref_words", none))
