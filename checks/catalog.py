@@ -19,7 +19,8 @@ from usageweave.operators import timeline, timezones
 from usageweave.operators.storage import materialise, scratch_folder
 from usageweave.operators.units import by_unit
 from usageweave.plans.jobs import categorise, plot_tables
-from usageweave.plans.preprocess import BAD_TIME, BAD_ZONE, finished_table, preprocess
+from usageweave.plans.preprocess import BAD_ROW, BAD_TIME, BAD_ZONE, finished_table, preprocess
+from usageweave.plans.rerun import preprocess_folder
 from usageweave.sources import logs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1041,6 +1042,93 @@ def _(spark, folder):
     return _line_numbers(logs.scan_raw(spark, path)).select(*logs.RAW_COLUMNS, "line_no")
 
 
+_CELLS = [c for c in logs.RAW_COLUMNS if c not in ("study_id", "event_timestamp")]
+_TEXT_TIME = "concat(CAST(ts AS VARCHAR), 'Z') AS event_timestamp"
+
+
+def _write_mixed(spark, folder) -> str:
+    """The log in several layouts, beside files that are no logs: every third device in
+    another order and with names that differ in case only, one file without a header, one
+    with nothing but a header, and one of another kind.
+    """
+    path = scratch_folder(spark, "mixed-logs")
+    df = fr.text_log(spark, folder).withColumn("device", F.concat(F.lit("Raw "), UNIT))
+    df = df.withColumn("Note", F.concat(F.lit("n"), F.col("file_order").cast("string")))
+    third = F.expr("CAST(substr(participant_id, 2) AS INT) % 3")
+    kept = df.repartition("device").sortWithinPartitions("device", "file_order")
+    plain = kept.select("device", *logs.RAW_COLUMNS, "Note").where(third != 0)
+    turned = kept.where(third == 0).select(
+        "event_timestamp",
+        F.col("Note").alias("note"),
+        *reversed(_CELLS),
+        F.lit("x").alias("NOTE_2"),
+        "device",
+    )
+    plain.write.partitionBy("device").option("header", True).csv(f"{path}/one")
+    turned.write.partitionBy("device").option("header", True).csv(f"{path}/two")
+    lines = kept.limit(3).select(F.concat_ws(",", *logs.RAW_COLUMNS).alias("value"))
+    lines.write.text(f"{path}/headerless")
+    empty = F.lit(",".join(logs.RAW_COLUMNS)).alias("value")
+    spark.range(1).select(empty).coalesce(1).write.text(f"{path}/empty")
+    spark.range(2).select(F.lit("a,b").alias("value")).coalesce(1).write.text(f"{path}/other")
+    return path
+
+
+@register(
+    "scan_raw_mixed",
+    q.with_(q.log())
+    + f"""SELECT CASE WHEN user_no % 3 <> 0 THEN study_id END AS study_id, {", ".join(_CELLS)},
+      {_TEXT_TIME}, concat('n', CAST(file_order AS VARCHAR)) AS note,
+      row_number() OVER (PARTITION BY participant_id ORDER BY file_order) AS line_no
+      FROM (SELECT *, CAST(substr(participant_id, 2) AS INT) AS user_no FROM log)""",
+)
+def _(spark, folder):
+    path = _write_mixed(spark, folder)
+    df = logs.scan_raw(spark, path, r"part-.*\.(csv|txt)$")
+    # Names that differ in case only are columns of their own.
+    note = F.coalesce("Note", "note_3")
+    return _line_numbers(df).select(*logs.RAW_COLUMNS, note.alias("note"), "line_no")
+
+
+_RAGGED = "file_order % 11 = 4"
+
+
+def _write_ragged(spark, folder) -> str:
+    """The log as text lines, where some labels have a comma without quotes."""
+    path = scratch_folder(spark, "ragged-logs")
+    df = fr.text_log(spark, folder).withColumn("device", F.concat(F.lit("Raw "), UNIT))
+    label = F.expr(f"CASE WHEN {_RAGGED} THEN concat(application_label, ', Inc') ELSE '\"a, b\"' END")
+    df = df.withColumn("application_label", label).withColumn("is_head", F.lit(False))
+    cells = F.array_join(F.array(*logs.RAW_COLUMNS), ",", "")
+    lines = df.select("device", cells.alias("value"), "file_order")
+    head = lines.select("device").distinct().withColumns(
+        {"value": F.lit(",".join(logs.RAW_COLUMNS)), "file_order": F.lit(-1).cast("long")}
+    )
+    rows = lines.withColumn("file_order", F.col("file_order").cast("long")).unionByName(head)
+    rows = rows.repartition("device").sortWithinPartitions("device", "file_order")
+    rows.drop("file_order").write.partitionBy("device").text(path)
+    return path
+
+
+@register(
+    "quarantine_ragged",
+    q.with_(q.log())
+    + f"""SELECT participant_id, CASE WHEN {_RAGGED} THEN '{BAD_ROW}' ELSE 'read' END AS reason,
+      count(*) AS rows FROM log GROUP BY 1, 2""",
+)
+def _(spark, folder):
+    path = _write_ragged(spark, folder)
+    raw = materialise(logs.scan_raw(spark, path, r"\.txt$"), "ragged")
+    nothing = StudyOptions(removed_types=(), timezone_mode=TimezoneMode.CONVERT_TO_PRIMARY)
+    result = preprocess(raw, nothing, run_time=RUN_TIME)
+    device = F.regexp_extract("source_file", "Raw (P[0-9]+)", 1).alias("participant_id")
+    read = result.raw.filter("NOT ts_error").select(device, F.lit("read").alias("reason"))
+    gone = result.quarantine.select(device, "reason")
+    return read.unionByName(gone).groupBy("participant_id", "reason").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
 @register(
     "select_files",
     q.with_(q.log())
@@ -1086,6 +1174,85 @@ def _(spark, folder):
     )
 
 
+_FILES = fr.options(unit="source_file")
+
+
+@register(
+    "rerun_changed_units",
+    q.with_(q.full(FULL))
+    + f"""SELECT participant_id, event_timestamp, app_package_name, interaction_type,
+      start_timestamp, stop_timestamp, data_time_gap_hours, duration_seconds
+      FROM (SELECT {q.finished_output(FULL)} FROM finished)""",
+)
+def _(spark, folder):
+    """A folder that files are added to, replaced in and taken from, run after each change."""
+    path, out = scratch_folder(spark, "rerun-logs"), scratch_folder(spark, "rerun-results")
+    df = fr.text_log(spark, folder).withColumn("output_name", F.concat(F.lit("Raw "), UNIT))
+    user = "CAST(substr(participant_id, 2) AS INT)"
+    later = f"{user} % 7 = 3"
+    half = f"{user} % 5 = 1 AND file_order % 2 = 1"
+    gone = df.where(f"{user} % 11 = 2").withColumn("output_name", F.lit("Raw gone"))
+
+    def put(rows):
+        rows = rows.repartition("output_name").sortWithinPartitions("output_name", "file_order")
+        writer = rows.drop("file_order").write.partitionBy("output_name").mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").option("header", True).csv(path)
+
+    def run():
+        dimensions = fr.filters(spark, folder), fr.first_codebook(spark, folder)
+        return preprocess_folder(spark, path, out, _FILES, *dimensions, RUN_TIME, "csv")
+
+    put(df.where(f"NOT ({later}) AND NOT ({half})").unionByName(gone))
+    run()
+    put(df.where(f"({later}) OR {user} % 5 = 1"))
+    sinks.delete_units(gone, path)
+    run()
+    back = spark.read.option("header", True).option("escape", '"').csv(out)
+    return back.select(
+        "participant_id",
+        "event_timestamp",
+        "app_package_name",
+        "interaction_type",
+        "start_timestamp",
+        "stop_timestamp",
+        F.col("data_time_gap_hours").cast("double").alias("data_time_gap_hours"),
+        F.round(F.col("duration_seconds").cast("double"), 6).alias("duration_seconds"),
+    )
+
+
+@register(
+    "categorised_roundtrip",
+    q.with_(q.full(FULL))
+    + f"""SELECT concat(CASE WHEN participant_id IN ('P1', 'P2') THEN 'log' ELSE participant_id END,
+        ' Automatically Preprocessed_with_categories') AS name,
+      count(DISTINCT participant_id) AS folders, count(*) AS rows,
+      count(*) FILTER (broad_app_category = 'Unknown') AS without, CAST(0 AS BIGINT) AS out_of_order
+      FROM finished GROUP BY 1""",
+)
+def _(spark, folder):
+    """Two units with the same stem, in different folders, keep folders of their own."""
+    rows = materialise(finished_table(_run(spark, folder), FULL, keep_seq=True), "finished")
+    rows = rows.drop("broad_app_category")
+    same = F.col(UNIT).isin("P1", "P2")
+    stem = F.when(same, F.concat(UNIT, F.lit("/log"))).otherwise(F.concat(F.lit("x/"), UNIT))
+    path = F.concat(stem, F.lit(" Automatically Preprocessed.csv"))
+    rows = rows.withColumns({"source_file": path, "number": F.col(C.SEQ)})
+    mapped, _ = categorise(rows, fr.first_codebook(spark, folder))
+    out = scratch_folder(spark, "categorised")
+    sinks.write_categorised(mapped, out, order=C.SEQ)
+    back = spark.read.option("header", True).option("escape", '"').csv(out)
+    back = back.withColumn("row", F.monotonically_increasing_id())
+    of_file = Window.partitionBy(F.input_file_name()).orderBy("row")
+    back = back.withColumn("before", F.lag(F.col("number").cast("long")).over(of_file))
+    name = F.regexp_replace("output_name", " [0-9a-f]{16}$", "").alias("name")
+    return back.groupBy(name).agg(
+        F.count_distinct("output_name").alias("folders"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("broad_app_category") == "Unknown").alias("without"),
+        F.count_if(F.col("before") >= F.col("number").cast("long")).alias("out_of_order"),
+    )
+
+
 @register(
     "scan_preprocessed",
     q.with_(q.full(FULL))

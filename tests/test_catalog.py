@@ -32,6 +32,10 @@ CHOSEN = [
     "daily_usage_segments",
     "gap_segments",
     "write_roundtrip",
+    "categorised_roundtrip",
+    "scan_raw_mixed",
+    "quarantine_ragged",
+    "rerun_changed_units",
 ]
 
 

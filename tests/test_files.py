@@ -10,6 +10,7 @@ from usageweave.operators import reports
 from usageweave.operators.storage import materialise
 from usageweave.plans.jobs import plot_tables
 from usageweave.plans.preprocess import finished_table, preprocess
+from usageweave.plans.rerun import preprocess_folder
 from usageweave.sources import dimensions, files, logs, sinks
 
 HEAD = (
@@ -86,6 +87,94 @@ def test_common_header_is_read_directly(spark, tmp_path):
     ]
 
 
+def test_odd_headers_and_files_do_not_stop_a_folder(spark, tmp_path):
+    stamp = "2024-01-01T06:00:00Z"
+    (tmp_path / "a.csv").write_text(
+        f'\ufeff\n \n"event_timestamp" , note,interaction_type,"x ""y"", z",note,\r\n{stamp},1,t,q,2,end\r\n'
+    )
+    (tmp_path / "b.csv").write_text(f"Note,interaction_type,event_timestamp,Timezone\n3,t,{stamp},UTC\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n \n")
+    (tmp_path / "head.csv").write_text("event_timestamp,interaction_type\n")
+    (tmp_path / "headless.csv").write_text(f"1,t,{stamp}\n")
+    (tmp_path / "binary.csv").write_bytes(bytes(range(256)) * 40)
+    df = logs.scan_raw(spark, str(tmp_path))
+    assert "Python" not in df._jdf.queryExecution().toString()
+    rows = {r.source_file.rsplit("/", 1)[1]: r.asDict() for r in df.collect()}
+    assert set(rows) == {"a.csv", "b.csv"}
+    assert (rows["a.csv"]["note_2"], rows["a.csv"]["Note"]) == ("1", None)
+    assert (rows["b.csv"]["note_2"], rows["b.csv"]["Note"]) == (None, "3")
+    assert rows["a.csv"]['x "y", z'] == "q" and rows["a.csv"]["unnamed"] == "end"
+    # A name in another case is not the log's column.
+    assert rows["b.csv"]["Timezone_2"] == "UTC" and rows["b.csv"]["timezone"] is None
+    problems = {
+        r.source_file.rsplit("/", 1)[1]: r.problem
+        for r in logs.check_logs(spark, str(tmp_path)).collect()
+    }
+    assert problems.pop("binary.csv").startswith("No column")
+    assert problems == {
+        "a.csv": None,
+        "b.csv": None,
+        "none.csv": "Empty file",
+        "blank.csv": "Empty file",
+        "head.csv": None,
+        "headless.csv": "No column interaction_type, event_timestamp",
+    }
+
+
+def test_folder_without_a_good_file_gives_a_report(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "y.csv").write_text("")
+    raw = logs.scan_raw(spark, str(tmp_path))
+    assert raw.count() == 0 and set(logs.RAW_COLUMNS) < set(raw.columns)
+    result = preprocess(raw, OPTIONS, files=logs.check_logs(spark, str(tmp_path)))
+    got = {r.source_file.rsplit("/", 1)[1]: (r.status, r.message) for r in result.report().collect()}
+    assert got == {
+        "x.csv": ("error", "No column interaction_type, event_timestamp"),
+        "y.csv": ("error", "Empty file"),
+    }
+
+
+RAGGED = [
+    (row("Unknown importance: 1", "2024-01-01T06:00:00Z"), False),
+    (row("Unknown importance: 2", "2024-01-01T06:10:00Z") + ",one,two", True),
+    (row("Unknown importance: 2", "2024-01-01T06:11:00Z", label="A, B"), True),
+    (row("Unknown importance: 2", "2024-01-01T06:12:00Z", label='"A, ""B"""'), False),
+    ("S1,P1,Target Child,a.b,AB,Unknown importance: 23,2024-01-01T06:20:00Z", False),
+    (row("Unknown importance: 2", "2024-01-01T06:13:00Z") + ",", True),
+    (row("Unknown importance: 1", "2024-01-01T06:14:00Z", label='5" tall, wide'), True),
+]
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+@pytest.mark.parametrize("layouts", [1, 2])
+def test_ragged_rows_go_into_quarantine(spark, tmp_path, layouts, multiline):
+    text = "\n".join([HEAD, *[line for line, _ in RAGGED]]) + "\n"
+    (tmp_path / "Raw P1.csv").write_text(text)
+    if layouts == 2:
+        wide = HEAD + ",c9,c10\n" + RAGGED[1][0].replace("P1", "P2") + "\n"
+        (tmp_path / "Raw P2.csv").write_text(wide)
+        (tmp_path / "Raw P3.csv").write_text(HEAD + "\n" + RAGGED[1][0] + "\n")
+    raw = materialise(logs.scan_raw(spark, str(tmp_path), multiline=multiline), "raw")
+    of_p1 = raw.filter(F.col("source_file").contains("P1"))
+    bad = of_p1.filter("malformed IS NOT NULL")
+    assert sorted(r.malformed for r in bad.collect()) == sorted(x for x, b in RAGGED if b)
+    assert {r.participant_id for r in bad.collect()} == {None}
+    good = of_p1.filter("malformed IS NULL").orderBy("file_order").collect()
+    assert [r.application_label for r in good] == ["AB", 'A, "B"', "AB"]
+    assert good[2].timezone is None
+    options = StudyOptions(removed_types=(), timezone_mode=TimezoneMode.CONVERT_TO_PRIMARY)
+    result = preprocess(raw, options, files=logs.check_logs(spark, str(tmp_path)))
+    reasons = [r.reason for r in result.quarantine.collect()]
+    assert reasons.count("malformed row") == sum(b for _, b in RAGGED) + (layouts == 2)
+    assert len(reasons) + raw.filter("malformed IS NULL").count() == raw.count()
+    report = {r.source_file.rsplit("/", 1)[1]: r for r in result.report().collect()}
+    assert report["Raw P1.csv"].rows_in == len(RAGGED)
+    assert (report["Raw P1.csv"].unreadable_times, report["Raw P1.csv"].unusable_zones) == (0, 0)
+    if layouts == 2:
+        assert report["Raw P3.csv"].message == "Malformed rows"
+
+
 def test_folder_to_finished_table(spark, folder):
     raw = materialise(logs.scan_raw(spark, folder), "raw")
     listed = files.list_files(spark, folder)
@@ -111,6 +200,74 @@ def test_folder_to_finished_table(spark, folder):
     assert (summary.total_units, summary.processed_units, summary.failed_units) == (3, 2, 1)
 
 
+def run_again(spark, folder, out, options=OPTIONS, **more):
+    rerun = preprocess_folder(spark, folder, out, options, file_format="csv", **more)
+    changed = {r.unit.rsplit("/", 1)[1] for r in rerun.changed.collect()}
+    return rerun, changed, {r.unit.rsplit("/", 1)[1] for r in rerun.removed.collect()}
+
+
+def test_only_changed_files_are_run_again(spark, folder, tmp_path):
+    from pathlib import Path
+
+    out = str(tmp_path / "out")
+    _, changed, removed = run_again(spark, folder, out)
+    assert changed == {"Raw P1+a.csv", "Raw P2.csv", "Raw empty.csv"} and not removed
+    before = {p: p.stat().st_mtime_ns for p in Path(out).rglob("part-*.csv")}
+    rerun, changed, removed = run_again(spark, folder, out)
+    assert rerun.result is None and not changed and not removed
+    # One file grows, one is new with the stem of another, one goes, and one has rows no more.
+    p2 = Path(folder) / "deep er" / "Raw P2.csv"
+    p2.write_text(p2.read_text() + "None, P2,2024-01-01T01:41:00-05:00, Move to Foreground,x.y\n")
+    (Path(folder) / "deep er" / "Raw P1+a.csv").write_text(
+        "\n".join([HEAD, *[row(f"Unknown importance: {n}", f"2024-02-01T06:0{n}:00Z") for n in (1, 2)]])
+    )
+    (Path(folder) / "Raw empty.csv").unlink()
+    rerun, changed, removed = run_again(spark, folder, out)
+    assert changed == {"Raw P2.csv", "Raw P1+a.csv"} and removed == {"Raw empty.csv"}
+    assert {r.source_file for r in rerun.result.raw.collect()} == {
+        r.unit for r in rerun.changed.collect()
+    }
+    kept = [p for p in before if "P1+a Auto" in str(p)]
+    assert kept and all(p.stat().st_mtime_ns == before[p] for p in kept)
+    fresh = str(tmp_path / "fresh")
+    run_again(spark, folder, fresh)
+    names = F.regexp_replace("output_name", " [0-9a-f]{16}$", "")
+
+    def content(path):
+        rows = spark.read.option("header", True).csv(path).withColumn("output_name", names)
+        return sorted(map(str, rows.drop("datetime_of_preprocessing").collect()))
+
+    assert content(out) == content(fresh)
+    p2.write_text(HEAD + "\n")
+    _, changed, _ = run_again(spark, folder, out)
+    assert changed == {"Raw P2.csv"}
+    assert not [p for p in Path(out).iterdir() if "P2 Auto" in p.name]
+
+
+def test_other_options_or_dimensions_run_all_files_again(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    book = spark.createDataFrame([("a.b", "Games", "G")], "app_package_name string, broad_app_category string, genreId string")
+    run_again(spark, folder, out, codebook=book)
+    assert not run_again(spark, folder, out, codebook=book)[1]
+    other = book.withColumn("genreId", F.lit("H"))
+    assert len(run_again(spark, folder, out, codebook=other)[1]) == 3
+    options = StudyOptions(timezone_mode=TimezoneMode.CONVERT_TO_PRIMARY, custom_engagement_seconds=77)
+    assert len(run_again(spark, folder, out, options, codebook=other)[1]) == 3
+    with pytest.raises(ValueError, match="source_file"):
+        run_again(spark, folder, out, StudyOptions(unit="participant_id"))
+
+
+def test_null_units_are_written(spark, tmp_path):
+    rows = [(None, 0, "a"), ("", 0, "b"), (None, 1, "c"), ("x/y", 0, "d")]
+    df = spark.createDataFrame(rows, "device string, seq long, app_package_name string")
+    path = str(tmp_path / "out")
+    sinks.write_preprocessed(df, path, "device")
+    back = spark.read.parquet(path).select("output_name", "unit", "app_package_name").collect()
+    assert sorted(r.app_package_name for r in back) == ["a", "b", "c", "d"]
+    assert len({r.output_name for r in back}) == 3
+    assert {r.unit for r in back if r.app_package_name in "ac"} == {None}
+
+
 def test_finished_files_round_trip(spark, folder, tmp_path):
     raw = materialise(logs.scan_raw(spark, folder), "raw")
     result = finished_table(preprocess(raw, OPTIONS), OPTIONS, keep_seq=True)
@@ -134,7 +291,10 @@ def test_finished_files_round_trip(spark, folder, tmp_path):
     assert tables["dates"].count() == 5
     assert tables["gaps"].count() > 0
     target = str(tmp_path / "mapped")
-    sinks.write_categorised(back.select("app_package_name", "source_file"), target)
+    sinks.write_categorised(back.drop("start_local", "stop_local", "event_local"), target)
+    mapped = spark.read.option("header", True).csv(target)
+    assert {r.unit.rsplit("/", 1)[1] for r in mapped.collect()} == {"Raw P1+a.csv", "Raw P2.csv"}
+    assert mapped.count() == back.count()
     assert {p.name for p in (tmp_path / "mapped").iterdir() if p.is_dir()} == {
         "output_name=P1+a Automatically Preprocessed_with_categories",
         "output_name=P2 Automatically Preprocessed_with_categories",

@@ -54,15 +54,18 @@ def unit_report(
 ) -> DataFrame:
     """One row per unit with counts and a status.
 
-    ``raw`` are the rows read (``ts_error`` marks unreadable times), ``seen`` what
-    :func:`unit_kinds` says of those that go into sessionising, ``finished`` the
-    result, and ``quarantine`` the rows that are in no result.
+    ``raw`` are the rows read (``ts_error`` marks unreadable times, and a text in
+    ``malformed`` rows that have no values), ``seen`` what :func:`unit_kinds` says of
+    those that go into sessionising, ``finished`` the result, and ``quarantine`` the
+    rows that are in no result.
     """
     one = F.lit(1)
     kind = F.col("interaction_type")
+    ragged = F.col("malformed").isNotNull() if "malformed" in raw.columns else F.lit(False)
     read = raw.groupBy(unit).agg(
         F.count(one).alias("rows_in"),
-        F.count_if("ts_error").alias("unreadable_times"),
+        F.count_if(ragged).alias("ragged"),
+        F.count_if(F.col("ts_error") & ~ragged).alias("unreadable_times"),
         F.count_if(F.col("event_timestamp").isNotNull() & ~F.col("ts_error")).alias("timed"),
     )
     rejected = quarantine.filter(~F.col("ts_error")).groupBy(unit).agg(
@@ -82,6 +85,7 @@ def unit_report(
     joined = joined.na.fill(False, ["has_valid", "has_filtered"])
     problem = (
         F.when(F.col("rows_in") == 0, "Empty file")
+        .when(F.col("ragged") == F.col("rows_in"), "Malformed rows")
         .when(F.col("timed") == 0, "No readable event timestamp")
         .when(F.col("unusable_zones") > 0, "No usable primary time zone")
         .when(F.col("disordered") > 0, "Start timestamp later than stop timestamp")
@@ -94,18 +98,21 @@ def unit_report(
         .when(~F.col("has_valid"), "empty")
         .otherwise("processed")
     )
-    return joined.withColumns({"status": status, "message": message}).drop("timed")
+    return joined.withColumns({"status": status, "message": message}).drop("timed", "ragged")
 
 
 def with_empty_units(report: DataFrame, units: DataFrame, unit: str) -> DataFrame:
-    """Add files that yielded no row, or have no header of a log, as error units."""
-    absent = units.select(unit).distinct().join(report.select(unit), unit, "left_anti")
+    """Add files that yielded no row as error units, with their ``problem`` if they have
+    one in ``units``.
+    """
+    known = F.col("problem") if "problem" in units.columns else F.lit(None)
+    reason = F.coalesce(F.max(known.cast("string")), F.lit("Empty file")).alias("message")
+    absent = units.groupBy(unit).agg(reason).join(report.select(unit), unit, "left_anti")
     return report.unionByName(
         absent.withColumns(
             {
                 "rows_in": F.lit(0).cast("long"),
                 "status": F.lit("error"),
-                "message": F.lit("Empty file"),
             }
         ),
         allowMissingColumns=True,

@@ -60,10 +60,11 @@ def split_lanes(df: DataFrame, options: StudyOptions) -> list[tuple[DataFrame, L
     df = df.withColumn(unit, F.coalesce(F.col(unit), F.lit("")))
     sizes = df.groupBy(unit).agg(F.count(F.lit(1)).alias("unit_rows"))
     plain = Lane(unit, partitions=options.unit_partitions)
-    hot = materialise(sizes.filter(F.col("unit_rows") > options.hot_unit_rows), "hot-units")
+    hot = sizes.filter(F.col("unit_rows") > options.hot_unit_rows)
     hot_units, hot_rows = hot.agg(F.count(F.lit(1)), F.sum("unit_rows")).first()
     if not hot_units:
         return [(df, plain)]
+    hot = materialise(hot, "hot-units")
     slices = -(-hot_rows // options.slice_rows)
     if hot_units > MAX_HOT_UNITS or slices > MAX_SLICES:
         raise ValueError(

@@ -19,6 +19,7 @@ from usageweave.operators.ordering import order_log
 from usageweave.operators.storage import materialise, require_scratch
 from usageweave.operators.timezones import apply_timezone_mode
 from usageweave.operators.units import Lane, split_lanes
+from usageweave.sources.files import MALFORMED
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,7 @@ SCANNED = ("file_order", "event_timestamp", "interaction_type", "app_package_nam
 #: Reasons for quarantine.
 BAD_TIME = "unreadable event timestamp"
 BAD_ZONE = "unusable primary time zone"
+BAD_ROW = "malformed row"
 
 
 def labelled_log(
@@ -118,10 +120,11 @@ def preprocess(
 ) -> Result:
     """Run the whole job over all units at once.
 
-    ``raw`` needs the columns of a raw log plus the unit key and
-    ``file_order``.  With ``keep_stages`` the result and the types each unit
+    ``raw`` needs the columns of a raw log plus the unit key and ``file_order``; rows
+    with a text in a column ``malformed`` go into quarantine.  With ``keep_stages`` the result and the types each unit
     has are stored, so that the report does not compute them again.  ``files``
-    (unit key) lists the files that were read, so that it names empty ones, too.
+    (unit key, and perhaps ``problem``) lists the files there are, so that it names those
+    without rows, too.
     Every row of ``raw`` goes into ``rows`` or ``quarantine``, but for those that
     the options remove by type or zone.
     """
@@ -131,7 +134,13 @@ def preprocess(
     raw = raw.withColumn(unit, F.coalesce(F.col(unit), F.lit("")))
     timed = read_times(raw, options)
     kinds, finished = [], []
-    rejected = [timed.filter("ts_error").withColumn("reason", F.lit(BAD_TIME))]
+    reason = F.lit(BAD_TIME)
+    if MALFORMED in raw.columns:
+        ragged = F.col(MALFORMED).isNotNull()
+        timed = timed.withColumn("ts_error", F.col("ts_error") | ragged)
+        reason = F.when(ragged, BAD_ROW).otherwise(BAD_TIME)
+        raw = raw.filter(~ragged).drop(MALFORMED)
+    rejected = [timed.filter("ts_error").withColumn("reason", reason)]
     # Rows per unit are counted on the raw log: no time is parsed for that.
     for part, lane in split_lanes(raw, options):
         readable = read_times(part, options).filter(~F.col("ts_error"))
@@ -149,7 +158,9 @@ def preprocess(
     rows = cols.admin_columns(rows, run_time or datetime.now(), __version__)
     return Result(
         rows=rows,
-        quarantine=reduce(DataFrame.unionByName, rejected),
+        quarantine=reduce(
+            lambda a, b: a.unionByName(b, allowMissingColumns=True), rejected
+        ),
         raw=timed,
         kinds=seen,
         unit=unit,

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageweave import constants as C
-from usageweave.operators.units import lookup_join
+from usageweave.operators.storage import materialise
 
 _CSV = {
     "header": True,
     "ignoreLeadingWhiteSpace": True,
     "quote": '"',
     "escape": '"',
-    "enforceSchema": False,
+    # Headers are known from the catalogue.
+    "enforceSchema": True,
 }
 FILE = "source_file"
 ORDER = "file_order"
@@ -24,16 +27,25 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def _is_chosen(path: Column, pattern: str, ignore: tuple[str, ...]) -> Column:
+    chosen = F.regexp_extract(path, r"[^/]*$", 0).rlike(pattern)
+    for text in ignore:
+        chosen = chosen & ~F.contains(path, F.lit(text))
+    return chosen
+
+
 def select_files(
     df: DataFrame,
     pattern: str = C.RAW_FILE_PATTERN,
     ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
+    since: datetime | None = None,
 ) -> DataFrame:
-    """Keep rows of files whose name matches and whose path is not ignored."""
-    path = _decoded(F.col("_metadata.file_path"))
-    chosen = F.regexp_extract(path, r"[^/]*$", 0).rlike(pattern)
-    for text in ignore:
-        chosen = chosen & ~F.contains(path, F.lit(text))
+    """Keep rows of files whose name matches, whose path is not ignored, and that were not
+    last changed before ``since``. Spark leaves the others out of the scan.
+    """
+    chosen = _is_chosen(_decoded(F.col("_metadata.file_path")), pattern, ignore)
+    if since is not None:
+        chosen = chosen & (F.col("_metadata.file_modification_time") >= F.lit(since))
     return df.filter(chosen)
 
 
@@ -42,65 +54,128 @@ def list_files(
     folder: str,
     pattern: str = C.RAW_FILE_PATTERN,
     ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
+    since: datetime | None = None,
+    times: bool = False,
 ) -> DataFrame:
-    """Sorted ``source_file`` paths below ``folder``; contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    """Sorted ``source_file`` paths below ``folder``, with ``times`` also their length and
+    when they were ``modified``; contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    listed = select_files(files, pattern, ignore, since).select(
+        _decoded(F.col("_metadata.file_path")).alias(FILE),
+        "length",
+        F.col("modificationTime").alias("modified"),
     )
-    listed = select_files(files, pattern, ignore)
-    path = _decoded(F.col("_metadata.file_path"))
-    return listed.select(path.alias(FILE)).orderBy(FILE)
-
-
-def _header_lines(files: DataFrame) -> DataFrame:
-    """First line of every file, read by the executors."""
-
-    def read(batches):
-        import csv
-
-        import pandas as pd
-        from pyarrow import fs
-
-        for batch in batches:
-            headers = []
-            for path in batch["source_file"]:
-                uri = path.replace("file:///", "/").replace("file:/", "/")
-                system, inner = (
-                    (fs.LocalFileSystem(), uri)
-                    if uri.startswith("/")
-                    else fs.FileSystem.from_uri(uri)
-                )
-                with system.open_input_stream(inner) as stream:
-                    line = b""
-                    while b"\n" not in line:
-                        more = stream.read(65536)
-                        if not more:
-                            break
-                        line += more
-                first = line.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-                cells = next(csv.reader([first], skipinitialspace=True), [])
-                headers.append(cells)
-            yield pd.DataFrame({"source_file": batch["source_file"], "header": headers})
-
-    return files.select(FILE).mapInPandas(read, "source_file string, header array<string>")
-
-
-def _cleaned(df: DataFrame, names: list[str]) -> DataFrame:
-    """Missing-value texts to null."""
-    cells = {
-        f"`{n}`": F.when(~F.col(f"`{n}`").isin(*C.MISSING_CELLS), F.col(f"`{n}`"))
-        for n in names
-    }
-    return df.select(
-        *[e.alias(n.strip("`")) for n, e in cells.items()],
-        *[c for c in (FILE, ORDER) if c in df.columns],
+    # Scans pass over files without a byte; Spark's list of files, which is in the driver
+    # anyway, has them.
+    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
+    path = F.regexp_replace("path", "^file:///", "file:/")
+    names = names.select(_decoded(path).alias(FILE))
+    scanned = files.select(_decoded(F.col("_metadata.file_path")).alias(FILE))
+    empty = names.filter(_is_chosen(F.col(FILE), pattern, ignore)).join(scanned, FILE, "left_anti")
+    length, modified = F.lit(0).cast("long"), F.timestamp_seconds(F.lit(0))
+    empty = empty.select(FILE, length.alias("length"), modified.alias("modified"))
+    every = listed.unionByName(empty).orderBy(FILE)
+    return every if times else every.select(FILE)
+
+
+#: A quoted cell, with doubled quotes inside.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+#: The text of a row that has more cells than its header has names.
+MALFORMED = "malformed"
+_RECORD = "_record"
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a header line, without quotes and blanks in front."""
+    found = F.regexp_extract_all(
+        F.concat(F.lit(","), line), F.lit(rf",[ \t]*({_QUOTED}|[^,]*)"), F.lit(1)
+    )
+
+    def plain(cell: Column) -> Column:
+        inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+        return F.when(F.startswith(cell, F.lit('"')), inner).otherwise(cell)
+
+    return F.transform(found, plain)
+
+
+def _n_cells(record: Column) -> Column:
+    """How many cells a line has; commas in quoted cells don't count."""
+    bare = F.regexp_replace(record, rf"(^|,)[ \t]*{_QUOTED}", "$1")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def header_catalogue(
+    spark: SparkSession,
+    folder: str,
+    pattern: str = C.RAW_FILE_PATTERN,
+    ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
+    since: datetime | None = None,
+) -> DataFrame:
+    """(source_file, header): the cells of the first line of every matching file that isn't
+    blank. A file without such a line is not in it.
+
+    The lines come from a text scan by Spark, so from wherever Spark reads; of all but a
+    file's first block every line is dropped as it is read.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(folder)
+    lines = select_files(lines, pattern, ignore, since)
+    lines = lines.filter(F.col("_metadata.file_block_start") == 0).select(
+        _decoded(F.col("_metadata.file_path")).alias(FILE),
+        "value",
+        F.monotonically_increasing_id().alias("row"),
     )
+    lines = lines.filter(F.col("value").rlike(r"[^\x00-\x20]"))
+    first = lines.groupBy(FILE).agg(F.min_by("value", "row").alias("value"))
+    return first.select(FILE, _cells(F.col("value")).alias("header"))
+
+
+def _has_all(required: tuple[str, ...]) -> Column:
+    wanted = F.lit(True)
+    for name in required:
+        wanted = wanted & F.array_contains("header", name)
+    return wanted
+
+
+def check_files(
+    spark: SparkSession,
+    folder: str,
+    required: tuple[str, ...],
+    pattern: str = C.RAW_FILE_PATTERN,
+    ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
+    since: datetime | None = None,
+) -> DataFrame:
+    """(source_file, problem) of every matching file: what keeps it from being read, or null."""
+    listed = list_files(spark, folder, pattern, ignore, since)
+    headers = header_catalogue(spark, folder, pattern, ignore, since)
+    absent = F.array_except(F.array(*[F.lit(n) for n in required]), "header")
+    problem = F.when(F.col("header").isNull(), "Empty file").when(
+        F.size(absent) > 0, F.concat(F.lit("No column "), F.array_join(absent, ", "))
+    )
+    return listed.join(headers, FILE, "left").select(FILE, problem.alias("problem"))
+
+
+def unique_names(names: list[str], reserved: tuple[str, ...] = ()) -> dict[str, str]:
+    """A column name for each of ``names`` that no other one equals, whatever its case: those
+    that only differ in case from an earlier or a reserved name get a number.
+    """
+    kept = {n.lower(): n for n in reserved}
+    out, taken = {}, set()
+    for name in names:
+        plain = name or "unnamed"
+        new, n = plain, 1
+        while new.lower() in taken or kept.get(new.lower(), new) != new:
+            n += 1
+            new = f"{plain}_{n}"
+        taken.add(new.lower())
+        out[name] = new
+    return out
 
 
 def _with_origin(df: DataFrame, names: list[str]) -> DataFrame:
     """``source_file`` and a ``file_order`` that sorts rows as in the file."""
     return df.select(
-        *[F.col(f"`{n}`") for n in names],
+        *names,
         _decoded(F.col("_metadata.file_path")).alias(FILE),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"),
@@ -109,6 +184,12 @@ def _with_origin(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def _nothing(spark: SparkSession, names: list[str]) -> DataFrame:
+    order = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row"))
+    columns = [F.lit(None).cast("string").alias(n) for n in [*names, FILE]]
+    return spark.range(0).select(*columns, order.alias(ORDER))
+
+
 def read_tables(
     spark: SparkSession,
     folder: str,
@@ -116,58 +197,75 @@ def read_tables(
     ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
     multiline: bool = False,
     required: tuple[str, ...] = (),
+    reserved: tuple[str, ...] = (),
+    mark_malformed: bool = False,
+    may_be_empty: bool = False,
+    since: datetime | None = None,
 ) -> DataFrame:
-    """All matching CSV files below ``folder`` as text columns.
+    """All matching CSV files below ``folder`` as text columns, with ``source_file`` and
+    ``file_order``.
 
-    Files without one of the ``required`` columns are skipped.
+    Columns are matched by name, in the case they are written in, even when files order
+    them differently: Spark binds CSV columns by position, so the catalogue of headers is
+    looked at first. Of names that only differ in case all but one get a number behind them,
+    and none takes a ``reserved`` name of another case. Of equal names in one file the first
+    counts. Files without one of the ``required`` columns are skipped; that none is left is
+    an error, or with ``may_be_empty`` an empty table with these columns.
 
-    Columns are matched by name even when files order them differently: Spark
-    binds CSV columns by position, so the header line of every file is looked
-    at first.  Files with one common header are read directly.
+    Missing cells at the end of a row are null. A row with more cells than its header has
+    names can't be told apart by name: with ``mark_malformed`` its text is in a column of
+    this name and its cells are null; else the cells beyond are left out.
     """
-    lines = _header_lines(list_files(spark, folder, pattern, ignore)).persist()
-    try:
-        layouts = lines.filter("size(header) > 0").select("header").distinct()
-        found = layouts.limit(2).collect()
-        wanted = F.lit(True)
-        for name in required:
-            wanted = wanted & F.array_contains("header", name)
-        headers = lines.filter(wanted)
-        layouts = layouts.filter(wanted)
-        if layouts.isEmpty():
+    headers = materialise(header_catalogue(spark, folder, pattern, ignore, since), "headers")
+    good = headers.filter(_has_all(required))
+    layouts = good.select("header").distinct()
+    found = [r["header"] for r in layouts.limit(2).collect()]
+    if not found:
+        if not may_be_empty:
             raise ValueError(f"no file with the columns {[*required]} in {folder}")
-        reader = (
-            spark.read.options(**_CSV)
-            .option("recursiveFileLookup", True)
-            .option("multiLine", multiline)
-        )
-        if len(found) == 1:  # every file has it
-            names = list(found[0]["header"])
-            schema = ", ".join(f"`{n}` string" for n in names)
-            chosen = select_files(reader.schema(schema).csv(folder), pattern, ignore)
-            return _cleaned(_with_origin(chosen, names), names)
-        width = layouts.agg(F.max(F.size("header"))).first()[0]
+        out = _nothing(spark, list(unique_names([*required], reserved).values()))
+        return out.withColumn(MALFORMED, F.lit(None).cast("string")) if mark_malformed else out
+    if len(found) == 1:
+        names, width = list(dict.fromkeys(found[0])), len(found[0])
+    else:
         # Column names of all files: a log has some ten of them.
-        names = [
-            r["name"]
-            for r in layouts.select(F.explode("header").alias("name"))
-            .distinct()
-            .orderBy("name")
-            .collect()
-        ]
-    finally:
-        lines.unpersist()
+        each = layouts.select(F.explode("header").alias("name")).distinct().orderBy("name")
+        names = [r["name"] for r in each.collect()]
+        width = layouts.agg(F.max(F.size("header"))).first()[0]
     cells = [f"_c{i}" for i in range(width)]
-    schema = ", ".join(f"{c} string" for c in cells)
-    plain = reader.option("header", False).schema(schema).csv(folder)
-    rows = _with_origin(select_files(plain, pattern, ignore), cells)
-    rows = lookup_join(rows, headers, [FILE], "inner")
-    # A header line is told from data by its content.
-    line = F.slice(F.array(*cells), F.lit(1), F.size("header"))
-    rows = rows.withColumn("_line", line).filter(F.col("_line") != F.col("header"))
-
-    def cell(name: str) -> Column:
-        place = F.array_position("header", F.lit(name)).cast("int")
-        return F.get(F.col("_line"), place - 1).alias(name)
-
-    return _cleaned(rows.select(*[cell(n) for n in names], FILE, ORDER), names)
+    reader = (
+        spark.read.options(**_CSV)
+        .option("recursiveFileLookup", True)
+        .option("multiLine", multiline)
+        .option("columnNameOfCorruptRecord", _RECORD)
+        .schema(", ".join(f"{c} string" for c in [*cells, _RECORD]))
+    )
+    rows = select_files(reader.csv(folder), pattern, ignore, since)
+    rows = _with_origin(rows, [*cells, _RECORD])
+    if len(found) == 1:
+        places = {n: F.col(cells[found[0].index(n)]) for n in names}
+        n_names = F.lit(width)
+        if not headers.filter(~_has_all(required)).isEmpty():
+            rows = rows.join(good.select(FILE), FILE, "left_semi")
+    else:
+        rows = rows.join(good, FILE)  # stored: Spark knows its size
+        line = F.array(*cells)
+        places = {
+            n: F.get(line, F.array_position("header", F.lit(n)).cast("int") - 1) for n in names
+        }
+        n_names = F.size("header")
+    columns = unique_names(names, reserved)
+    record = F.col(_RECORD)
+    whole = F.coalesce(record, F.array_join(F.array(*cells), ",", ""))
+    n_cells = F.when(record.isNull(), width).otherwise(_n_cells(record))
+    malformed = F.when(n_cells > n_names, whole)
+    if mark_malformed:
+        rows = rows.withColumn(MALFORMED, malformed)
+    good_row = F.col(MALFORMED).isNull() if mark_malformed else F.lit(True)
+    # Missing-value texts are null.
+    values = [
+        F.when(good_row & ~e.isin(*C.MISSING_CELLS), e).alias(columns[n])
+        for n, e in places.items()
+    ]
+    marked = [MALFORMED] if mark_malformed else []
+    return rows.select(*values, FILE, ORDER, *marked)

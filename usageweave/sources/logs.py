@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageweave import constants as C
 from usageweave.operators.timezones import discover_timezones
-from usageweave.sources.files import FILE, ORDER, read_tables
+from usageweave.sources.files import FILE, MALFORMED, ORDER, check_files, read_tables
 
 RAW_COLUMNS = (
     "study_id",
@@ -28,17 +30,42 @@ def scan_raw(
     pattern: str = C.RAW_FILE_PATTERN,
     ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
     multiline: bool = False,
+    since: datetime | None = None,
 ) -> DataFrame:
     """Raw logs with every expected column; absent ones are null.
 
     Files without the columns of :data:`REQUIRED` yield no rows: they have no
-    header, or are not logs.  ``files.list_files`` names them for the report.
+    header, or are not logs.  ``check_logs`` names them for the report. Rows with more
+    cells than names have their text in ``malformed`` and no values; ``preprocess`` puts
+    them into quarantine.
     """
-    df = read_tables(spark, folder, pattern, ignore, multiline, REQUIRED)
+    df = read_tables(
+        spark,
+        folder,
+        pattern,
+        ignore,
+        multiline,
+        REQUIRED,
+        reserved=(*RAW_COLUMNS, FILE, ORDER, MALFORMED),
+        mark_malformed=True,
+        may_be_empty=True,
+        since=since,
+    )
     absent = [c for c in RAW_COLUMNS if c not in df.columns]
     return df.withColumns({c: F.lit(None).cast("string") for c in absent})
 
 
+def check_logs(
+    spark: SparkSession,
+    folder: str,
+    pattern: str = C.RAW_FILE_PATTERN,
+    ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
+    since: datetime | None = None,
+) -> DataFrame:
+    """Every raw log of a folder, and the ``problem`` that keeps it from being read."""
+    return check_files(spark, folder, REQUIRED, pattern, ignore, since)
+
+
 def folder_timezones(
     spark: SparkSession, folder: str, pattern: str = C.RAW_FILE_PATTERN
 ) -> DataFrame:
@@ -53,7 +80,7 @@ def scan_preprocessed(spark: SparkSession, folder: str) -> DataFrame:
     the event time ``event_local``; a missing date is the start date.
     """
     times = ("start_timestamp", "stop_timestamp")
-    df = read_tables(spark, folder, r"\.csv$", (), required=times)
+    df = read_tables(spark, folder, r"\.csv$", (), required=times, reserved=(FILE, ORDER))
     # The folder that the writer made for a unit is the unit, in all its files.
     unit = F.regexp_extract(FILE, r"^.*/output_name=[^/]+", 0)
     order = F.struct(F.col(FILE).alias("file"), f"{ORDER}.*")

@@ -9,6 +9,7 @@ from usageweave import constants as C
 from usageweave.functions.values import quoted, stripped
 from usageweave.operators.enrich import dedupe_keep, duplicate_rows
 from usageweave.operators.labelling import merge_unexpected_labels
+from usageweave.operators.storage import materialise
 from usageweave.sources.files import FILE, ORDER, read_tables
 
 
@@ -27,18 +28,28 @@ def output_name(unit: Column, is_file: bool = True) -> Column:
     return F.concat(F.replace(stem, F.lit("Raw "), F.lit("")), F.lit(C.OUTPUT_SUFFIX))
 
 
-def output_names(df: DataFrame, unit: str) -> DataFrame:
-    """(unit, output_name): one name for each unit; units whose names would be the
-    same get a short digest of the unit behind them.
+def unique_names(units: DataFrame, name: Column, taken: DataFrame | None = None) -> DataFrame:
+    """(unit, output_name) for each of ``units`` (unit): its ``name``; those whose names
+    would be the same, or are ``taken`` (output_name) already, get a digest of 16 digits of
+    the unit behind them. A null unit is one of its own.
     """
-    names = df.select(unit).distinct().withColumn(
-        "output_name", output_name(F.col(unit), unit == FILE)
-    )
-    several = names.groupBy("output_name").count().where("count > 1").drop("count")
+    unit = F.col("unit")
+    name = F.coalesce(name, F.lit("no unit"))
+    names = units.select("unit").distinct().withColumn("output_name", name)
+    every = names.select("output_name")
+    every = every if taken is None else every.unionByName(taken)
+    several = every.groupBy("output_name").count().where("count > 1").drop("count")
     several = several.withColumn("several", F.lit(True))
-    digest = F.concat(F.col("output_name"), F.lit(" "), F.substring(F.md5(unit), 1, 8))
-    name = F.when(F.col("several"), digest).otherwise(F.col("output_name"))
-    return names.join(several, "output_name", "left").select(unit, name.alias("output_name"))
+    told = F.concat(F.isnull(unit).cast("string"), F.coalesce(unit, F.lit("")))
+    digest = F.concat(F.col("output_name"), F.lit(" "), F.substring(F.md5(told), 1, 16))
+    shown = F.when(F.col("several"), digest).otherwise(F.col("output_name"))
+    return names.join(several, "output_name", "left").select("unit", shown.alias("output_name"))
+
+
+def output_names(df: DataFrame, unit: str) -> DataFrame:
+    """(unit, output_name) with the names of the units' results."""
+    units = df.select(F.col(unit).cast("string").alias("unit"))
+    return unique_names(units, output_name(F.col("unit"), unit == FILE))
 
 
 def flags_text(flags: Column) -> Column:
@@ -48,35 +59,85 @@ def flags_text(flags: Column) -> Column:
     )
 
 
+def _write_units(
+    df: DataFrame, key: str, names: DataFrame, path: str, order: str, file_format: str, mode: str
+) -> None:
+    """``df`` in one folder per unit (in column ``key``) below ``path``, with the names
+    that ``names`` (unit, output_name) gives, rows in order of ``order``. Keys of another
+    name than ``unit`` are not written.
+
+    Rows are dealt out by ranges of (name, order): a task writes few folders, and a large
+    unit is written by several. ``df`` should be stored, as ranges are sampled from it.
+    """
+    flags = "any_app_usage_flags"
+    if file_format == "csv" and dict(df.dtypes).get(flags) == "array<string>":
+        df = df.withColumn(flags, flags_text(F.col(flags)))
+    of = names.select(F.col("unit").alias("_of"), "output_name")
+    df = df.join(of, F.col(key).eqNullSafe(F.col("_of"))).drop("_of")
+    df = df if key == "unit" else df.drop(key)
+    df = df.repartitionByRange("output_name", order)
+    df = df.sortWithinPartitions("output_name", order).drop(order)
+    writer = df.write.partitionBy("output_name").format(file_format).mode(mode)
+    if mode == "overwrite":  # only of the units that are written
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    (writer.option("header", True) if file_format == "csv" else writer).save(path)
+
+
 def write_preprocessed(
-    df: DataFrame, path: str, unit: str, file_format: str = "parquet"
+    df: DataFrame,
+    path: str,
+    unit: str,
+    file_format: str = "parquet",
+    names: DataFrame | None = None,
+    mode: str = "error",
 ) -> None:
     """One folder per unit below ``path``, with the unit in a column ``unit``.
 
     Rows are dealt out by ranges of (unit, seq), so a unit has one file, or
     several whose names are in the order of its rows if it is large or lies on
-    the border of a range.  The ``seq`` column is not written itself.
+    the border of a range.  The ``seq`` column is not written itself. ``names``
+    (unit, output_name) are worked out if they are not given. With the ``mode``
+    overwrite, units that are not in ``df`` stay as they are.
     """
     if C.SEQ not in df.columns:
         raise ValueError("rows need their number in the unit: finished_table(keep_seq=True)")
-    names = output_names(df, unit)
-    df = df.join(names, unit).withColumnRenamed(unit, "unit")
-    if file_format == "csv" and "any_app_usage_flags" in df.columns:
-        df = df.withColumn("any_app_usage_flags", flags_text(F.col("any_app_usage_flags")))
-    df = df.repartitionByRange("output_name", C.SEQ)
-    df = df.sortWithinPartitions("output_name", C.SEQ).drop(C.SEQ)
-    writer = df.write.partitionBy("output_name").format(file_format)
-    (writer.option("header", True) if file_format == "csv" else writer).save(path)
+    df = materialise(df.withColumnRenamed(unit, "unit"), "unit-rows")
+    if names is None:
+        names = unique_names(df, output_name(F.col("unit"), unit == FILE))
+    _write_units(df, "unit", names, path, C.SEQ, file_format, mode)
+
+
+def delete_units(names: DataFrame, path: str) -> None:
+    """Delete the folders below ``path`` that the writer made for ``names`` (output_name)."""
+    spark = names.sparkSession
+    jvm = spark._jvm
+    system = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
+        spark._jsc.hadoopConfiguration()
+    )
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in names.select("output_name").distinct().toLocalIterator():
+        name = escape(row["output_name"])
+        system.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/output_name={name}"), True)
 
 
-def write_categorised(df: DataFrame, path: str, unit: str = "source_file") -> None:
-    """Category mapper output, one folder per file, ``{stem}_with_categories``."""
+def write_categorised(df: DataFrame, path: str, unit: str = FILE, order: str = ORDER) -> None:
+    """Category mapper output, one folder per file, ``{stem}_with_categories``.
+
+    Rows are in the order they were recorded in, if ``df`` has that column, and tell their
+    unit in a column ``unit``: that of the table they were read from, or their file. Files
+    with the same stem get folders of their own.
+    """
+    if order not in df.columns:
+        df = df.withColumn(order, F.monotonically_increasing_id())
+    if "unit" not in df.columns:
+        df, unit = df.withColumnRenamed(unit, "unit"), "unit"
+    df = materialise(df, "categorised-rows")
     # A folder that the writer made has no extension to remove.
-    folder = F.regexp_extract(unit, r"output_name=([^/]+)$", 1)
-    stem = F.when(folder != "", folder).otherwise(file_stem(F.col(unit)))
-    name = F.concat(stem, F.lit("_with_categories"))
-    named = df.withColumn("output_name", name).drop(unit, ORDER)
-    named.write.partitionBy("output_name").option("header", True).csv(path)
+    folder = F.regexp_extract("unit", r"output_name=([^/]+)$", 1)
+    stem = F.when(folder != "", folder).otherwise(file_stem(F.col("unit")))
+    units = df.select(F.col(unit).alias("unit"))
+    names = unique_names(units, F.concat(stem, F.lit("_with_categories")))
+    _write_units(df, unit, names, path, order, "csv", "error")
 
 
 def update_label_log(new: DataFrame, existing: DataFrame, path: str) -> bool:
