@@ -1,4 +1,8 @@
-"""From raw documents to token ids: quality, line dedup, near duplicates, mix, tokens."""
+"""From raw documents to token ids: quality, line dedup, near duplicates, mix, tokens.
+
+Every stage but the last returns the columns it was given, further ones included, whatever
+their names; an empty table passes through all of them.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +14,19 @@ from usageweave.llm.shared import ship_package, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the divergence from their language reject go."""
+    """Documents that the base rules or the divergence from their language reject go: null,
+    empty and short texts, whatever else they hold. Of rows that are alike all stay or none.
+    """
     columns = docs.columns
-    judged = quality.judge(docs.select(F.struct(*columns).alias("doc"), "lang", "text"))
+    rows = docs.select(F.struct(*columns).alias("doc"), "lang", "text")
+    judged = quality.judge(rows, columns=["doc"])
     return judged.where("quality.kept").select(*[F.col("doc")[c].alias(c) for c in columns])
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; documents stay. Copies of a document
     do not make its lines boilerplate: they are whole when near duplicates are looked for.
+    A null source is one of its own; a null text stays null.
     """
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("doc"), "source", "text")
@@ -33,19 +41,23 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays: five words a shingle, and
-    a similarity of 0.8 or more.
+    a similarity of 0.8 or more. Texts without words all stay.
     """
     ship_package(spark)
     return ngram_join.one_of_each(docs, ngram_join.JoinOptions(n=5, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources reads them."""
+    """Documents as often as the mix of sources reads them. A null source is one of its own;
+    texts without words have no size and are never read.
+    """
     return mixing.mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text. A null text has no
+    tokens, as an empty one. Other columns than the documents' own end here.
+    """
     import public_tokenizers
 
     ship_package(spark)
