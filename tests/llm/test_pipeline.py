@@ -84,3 +84,31 @@ def test_a_large_group_of_copies_ends_as_one_document(spark):
         assert r.text == want, r.doc_id
     left = {r.doc_id for r in pipeline.drop_near_duplicates(spark, lines, FOLDER).collect()}
     assert left == {*range(12), 100}
+
+
+def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing names, stage by
+    stage, each on the whole odd table and on none.
+    """
+    rows = odd_docs.collect()
+    for name, stage in pipeline.STAGES:
+        got, none = stage(spark, odd_docs, FOLDER), stage(spark, no_docs, FOLDER)
+        assert none.count() == 0 and got.columns == none.columns
+        out = got.collect()
+        if name == "byte-level BPE":
+            assert len(out) == len(rows) and all(r.round_trip for r in out)
+            assert sum(r.n_tokens == 0 for r in out) == sum(not r.text for r in rows)
+            continue
+        assert got.columns == odd_docs.columns
+        if name == "quality rules":
+            short = {r.doc_id for r in rows if len((r.text or "").split()) < 50}
+            assert not {r.doc_id for r in out if r.text and len(r.text.split()) < 50}
+            assert short and out and {tuple(r) for r in out} <= {tuple(r) for r in rows}
+        elif name == "line dedup":
+            assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in rows)
+        elif name == "n-gram Jaccard join":
+            assert sum(not (r.text or "").split() for r in out) == 3
+            assert {tuple(r) for r in out} <= {tuple(r) for r in rows}
+        else:
+            assert all(r.text.split() for r in out)
+            assert {r.doc_id for r in out} <= {r.doc_id for r in rows}

@@ -46,6 +46,18 @@ def test_repeats_equal_brute_force(spark, odd_docs, no_docs):
     assert substring_dedup.repeats(no_docs).count() == 0
 
 
+def test_own_columns_of_any_name_come_back_from_removal(spark):
+    text = prose(21, 12)
+    rows = [(1, text, "s1", 7, None), (2, f"x {text} y", "s2", 8, "t"), (3, None, "s3", 9, "u")]
+    df = spark.createDataFrame(
+        rows, "doc_id long, text string, stretches string, text_key long, `a.b` string"
+    )
+    left = substring_dedup.remove_repeats(df, substring_dedup.repeats(df, substring_dedup.SubstringOptions(k=5)), 5)
+    assert left.columns == df.columns
+    got = sorted(tuple(r) for r in left.collect())
+    assert got == [(1, "", "s1", 7, None), (2, "x y", "s2", 8, "t"), (3, "", "s3", 9, "u")]
+
+
 def test_paths_that_fingerprints_do_not_part(spark, monkeypatch):
     # With one fingerprint for all edges no branch is seen but at ends of texts.
     parts = [prose(i, 8) for i in range(6)]
@@ -130,6 +142,20 @@ def test_components_equal_brute_force(spark, odd_docs, no_docs):
     assert sum(members[r.a] * members[r.b] for r in found) + inside == pairs
 
 
+def test_suffix_filter_bounds_what_sets_differ_by():
+    rnd = np.random.default_rng(4)
+    for size, changed in ((12, 2), (300, 40), (2_000, 600), (40_000, 9_000), (200_000, 10)):
+        pool = np.unique(rnd.integers(0, 1 << 56, size + changed).astype(np.uint64))
+        a, b = np.sort(pool[changed:]), np.sort(pool[: len(pool) - changed // 2])
+        apart = len(np.setxor1d(a, b))
+        parts = ngram_join._parts(a), ngram_join._parts(b)
+        assert ngram_join.differ_at_least(*parts, 10**9) <= apart
+        far = ngram_join._parts(np.sort(rnd.integers(0, 1 << 56, size).astype(np.uint64)))
+        # Sets that have nothing in common are told apart, however large they are.
+        if size <= 40_000:
+            assert ngram_join.differ_at_least(parts[0], far, 10**9) > 0.4 * size
+
+
 def test_odd_texts_join(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
     want, _ = brute_components(rows, 4, 85)

@@ -188,9 +188,14 @@ def text_lines(text: Column) -> Column:
 
 
 #: Tags that begin or end a line of a page as it is shown.
-BLOCKS = "p|div|li|ul|ol|nav|article|footer|header|h[1-6]|br|title|table|tr|td|body|head|html"
+BLOCKS = (
+    "p|div|li|ul|ol|dl|dt|dd|nav|article|section|main|aside|footer|header|h[1-6]|br|hr|title"
+    "|table|tr|td|th|pre|form|blockquote|body|head|html"
+)
+#: A block-level tag in either case, with or without attributes or a slash at its end.
+BLOCK_TAG = rf"(?i)</?(?:{BLOCKS})(?:[\x09-\x0D\x20/][^>]*)?>"
 
 
 def html_lines(html: Column) -> Column:
     """A page's source cut into lines at line breaks and around block-level tags."""
-    return F.split(F.regexp_replace(html, rf"</?(?:{BLOCKS})(?: [^>]*)?>", "\n"), "\n", -1)
+    return F.split(F.regexp_replace(html, BLOCK_TAG, "\n"), "\n", -1)

@@ -90,10 +90,22 @@ def scan(text: str, candidate_chars: int) -> tuple[list[Span], list[tuple[int, i
     for start, end in _runs(_HEX_TABLE[codes], HEX_LENGTH):
         spans.append((start, 2, (start, end, "hex", start, end)))
     found = [s for _, _, s in sorted(spans)]
-    tokens = _runs(_TOKEN_TABLE[codes], candidate_chars)
-    if found:
-        tokens = [t for t in tokens if not any(s[0] < t[1] and t[0] < s[1] for s in found)]
-    return found, tokens
+    return found, _clear_of(found, _runs(_TOKEN_TABLE[codes], candidate_chars))
+
+
+def _clear_of(spans: list[Span], tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The tokens that touch none of the spans; both by start, looked at in one sweep."""
+    if not spans or not tokens:
+        return tokens
+    left, furthest, i = [], 0, 0
+    for start, end in tokens:
+        # How far the spans reach that begin before the token's end.
+        while i < len(spans) and spans[i][0] < end:
+            furthest = max(furthest, spans[i][1])
+            i += 1
+        if furthest <= start:
+            left.append((start, end))
+    return left
 
 
 class Model:

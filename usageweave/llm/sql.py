@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usageweave.llm.line_dedup import BLOCKS, LineOptions
+from usageweave.llm.line_dedup import BLOCK_TAG, LineOptions
 from usageweave.llm.quality import CLASSES, QualityOptions
 from usageweave.llm.url_filter import LOWER, PATTERN_RULES, UPPER
 
@@ -54,7 +54,7 @@ _WORD = "regexp_matches(line, '[^\\x20\\x09-\\x0D]')"
 ORACLES["op7_line_dedup"] = f"""
 WITH u AS (
   SELECT row_number() OVER () AS n, page_id, host,
-    string_split(regexp_replace(html, '</?(?:{BLOCKS})(?: [^>]*)?>', chr(10), 'g'), chr(10))
+    string_split(regexp_replace(html, '{BLOCK_TAG}', chr(10), 'g'), chr(10))
       AS lines
   FROM ({_URLS})),
 l AS (

@@ -229,15 +229,24 @@ def _compared(rows: DataFrame, found: DataFrame, paths: DataFrame, k: int) -> Da
 
 
 def remove_repeats(docs: DataFrame, found: DataFrame, k: int = SubstringOptions().k) -> DataFrame:
-    """``docs`` with repeated words taken out of ``text`` by the stretches of ``found``."""
-    spans = found.select("text_key", "stretches").distinct()
-    own = words(F.col("text"))
+    """``docs`` with repeated words taken out of ``text`` by the stretches of ``found``, that
+    is :func:`repeats` of the same rows.
+
+    Texts without repeats come back with their words joined by single spaces, as all others;
+    null and empty texts as empty ones. Repeated rows are all treated alike, and all columns
+    come back, whatever their names.
+    """
+    spans = found.select(F.col("text_key").alias("_key"), "stretches").distinct()
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.xxhash64("doc_id", "text").alias("_key"))
     kept = F.filter(
-        own,
+        words(F.col("_row.text")),
         lambda w, i: ~F.exists(
             F.col("stretches"),
             lambda s: (i >= s["start"]) & (i < s["start"] + s["edges"] + (k - 1)),
         ),
     )
-    joined = docs.withColumn("text_key", F.xxhash64("doc_id", "text")).join(spans, "text_key")
-    return joined.withColumn("text", F.array_join(kept, " ")).select(*docs.columns)
+    joined = rows.join(spans, "_key").withColumn("_text", F.array_join(kept, " "))
+    return joined.select(
+        *[F.col("_text" if c == "text" else f"_row.`{c}`").alias(c) for c in docs.columns]
+    )
