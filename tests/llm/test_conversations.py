@@ -74,8 +74,6 @@ def cheapest(rows):
     """(cost, audit, repaired rows): the least of all ways through the rows, kept by the
     initials that stand so far, so that the order of roles is only tested at the end.
     """
-    ways = {(0, ""): (0, "", ())}
-
     def inserted(ways):
         out = list(ways)
         for cost, audit, kept in ways:
@@ -92,7 +90,7 @@ def cheapest(rows):
             initials = "".join(r[:1] or "-" for r, _ in kept)
             if not re.fullmatch("s?(ua)*u?", initials):
                 continue
-            key = (initials[-1:], )
+            key = initials[-1:]
             if key not in best or (cost, audit) < best[key][:2]:
                 best[key] = (cost, audit, kept)
         return list(best.values())
@@ -180,6 +178,16 @@ def test_damaged_conversations_equal_brute_force(spark):
     assert collected(got) == brute(damage(rows), {r[0] for r in rows})
 
 
+def test_query_equals_brute_force(spark):
+    from __spark_entry__ import queries
+
+    folder = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{folder}/conversations.parquet")
+    rows = [tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]
+    got = queries()["op11_conversation_repair"](spark, folder)
+    assert collected(got) == brute(damage(rows), {r[0] for r in rows})
+
+
 def test_edits_give_the_repaired_rows(spark):
     rows = [
         (1, 0, "system", "Be kind."),

@@ -26,6 +26,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
         "op7_line_dedup",
         "op8_substring_dedup",
         "op10_quality_rules",
+        "op12_minhash",
+        "op13_phrases",
     ],
 )
 def test_query_agrees_with_sql(spark, name):
