@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, found: DataFrame, k: int = SubstringOptions(
     come back, whatever their names.
     """
     spans = found.select(F.col("text_key").alias("_key"), "stretches").distinct()
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(row, F.xxhash64("doc_id", "text").alias("_key"))
     kept = F.filter(
         words(F.col("_row.text")),
