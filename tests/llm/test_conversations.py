@@ -211,14 +211,14 @@ def test_edits_give_the_repaired_rows(spark):
 def test_giant_conversation_in_two_streams(spark):
     rnd = random.Random(3)
     rows = [
-        (1, i, rnd.choice(["user", "assistant", "assistant", "system"]), f"{i % 2000}{rnd.choice('.!x')}")
-        for i in range(5000)
+        (1, i, rnd.choice(["user", "assistant", "assistant", "system"]), f"{i % 250}{rnd.choice('.!x')}")
+        for i in range(600)
     ]
-    rows += [(1, 3, "user", "again and again.")] * 2500 + some_rows(4, 20)
+    rows += [(1, 3, "user", "again and again.")] * 300 + some_rows(4, 20)
     df = frame(spark, rows)
     held = collected(conversations.repaired_conversations(df))
     streamed = collected(
-        conversations.repaired_conversations(df, options=RepairOptions(held_rows=500))
+        conversations.repaired_conversations(df, options=RepairOptions(held_rows=100))
     )
     assert held == streamed == brute(rows, {r[0] for r in rows})
 
