@@ -45,13 +45,14 @@ class Grouping:
     nodes have. ``near``: what two rows x and y of one key must meet in order to be
     compared, in SQL. ``wide`` (node, ...) has columns by which ``first`` tells, in SQL,
     whether x.key is the first key that x and y share. ``compare`` gets pairs (a, b), each
-    once and never twice, and returns those that link, stored.
+    once and never twice, and whether most of them are not alike; it returns those that
+    link, stored.
     """
 
     def __init__(
         self,
         postings: DataFrame,
-        compare: Callable[[DataFrame], DataFrame],
+        compare: Callable[[DataFrame, bool], DataFrame],
         near: str = "true",
         wide: DataFrame | None = None,
         first: str = "true",
@@ -83,13 +84,13 @@ class Grouping:
         """``pairs`` (a, b) that were not compared yet."""
         return pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti")
 
-    def _link(self, pairs: DataFrame) -> bool:
+    def _link(self, pairs: DataFrame, most_unlike: bool) -> bool:
         """Compare the different ones of ``pairs`` (a < b, unseen); whether enough of them link
         that another turn is worth it.
         """
         once = stored(pairs.select("a", "b").distinct(), "linking-pairs")
         self.seen = once if self.seen is None else self.seen.unionByName(once)
-        found = self.compare(once).select("a", "b")
+        found = self.compare(once, most_unlike).select("a", "b")
         n_pairs, n_links = once.count(), found.count()
         self.compared += n_pairs
         if n_links:
@@ -130,7 +131,7 @@ class Grouping:
             pairs = pairs.selectExpr("x.node AS of", "y.node AS to")
         self.turns += 1
         pairs = pairs.select(F.least("of", "to").alias("a"), F.greatest("of", "to").alias("b"))
-        return self._link(self._unseen(pairs))
+        return self._link(self._unseen(pairs), False)
 
     def _rest(self) -> bool:
         p = self._unsettled()
@@ -148,7 +149,7 @@ class Grouping:
         )
         pairs = p.where("component <> largest").alias("x").join(p.alias("y"), F.expr(near))
         pairs = pairs.selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b")
-        return self._link(self._unseen(pairs))
+        return self._link(self._unseen(pairs), True)
 
     def run(self) -> DataFrame:
         """(node, component): the smallest node that links reach, for linked nodes."""

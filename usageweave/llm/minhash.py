@@ -9,9 +9,10 @@ similarity, and the share of agreeing coordinates is concentrated as for indepen
 
 Coordinates are cut into bands; texts that agree in a whole band are candidates. Of these,
 pairs whose sketches agree in too few coordinates are ruled out by the bound, and all
-others are confirmed on their full sets of shingles. With 32 bands of 4 coordinates a
-pair of similarity 0.8 shares no band with a chance of 5 in 10^8, and agrees in fewer than
-75 of 128 coordinates with one of 2 in 10^7.
+others are confirmed on their full sets of shingles. With 60 bands of 7 coordinates a
+pair of similarity 0.8 shares no band with a chance of 7 in 10^7, and agrees in fewer than
+287 of 420 coordinates with one of 2 in 10^7; a pair that has a passage in common, of
+similarity 0.25, is a candidate with one of 1 in 270.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ class MinhashOptions:
     n: int = 4
     #: Least similarity in percent.
     percent: int = 80
-    #: Coordinates of a sketch (a power of two), and of a band.
-    bins: int = 128
-    band: int = 4
+    #: Coordinates of a sketch, and of a band.
+    bins: int = 420
+    band: int = 7
     #: Fewest coordinates in which the sketches of similar texts agree.
-    agree: int = 75
+    agree: int = 287
     #: Bytes of text that are sketched at once.
     block_bytes: int = 8_000_000
 
@@ -53,20 +54,21 @@ def sketch(keys: np.ndarray, owner: np.ndarray, n_texts: int, bins: int) -> np.n
     ``keys`` are hashes of shingles, ``owner`` the text of each; repeats change nothing.
     """
     out = np.full(n_texts * bins, _EMPTY, np.uint64)
-    shift = np.uint64(bins.bit_length() - 1)
+    rows, live = out.reshape(n_texts, bins), np.unique(owner)
     for turn in range(2 * bins):
-        if not len(keys):
+        if not len(live):
             break
         step = (turn + 1) * 0x9E3779B97F4A7C15 % 2**64
         hashes = mix(mix(keys + np.uint64(step)))
-        into = hashes & np.uint64(bins - 1) if turn < bins else np.uint64(turn - bins)
+        into = hashes % np.uint64(bins) if turn < bins else np.uint64(turn - bins)
         place = owner * bins + np.asarray(into).astype(np.int64)
         open_ = out[place] == _EMPTY
-        np.minimum.at(out, place[open_], hashes[open_] >> shift)
-        unfilled = (out.reshape(n_texts, bins) == _EMPTY).any(axis=1)
-        still = unfilled[owner]
-        keys, owner = keys[still], owner[still]
-    return out.reshape(n_texts, bins)
+        np.minimum.at(out, place[open_], hashes[open_] // np.uint64(bins))
+        live = live[(rows[live] == _EMPTY).any(axis=1)]
+        still = np.zeros(n_texts, bool)
+        still[live] = True
+        keys, owner = keys[still[owner]], owner[still[owner]]
+    return rows
 
 
 def _bands(values: np.ndarray, band: int) -> np.ndarray:
@@ -112,13 +114,12 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
 
 
-SIGNATURE = "n_shingles long, node binary, sketch binary, bands array<long>"
+SIGNATURE = "n_shingles long, node binary, bands array<long>"
 
 
 def signatures(docs: DataFrame, options: MinhashOptions = MinhashOptions()) -> DataFrame:
-    """doc_id, text_hash, the size of each text's set, ``node`` (equal for equal sets), a
-    byte of each coordinate of its sketch, and a hash of each band. A text without words has
-    null for the last three.
+    """doc_id, text_hash, the size of each text's set, ``node`` (equal for equal sets), and a
+    hash of each band of its sketch. A text without words has null for the last two.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +127,6 @@ def signatures(docs: DataFrame, options: MinhashOptions = MinhashOptions()) -> D
             keys, owner, sizes = _distinct(_texts(table), options.n)
             values = sketch(keys, owner, len(sizes), options.bins)
             some = sizes > 0
-            narrow = (mix(values) & np.uint64(255)).astype(np.uint8)
             bands = _bands(values, options.band)
             columns = {
                 "doc_id": table.column("doc_id"),
@@ -135,9 +135,6 @@ def signatures(docs: DataFrame, options: MinhashOptions = MinhashOptions()) -> D
                 "node": pa.array(
                     [m if s else None for m, s in zip(set_marks(keys, sizes), some)], pa.binary()
                 ),
-                "sketch": pa.array(
-                    [v.tobytes() if s else None for v, s in zip(narrow, some)], pa.binary()
-                ),
                 "bands": pa.array(
                     [b if s else None for b, s in zip(bands, some)], pa.list_(pa.int64())
                 ),
@@ -155,25 +152,27 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, shown: DataFrame, options: MinhashOptions) -> DataFrame:
-    """(node, size, keys): all shingles of the classes ``shown`` (node, doc_id, text_hash)
-    by one of their texts.
+    """(node, sketch, keys): a byte of each coordinate of the sketch, and all shingles, of the
+    classes ``shown`` (node, doc_id, text_hash) by one of their texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _in_blocks(batches, options.block_bytes):
-            keys, _, sizes = _distinct(_texts(table), options.n)
+            keys, owner, sizes = _distinct(_texts(table), options.n)
+            values = sketch(keys, owner, len(sizes), options.bins)
+            narrow = (mix(values) & np.uint64(255)).astype(np.uint8)
             data, ends = packed(keys), np.cumsum(sizes) * (KEY_BITS // 8)
             own = [data[b:e] for b, e in zip(np.append(0, ends[:-1]), ends)]
             columns = {
                 "node": table.column("node"),
-                "size": pa.array(sizes, pa.int64()),
+                "sketch": pa.array([v.tobytes() for v in narrow], pa.binary()),
                 "keys": pa.array(own, pa.binary()),
             }
             yield from pa.table(columns).to_batches()
 
     of = shown.select("node", F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"))
     texts = _rows(docs).join(of, F.expr("doc_id <=> of_doc AND text_hash = of_text"))
-    sets = texts.select("node", "text").mapInArrow(run, "node binary, size long, keys binary")
+    sets = texts.select("node", "text").mapInArrow(run, "node binary, sketch binary, keys binary")
     # The row that shows a class may stand there several times.
     return sets.dropDuplicates(["node"])
 
@@ -217,7 +216,7 @@ def grouping(
     ready to be grouped by the bands they share.
     """
     size = F.col("n_shingles").alias("size")
-    one = F.first(F.struct(size, "sketch", "bands", "doc_id", "text_hash"))
+    one = F.first(F.struct(size, "bands", "doc_id", "text_hash"))
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(one.alias("one"))
     classes = stored(classes.select("node", "one.*"), "minhash-classes")
     banded = classes.select("node", "size", F.explode("bands").alias("key"))
@@ -226,11 +225,13 @@ def grouping(
     shown = stored(shown, "minhash-shown")
     sets = stored(_sets(docs, shown.select("node", "doc_id", "text_hash"), options), "minhash-sets")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        near = beside(pairs, shown, "sketch").mapInArrow(
-            _agreeing(options.agree), "a binary, b binary"
-        )
-        held = beside(stored(near, "minhash-near"), sets, "keys")
+    def compare(pairs: DataFrame, most_unlike: bool) -> DataFrame:
+        if most_unlike:
+            near = beside(pairs, sets, "sketch").mapInArrow(
+                _agreeing(options.agree), "a binary, b binary"
+            )
+            pairs = stored(near, "minhash-near")
+        held = beside(pairs, sets, "keys")
         found = held.mapInArrow(_confirmed(options.percent), "a binary, b binary")
         return stored(found, "minhash-links")
 

@@ -194,22 +194,26 @@ class _Join:
         pairs = p.alias("x").join(p.alias("y"), F.expr(near))
         return pairs.selectExpr("x.node AS a", "y.node AS b")
 
-    def compare(self, pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs``: those whose sets are similar enough."""
+    def compare(self, pairs: DataFrame, most_unlike: bool) -> DataFrame:
+        """Links among ``pairs``: those whose sets are similar enough. The suffix filter comes
+        first if ``most_unlike``, else it would leave most pairs.
+        """
         least = _least(self.options.percent).replace("x.", "a_").replace("y.", "b_")
-        near = (
-            beside(pairs, self.classes, "size", "rare", "parts")
-            .selectExpr(
-                "a",
-                "b",
-                f"{least} AS least",
-                "a_size + b_size - a_rare - b_rare AS both",
-                "a_parts",
-                "b_parts",
-            )
-            .mapInArrow(_suffix_filter, "a binary, b binary, least long")
+        numbers = beside(pairs, self.classes, "size", "rare", "parts").selectExpr(
+            "a",
+            "b",
+            f"{least} AS least",
+            "a_size + b_size - a_rare - b_rare AS both",
+            "a_parts",
+            "b_parts",
         )
-        held = beside(stored(near, "join-near"), self.classes, "shared").select(
+        if most_unlike:
+            near = numbers.mapInArrow(_suffix_filter, "a binary, b binary, least long")
+            near = stored(near, "join-near")
+            held = beside(near, self.classes, "shared")
+        else:
+            held = beside(pairs, self.classes, "size", "shared").withColumn("least", F.expr(least))
+        held = held.select(
             "a", "b", "least", F.col("a_shared").alias("a_set"), F.col("b_shared").alias("b_set")
         )
         return stored(held.mapInArrow(_verified, "a binary, b binary, common long"), "join-links")
@@ -245,7 +249,7 @@ def links(sets: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     is similar enough, with the number of common shingles.
     """
     join = _Join(sets, options)
-    return join.compare(join.every_pair())
+    return join.compare(join.every_pair(), True)
 
 
 def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
