@@ -78,11 +78,14 @@ def _held(short: Column, listed: Column) -> Column:
     )
 
 
-def _word_bins(q: Column, ref_words: Column) -> Column:
-    """How often each reference word is in a text, and all other words last."""
-    common = _held(q["short"], ref_words)
+def _with_word_bins(df: DataFrame, q: Column, name: str) -> DataFrame:
+    """``df`` with how often each of its ``ref_words`` is in a text, and all other words last.
+    The words of a text are looked at once.
+    """
+    df = df.select("*", _once(_held(q["short"], F.col("ref_words"))).alias("_common"))
+    common = F.col("_common")
     rest = q["n_words"] - F.aggregate(common, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.concat(common, F.array(rest))
+    return df.withColumn(name, F.concat(common, F.array(rest))).drop("_common")
 
 
 def _in_units(counts: Column) -> Column:
@@ -186,13 +189,14 @@ def _references(found: DataFrame, options: QualityOptions) -> DataFrame:
     texts = _of_lang(texts, ref_words).withColumn("ref_words", F.coalesce("ref_words", none))
     n, n_words = len(CLASSES) + 1, options.common_words + 1
     # A language with fewer common words has empty bins in front of the last.
-    own = _word_bins(F.col("q"), F.col("ref_words"))
+    texts = _with_word_bins(texts, F.col("q"), "own")
+    own = F.col("own")
     empty = F.array_repeat(F.lit(0).cast("long"), options.common_words - F.size("ref_words"))
     counted = texts.select(
         "lang",
         "q.n_words",
         F.col("q.classes").alias("classes"),
-        _once(F.concat(F.slice(own, 1, F.size(own) - 1), empty, F.slice(own, -1, 1))).alias("words"),
+        F.concat(F.slice(own, 1, F.size(own) - 1), empty, F.slice(own, -1, 1)).alias("words"),
     )
     both = F.concat(_in_units(F.col("classes")), _in_units(F.col("words")))
     counted = counted.withColumn("bins", both)
@@ -356,7 +360,7 @@ def judge(
     refs = _references(found, options) if refs is None else refs
     df = _of_lang(found, stored(refs, "quality-references"))
     q = F.col("_quality")
-    df = df.select("*", _once(_word_bins(q, F.col("ref_words"))).alias("word_bins"))
+    df = _with_word_bins(df, q, "word_bins")
     df = df.withColumns(
         {
             "class_distance": distance(q.classes, F.col("ref_classes")),
