@@ -172,6 +172,21 @@ def test_lanes_split_only_hot_units(spark):
     assert len(split_lanes(frame(spark, rows), same)) == 1
 
 
+def test_many_slices_share_few_ranges(spark, monkeypatch):
+    monkeypatch.setattr(units, "BROADCAST_ROWS", 0)
+    rows = random_log(14, 3, 80)
+    options = presets("all", hot_unit_rows=40, slice_rows=6)
+    hot, lane = split_lanes(frame(spark, rows), options)[1]
+    assert (lane.slices, lane.ranges, lane.small) == (40, 4, False)
+    out = order_log(hot, lane, options)
+    sizes = out.groupBy(C.SLICE).count().collect()
+    assert len(sizes) >= 40 and max(r["count"] for r in sizes) <= 6
+    out = sessions(out, lane, options)
+    expected = expected_units(rows, options)
+    expected = {u: model_valid(model_filtered(rs, options), options) for u, rs in expected.items()}
+    assert sessions_of(out) == sessions_model(expected)
+
+
 def test_hot_units_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(units, "MAX_HOT_UNITS", 2)
     rows = random_log(12, 3, 60)

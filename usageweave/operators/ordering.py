@@ -75,24 +75,34 @@ def _arrange_units(
     return df.withColumn("data_time_gap_hours", gap).drop("_previous")
 
 
+def _slice_number(lane: Lane) -> Column:
+    """Numbers slices in the order of rows that are sorted in range partitions."""
+    if not lane.ranges:
+        return F.spark_partition_id()
+    # The number of the partition in the upper bits, that of the row in the lower 33.
+    number = F.monotonically_increasing_id()
+    row = number.bitwiseAND((1 << 33) - 1)
+    return number - row + F.floor(row / lane.slice_rows)
+
+
 def _arrange_slices(
     df: DataFrame, lane: Lane, within: list[Column], fix_ties: bool
 ) -> DataFrame:
     order = [F.asc(_KEY), *within]
     df = (
-        df.repartitionByRange(lane.slices, F.asc(lane.unit), *order)
+        df.repartitionByRange(lane.ranges or lane.slices, F.asc(lane.unit), *order)
         .sortWithinPartitions(F.asc(lane.unit), *order)
-        .withColumn(C.SLICE, F.spark_partition_id())
+        .withColumn(C.SLICE, _slice_number(lane))
     )
     df = materialise(df, "slices")
-    edges = F.broadcast(_slice_edges(df, lane, fix_ties))
+    edges = _slice_edges(df, lane, fix_ties)
     row = Window.partitionBy(*lane.keys).orderBy(*order)
     tie = Window.partitionBy(*lane.keys, _KEY)
     df = df.withColumn("_row", F.row_number().over(row).cast("long"))
     df = df.withColumns(
         {"_tie_first": F.min("_row").over(tie), "_tie_last": F.max("_row").over(tie)}
     )
-    df = df.join(edges, lane.keys, "left")
+    df = lane.attach(df, edges, lane.keys)
     later = (
         F.col("_tie_last")
         - F.col("_row")

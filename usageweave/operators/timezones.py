@@ -78,8 +78,7 @@ def attach_primary_timezone(df: DataFrame, lane: Lane, text: str | None) -> Data
     hot units are aggregated before anything is shuffled.
     """
     if lane.sliced:
-        zones = F.broadcast(primary_timezone(df, lane.unit, text))  # per hot unit
-        return df.join(zones, lane.unit, "left")
+        return lane.attach(df, primary_timezone(df, lane.unit, text), [lane.unit])
     unit = Window.partitionBy(lane.unit)
     same = Window.partitionBy(lane.unit, "_choice")
     return (

@@ -24,19 +24,31 @@ from usageweave.config import StudyOptions
 from usageweave.functions.values import same_app
 from usageweave.operators.storage import materialise
 
-# Per-slice tables are broadcast, so options that would make them larger than
-# MAX_HOT_UNITS + MAX_SLICES rows are refused.
-MAX_HOT_UNITS = 100_000
-MAX_SLICES = 20_000
+# Tables with a row per hot unit or slice pass through the driver, as broadcasts, up to this
+# many rows; larger ones are joined by shuffles.
+BROADCAST_ROWS = 20_000
+# Hot rows are dealt into one range for each shuffle partition, or more of this many rows;
+# a range has as many slices as it needs.
+RANGE_ROWS = 1_000_000
+# Options that would make more hot units or slices than this are refused.
+MAX_HOT_UNITS = 20_000_000
+MAX_SLICES = 20_000_000
 
 
 @dataclass(frozen=True)
 class Lane:
-    """How the units of a DataFrame are laid out; ``slices=0``: one task each."""
+    """How the units of a DataFrame are laid out; ``slices=0``: one task each.
+
+    ``slices`` of ``slice_rows`` rows lie in ``ranges`` range partitions (0: one slice each).
+    With ``small``, tables with a row per hot unit or slice are broadcast.
+    """
 
     unit: str
     slices: int = 0
     partitions: int = 0
+    slice_rows: int = 0
+    ranges: int = 0
+    small: bool = True
 
     @property
     def sliced(self) -> bool:
@@ -50,6 +62,10 @@ class Lane:
         """Cut the plan of a sliced lane, whose scans read their input twice."""
         return materialise(df, name) if self.sliced else df
 
+    def attach(self, df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+        """Join a table with a row per hot unit or slice."""
+        return df.join(F.broadcast(table) if self.small else table, on, how)
+
     def finish(self, df: DataFrame) -> DataFrame:
         return df.drop(C.SLICE)
 
@@ -71,10 +87,15 @@ def split_lanes(df: DataFrame, options: StudyOptions) -> list[tuple[DataFrame, L
             f"{hot_units} hot units in {slices} slices: raise hot_unit_rows or slice_rows"
             f" until there are at most {MAX_HOT_UNITS} and {MAX_SLICES}"
         )
-    names = F.broadcast(hot.select(unit))  # at most MAX_HOT_UNITS rows
+    slices = max(2, slices)
+    dealt = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(dealt, -(-hot_rows // RANGE_ROWS))
+    small = hot_units + slices <= BROADCAST_ROWS
+    lane = Lane(unit, slices, 0, options.slice_rows, 0 if slices <= ranges else ranges, small)
+    names = hot.select(unit)
     return [
-        (df.join(names, unit, "left_anti"), plain),
-        (df.join(names, unit, "left_semi"), Lane(unit, max(2, slices))),
+        (lane.attach(df, names, [unit], "left_anti"), plain),
+        (lane.attach(df, names, [unit], "left_semi"), lane),
     ]
 
 
@@ -105,7 +126,7 @@ def whole_unit(df: DataFrame, lane: Lane, values: dict[str, Column]) -> DataFram
         window = Window.partitionBy(lane.unit)
         return df.withColumns({n: e.over(window) for n, e in values.items()})
     stats = df.groupBy(lane.unit).agg(*[e.alias(n) for n, e in values.items()])
-    return df.join(F.broadcast(stats), lane.unit, "left")  # one row per hot unit
+    return lane.attach(df, stats, [lane.unit])
 
 
 def _before(keys: Iterable[str], order: Column | str):
@@ -156,9 +177,11 @@ def nearest(
             for n in exprs
         ],
     )
-    if not by:
-        carry = F.broadcast(carry)  # one row per unit and slice
-    joined = df.withColumns(local).join(carry, [*lane.keys, *by], "left")
+    df = df.withColumns(local)
+    if by:
+        joined = df.join(carry, [*lane.keys, *by], "left")
+    else:
+        joined = lane.attach(df, carry, lane.keys)
     return joined.withColumns(
         {n: F.coalesce(F.col(n), F.col(f"carry_{n}")) for n in values}
     ).drop(*[f"carry_{n}" for n in values])
@@ -220,7 +243,7 @@ def next_of_other_app(
         F.col("next").alias("_next"),
         F.last(leaves, True).over(slices_before).alias("_turn"),
     )
-    df = df.join(F.broadcast(carry), lane.keys, "left")  # one row per slice
+    df = lane.attach(df, carry, lane.keys)
     after = pick(F.col("_next"), F.col("_turn"), nothing)
     df = df.withColumn(name, pick(F.col(nxt), F.col(turn), after))
     return df.drop(nxt, turn, "_next", "_turn")
