@@ -206,6 +206,21 @@ def run_again(spark, folder, out, options=OPTIONS, **more):
     return rerun, changed, {r.unit.rsplit("/", 1)[1] for r in rerun.removed.collect()}
 
 
+def test_a_run_lists_files_and_reads_headers_once(spark, folder, tmp_path, monkeypatch):
+    calls = []
+
+    def counted(name):
+        plain = getattr(files, name)
+        monkeypatch.setattr(files, name, lambda *a, **k: calls.append(name) or plain(*a, **k))
+
+    counted("list_files")
+    counted("header_catalogue")
+    rerun, changed, _ = run_again(spark, folder, str(tmp_path / "out"))
+    assert sorted(calls) == ["header_catalogue", "list_files"]
+    report = {r.source_file.rsplit("/", 1)[1] for r in rerun.result.report().collect()}
+    assert report == changed
+
+
 def test_only_changed_files_are_run_again(spark, folder, tmp_path):
     from pathlib import Path
 

@@ -20,8 +20,8 @@ from usageweave import constants as C
 from usageweave.config import StudyOptions
 from usageweave.operators.storage import materialise
 from usageweave.plans.preprocess import Result, finished_table, preprocess
-from usageweave.sources import logs, sinks
-from usageweave.sources.files import FILE, list_files
+from usageweave.sources import files, logs, sinks
+from usageweave.sources.files import FILE
 
 MANIFEST = "_units"
 _STATE = "run long, unit string, output_name string, length long, modified timestamp, settings string"
@@ -96,7 +96,7 @@ def preprocess_folder(
     known = _state(spark, state)
     run = (known.agg(F.max("run")).first()[0] or 0) + 1
     settings = F.lit(_settings(options, filters, codebook))
-    listed = list_files(spark, folder, times=True).withColumnRenamed(FILE, "unit")
+    listed = files.list_files(spark, folder, times=True).withColumnRenamed(FILE, "unit")
     current = materialise(_named(listed.withColumn("settings", settings), known), "units-now")
     same = ["unit", "length", "modified", "settings"]
     changed = materialise(current.join(known.select(same), same, "left_anti"), "units-changed")
@@ -106,10 +106,11 @@ def preprocess_folder(
     result, stale = None, removed
     if since is not None:
         again = changed.select(F.col("unit").alias(FILE))
-        # Older files are not even listed for the scan.
-        raw = logs.scan_raw(spark, folder, multiline=multiline, since=since)
+        # Older files are not even listed for the scan; headers are read once.
+        headers = materialise(files.header_catalogue(spark, folder, since=since), "headers")
+        raw = logs.scan_raw(spark, folder, multiline=multiline, since=since, headers=headers)
         raw = materialise(raw.join(again, FILE, "left_semi"), "raw")
-        checked = logs.check_logs(spark, folder, since=since).join(again, FILE, "left_semi")
+        checked = logs.check_logs(spark, folder, listed=again, headers=headers)
         result = preprocess(raw, options, filters, codebook, run_time, True, checked)
         table = finished_table(result, options, keep_seq=True)
         names = changed.select("unit", "output_name")

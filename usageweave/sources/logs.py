@@ -31,6 +31,7 @@ def scan_raw(
     ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
     multiline: bool = False,
     since: datetime | None = None,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """Raw logs with every expected column; absent ones are null.
 
@@ -50,6 +51,7 @@ def scan_raw(
         mark_malformed=True,
         may_be_empty=True,
         since=since,
+        headers=headers,
     )
     absent = [c for c in RAW_COLUMNS if c not in df.columns]
     return df.withColumns({c: F.lit(None).cast("string") for c in absent})
@@ -61,9 +63,11 @@ def check_logs(
     pattern: str = C.RAW_FILE_PATTERN,
     ignore: tuple[str, ...] = C.RAW_FILE_IGNORE,
     since: datetime | None = None,
+    listed: DataFrame | None = None,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """Every raw log of a folder, and the ``problem`` that keeps it from being read."""
-    return check_files(spark, folder, REQUIRED, pattern, ignore, since)
+    return check_files(spark, folder, REQUIRED, pattern, ignore, since, listed, headers)
 
 
 def folder_timezones(
