@@ -22,6 +22,7 @@ from usageweave.plans.jobs import categorise, plot_tables
 from usageweave.plans.preprocess import BAD_ROW, BAD_TIME, BAD_ZONE, finished_table, preprocess
 from usageweave.plans.rerun import preprocess_folder
 from usageweave.sources import logs, sinks
+from usageweave.sources.files import few_listing_tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1160,7 +1161,8 @@ def _written(spark, folder):
 )
 def _(spark, folder):
     path = _written(spark, folder)
-    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    with few_listing_tasks(spark):
+        back = spark.read.option("header", True).option("escape", '"').csv(path)
     return back.select(
         "output_name",
         "event_timestamp",
@@ -1207,7 +1209,8 @@ def _(spark, folder):
     put(df.where(f"({later}) OR {user} % 5 = 1"))
     sinks.delete_units(gone, path)
     run()
-    back = spark.read.option("header", True).option("escape", '"').csv(out)
+    with few_listing_tasks(spark):
+        back = spark.read.option("header", True).option("escape", '"').csv(out)
     return back.select(
         "participant_id",
         "event_timestamp",
@@ -1240,7 +1243,8 @@ def _(spark, folder):
     mapped, _ = categorise(rows, fr.first_codebook(spark, folder))
     out = scratch_folder(spark, "categorised")
     sinks.write_categorised(mapped, out, order=C.SEQ)
-    back = spark.read.option("header", True).option("escape", '"').csv(out)
+    with few_listing_tasks(spark):
+        back = spark.read.option("header", True).option("escape", '"').csv(out)
     back = back.withColumn("row", F.monotonically_increasing_id())
     of_file = Window.partitionBy(F.input_file_name()).orderBy("row")
     back = back.withColumn("before", F.lag(F.col("number").cast("long")).over(of_file))

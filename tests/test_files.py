@@ -401,3 +401,23 @@ def test_label_log_is_written_only_when_new(spark, tmp_path):
     new = spark.createDataFrame([("b",), ("a",)], "message string")
     assert sinks.update_label_log(new, old, path)
     assert [r.value for r in spark.read.text(path).orderBy("value").collect()] == ["a", "b", "c"]
+
+
+def test_folders_are_listed_in_few_tasks(spark, tmp_path):
+    """A folder for each unit is not a listing task for each unit."""
+    for i in range(60):
+        (tmp_path / "raw" / f"unit {i}").mkdir(parents=True)
+        path = tmp_path / "raw" / f"unit {i}" / "Raw log.csv"
+        path.write_text(f"{HEAD}\n{row('Unknown importance: 1', '2024-01-01T06:00:00Z')}\n")
+    before = spark.conf.get(files._LISTING_TASKS)
+    context = spark.sparkContext
+    context.setJobGroup("listing-test", "listing")
+    headers = files.header_catalogue(spark, str(tmp_path / "raw"))
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing-test")]
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 32
+    assert spark.conf.get(files._LISTING_TASKS) == before
+    assert headers.count() == 60
+    assert logs.scan_raw(spark, str(tmp_path / "raw")).count() == 60
