@@ -6,12 +6,13 @@ import pytest
 from model import close, details, order_unit, random_log
 from pyspark.sql import functions as F
 
-from usageweave import StudyOptions
+from usageweave import StudyOptions, TimezoneMode
 from usageweave import constants as C
 from usageweave.operators.engagement import usage_details
 from usageweave.operators import reports, units
 from usageweave.operators.ordering import order_log
 from usageweave.operators.sessions import filtered_sessions, sessions, valid_sessions
+from usageweave.operators.timezones import apply_timezone_mode, bad_zone_rows
 from usageweave.operators.units import by_unit, split_lanes, whole_unit
 
 SCHEMA = (
@@ -255,3 +256,31 @@ def test_partition_count_does_not_matter(spark):
         assert run() == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("mode", list(TimezoneMode))
+@pytest.mark.parametrize("lane", LANES)
+def test_bad_zones_are_found_without_windows(spark, mode, lane):
+    """The rows that the zone mode marks, null zones and units without a name among them."""
+    zones = ["Mars/Base", "Mars/Base", "UTC", None, "", "America/Chicago"]
+    rows = [
+        (f"u{u}" if u else None, i, zones[(u * 5 + i * i) % (2 + u % 5)], f"t{i}+0{u % 4}:00")
+        for u in range(12)
+        for i in range(9 * (u + 1))
+    ]
+    df = spark.createDataFrame(rows, "unit string, file_order long, timezone string, text string")
+    options = StudyOptions(
+        unit="unit", timezone_mode=mode, selected_timezone="UTC", **LANES[lane]
+    )
+    found = 0
+    for part, lane_ in split_lanes(df, options):
+        marked = apply_timezone_mode(part, lane_, options, "text").filter("zone_error")
+        bad = bad_zone_rows(part, lane_, options, "text")
+        columns = ["unit", "file_order", "timezone", "text"]
+        assert bad.columns == marked.drop("zone_error").columns
+        expected = sorted(map(str, marked.select(columns).collect()))
+        assert sorted(map(str, bad.select(columns).collect())) == expected
+        assert "Window" not in bad._jdf.queryExecution().toString()
+        found += len(expected)
+    chosen = (TimezoneMode.KEEP_SELECTED, TimezoneMode.CONVERT_TO_SELECTED)
+    assert (found > 0) == (mode not in chosen)

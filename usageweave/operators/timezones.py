@@ -124,3 +124,22 @@ def apply_timezone_mode(
     return df.withColumns({"timezone": zone, "zone_error": usable.isNull()}).drop(
         "primary_timezone"
     )
+
+
+def bad_zone_rows(
+    df: DataFrame, lane: Lane, options: StudyOptions, text: str | None = None
+) -> DataFrame:
+    """The rows of :func:`apply_timezone_mode` whose target zone does not exist, without
+    ``zone_error``. The primary zones are aggregates here, so of ``df`` only rows of units
+    without a usable one are joined with anything.
+    """
+    mode = options.timezone_mode
+    if mode in (TimezoneMode.KEEP_SELECTED, TimezoneMode.CONVERT_TO_SELECTED):
+        zoned = apply_timezone_mode(df, lane, options, text)
+        return zoned.filter("zone_error").drop("zone_error")
+    primary = primary_timezone(df, lane.unit, text)
+    bad = primary.filter(usable_zone("primary_timezone").isNull())
+    rows = df.join(bad, lane.unit)
+    if mode is TimezoneMode.KEEP_PRIMARY:
+        rows = rows.filter(F.col("timezone") == F.col("primary_timezone"))
+    return rows.drop("primary_timezone")

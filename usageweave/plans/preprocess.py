@@ -17,7 +17,7 @@ from usageweave.operators import columns as cols
 from usageweave.operators import engagement, enrich, labelling, reports, sessions
 from usageweave.operators.ordering import order_log
 from usageweave.operators.storage import materialise, require_scratch
-from usageweave.operators.timezones import apply_timezone_mode
+from usageweave.operators.timezones import apply_timezone_mode, bad_zone_rows
 from usageweave.operators.units import Lane, split_lanes
 from usageweave.sources.files import MALFORMED
 
@@ -145,7 +145,7 @@ def preprocess(
     for part, lane in split_lanes(raw, options):
         readable = read_times(part, options).filter(~F.col("ts_error"))
         zoned = apply_timezone_mode(readable, lane, options, text="timestamp_text")
-        bad_zone = lane.finish(zoned.filter("zone_error").drop("zone_error"))
+        bad_zone = lane.finish(bad_zone_rows(readable, lane, options, text="timestamp_text"))
         rejected.append(bad_zone.withColumn("reason", F.lit(BAD_ZONE)))
         log = labelled_log(zoned.drop("ts_error"), lane, options, filters)
         kinds.append(reports.unit_kinds(lane.finish(log), unit))
