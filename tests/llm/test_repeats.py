@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -187,3 +188,20 @@ def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = dict(components(df).collect())
     assert got == {**dict.fromkeys(range(41), 0), 50: 50, 51: 50}
+
+
+def test_sorted_keys_are_sent_by_planes():
+    """They come back as they were, and compress to less than the keys one by one."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 40, 6000, dtype=np.uint64)) << np.uint64(16)
+    keys = keys[keys < np.uint64(1 << 50)]
+    for some in (keys, keys[:1], keys[:0]):
+        sent = blocks._planes(some, 2)
+        assert len(sent) == len(blocks.packed(some, 2)) == 5 * len(some)
+        assert (blocks._from_planes(sent, 2) == some).all()
+    assert len(zlib.compress(blocks._planes(keys, 2))) < 0.9 * len(
+        zlib.compress(blocks.packed(keys, 2))
+    )
+    # Keys of shingles are counted by five bytes.
+    counted = ngram_join._keys([prose(3, 50).encode()], 4)[0]
+    assert not (counted & np.uint64(0xFFFF)).any()

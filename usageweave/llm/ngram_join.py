@@ -39,8 +39,9 @@ from usageweave.llm.blocks import (
 from usageweave.llm.linking import Grouping, beside, several, smallest_ids
 from usageweave.llm.shared import stored
 
-#: Lowest bytes of keys that are not needed to count them.
-UNCOUNTED = 1
+#: Lowest bytes of keys that are not needed to count them: 40 bits tell 10 billion shingles
+#: apart but for one in a hundred, which then counts as one that others have, too.
+UNCOUNTED = 2
 #: Parts of the hash range at the first split, and the most there are.
 FIRST_PARTS, MOST_PARTS = 16, 1 << 16
 
