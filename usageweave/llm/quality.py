@@ -53,11 +53,25 @@ class QualityOptions:
     min_word_words: int = 50
 
 
-def class_counts(text: Column) -> list[Column]:
-    """Characters of ``text`` by class, the rest last."""
-    found = [count_of(text, p) for p in CLASSES.values()]
-    length = F.coalesce(F.length(text), F.lit(0)).cast("long")
-    rest = length
+#: What stands between characters of the classes other than white space.
+_UNMARKED = r"[^\p{Lu}\p{Nd}.,;:!?'\"()\[\]{}\-#*$%&|<>]+"
+
+
+def marked(text: Column) -> Column:
+    """``text`` with nothing left but characters of the classes other than white space."""
+    return F.regexp_replace(text, _UNMARKED, "")
+
+
+def class_counts(text: Column, marks: Column) -> list[Column]:
+    """Characters of ``text`` by class, the rest last. ``marks`` is its :func:`marked`, so that
+    each class is looked for in little text; white space is what taking it out takes away.
+    """
+    solid = text
+    for c in " \t\n\x0b\x0c\r":
+        solid = F.replace(solid, F.lit(c), F.lit(""))
+    spaces = (F.octet_length(text) - F.octet_length(solid)).cast("long")
+    found = [spaces if k == "spaces" else count_of(marks, p) for k, p in CLASSES.items()]
+    rest = F.length(text).cast("long")
     for c in found:
         rest = rest - c
     return [*found, rest]
@@ -71,18 +85,32 @@ def _units(count: Column, total: Column) -> Column:
     return F.round(F.lit(_UNIT) * count / total).cast("long")
 
 
-def _held(short: Column, listed: Column) -> Column:
-    """How often each of the words ``listed`` is in ``short``."""
-    return F.transform(
-        listed, lambda w: (F.size(short) - F.size(F.array_remove(short, w))).cast("long")
-    )
+def _short_counts(words: str) -> tuple[str, str]:
+    """SQL of the different ones of the sorted ``words``, and of where each begins, with the
+    number of words behind: their differences are how often each is there.
+    """
+    new = f"filter(sequence(0, size({words})), i -> i = 0 OR i = size({words}) OR"
+    return f"array_distinct({words})", f"{new} {words}[i] <> {words}[i - 1])"
+
+
+def _held(q: Column, listed: Column) -> Column:
+    """How often each of the words ``listed`` is among the short ones of ``q``."""
+
+    def held(w: Column) -> Column:
+        def between(at: Column) -> Column:
+            n = F.get(q["starts"], at) - F.get(q["starts"], at - 1)
+            return F.when(at > 0, n).otherwise(0).cast("long")
+
+        return F.transform(F.array(F.array_position(q["short"], w).cast("int")), between)[0]
+
+    return F.transform(listed, held)
 
 
 def _with_word_bins(df: DataFrame, q: Column, name: str) -> DataFrame:
     """``df`` with how often each of its ``ref_words`` is in a text, and all other words last.
     The words of a text are looked at once.
     """
-    df = df.select("*", _once(_held(q["short"], F.col("ref_words"))).alias("_common"))
+    df = df.select("*", _once(_held(q, F.col("ref_words"))).alias("_common"))
     common = F.col("_common")
     rest = q["n_words"] - F.aggregate(common, F.lit(0).cast("long"), lambda a, x: a + x)
     return df.withColumn(name, F.concat(common, F.array(rest))).drop("_common")
@@ -119,14 +147,14 @@ def _common_words(texts: DataFrame, options: QualityOptions) -> DataFrame:
     A word with a median over 0 is in more than half of the texts, so only those are counted.
     """
     held = (
-        texts.select("lang", F.explode(F.array_distinct("q.short")).alias("word"))
+        texts.select("lang", F.explode("q.short").alias("word"))
         .groupBy("lang", "word")
         .agg(F.count("*").alias("texts"))
     )
     all_ = texts.groupBy("lang").agg(F.count("*").alias("all"))
     most = _of_lang(held, all_, "inner").where("2 * texts > all")
     most = stored(most.groupBy("lang").agg(F.collect_list("word").alias("most")), "quality-held")
-    n_held = _held(F.col("q.short"), F.col("most")).alias("n")
+    n_held = _held(F.col("q"), F.col("most")).alias("n")
     counted = _of_lang(texts, most, "inner").select(
         "lang",
         "q.n_words",
@@ -175,7 +203,9 @@ def _references(found: DataFrame, options: QualityOptions) -> DataFrame:
     q = F.col("_quality")
     # Words are dealt out as one string, which has no word with a space.
     joined = F.array_join(q.short, " ").alias("short")
-    narrow = F.struct(q.n_words.alias("n_words"), q.classes.alias("classes"), joined)
+    narrow = F.struct(
+        q.n_words.alias("n_words"), q.classes.alias("classes"), joined, q.starts.alias("starts")
+    )
     once = (
         found.where(~q.base_failed)
         .select("lang", "digest", narrow.alias("q"))
@@ -298,17 +328,22 @@ def features(
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     keep = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in columns]).alias("_row")
     df = docs.select(keep, F.unhex(F.md5(text)).alias("digest"), text.alias("text"), F.col("lang").alias("lang"))
+    df = df.withColumn("marks", marked(F.col("text")))
     df = df.withColumns(
         {
             "words": words(F.col("text")),
             "lines": lines,
-            "classes": F.array(*class_counts(F.col("text"))),
+            "classes": F.array(*class_counts(F.col("text"), F.col("marks"))),
         }
     ).withColumn("n_words", F.size("words").cast("long"))
+    lowered = F.transform("words", F.lower)
+    short = F.filter(lowered, lambda w: F.length(w) <= options.short_word)
+    df = df.withColumn("sorted", F.sort_array(short))
     df = df.withColumn("windows", F.expr(_WINDOWS)).withColumn("codes", F.expr(_CODES))
     df = df.withColumn("repeated", F.expr(_REPEATED))
     spaces = list(CLASSES).index("spaces")
     symbols = list(CLASSES).index("symbols")
+    different, starts = _short_counts("sorted")
     counts = {
         "n_words": F.col("n_words"),
         "word_chars": F.length("text").cast("long") - F.col("classes")[spaces],
@@ -316,10 +351,8 @@ def features(
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_repeat_words": F.expr(_COVERED),
         "classes": F.col("classes"),
-        "short": F.filter(
-            F.transform("words", F.lower),
-            lambda w: F.length(w) <= options.short_word,
-        ),
+        "short": F.expr(different),
+        "starts": F.expr(starts),
     }
     counted = F.struct(*[c.alias(k) for k, c in counts.items()])
     df = df.select("_row", "lang", "digest", _once(counted).alias("_quality"))
