@@ -350,3 +350,37 @@ def test_an_id_with_several_vectors_leaves_places_to_others(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = hashing_ann.neighbours(df, F.col("vec_id") == 0).collect()
     assert len(got) == 10 and len({(r.vec_id, r.score) for r in got}) == 10
+
+
+def test_search_of_a_shard_equals_the_plain_way_in_few_steps():
+    """Equal to distances to all entries within the radius, ties, large and small numbers
+    included; a query takes far less time than lists of single values did.
+    """
+    import time
+
+    rnd = np.random.default_rng(11)
+    near = rnd.standard_normal((8192, 64))
+    near[100:130] = near[7]
+    tiny = 1e8 + 1e-6 * rnd.standard_normal((300, 64))
+    for vectors in (near, 1e200 * near[:300], tiny, rnd.integers(0, 2, (500, 20)).astype(float)):
+        with np.errstate(over="ignore", invalid="ignore"):
+            codes = hashing_ann.learn_codes(vectors[:256] / np.abs(vectors).max(), hashing_ann.AnnOptions(rounds=3))
+            shard = hashing_ann.Shard(codes, vectors)
+            queries = vectors[:40]
+            own, products = codes.encode(queries), queries @ vectors.T
+            began = time.process_time()
+            got = [shard.nearest(q, c, 11, p) for q, c, p in zip(queries, own, products)]
+            took = time.process_time() - began
+            every = codes.encode(vectors)
+            for q, c, (at, far) in zip(queries, own, got):
+                apart = hashing_ann._ONES[every ^ c].sum(1)
+                radius = codes.radius
+                while (apart <= radius).sum() < 11:
+                    radius += codes.substrings
+                (within,) = np.nonzero(apart <= radius)
+                want = np.sqrt(((vectors[within] - q) ** 2).sum(1))
+                keep = want <= np.sort(want)[10]
+                order = np.argsort(want[keep], kind="stable")
+                assert at.tolist() == within[keep][order].tolist()
+                assert far.tolist() == want[keep][order].tolist()
+            assert took < 40 * 0.015

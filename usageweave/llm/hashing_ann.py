@@ -68,6 +68,8 @@ class Codes:
         return parts @ (1 << np.arange(self.substring))
 
 
+#: Queries whose products with a shard's vectors are made at once.
+_AT_ONCE = 64
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -102,32 +104,55 @@ class Shard:
 
     def __init__(self, codes: Codes, vectors: np.ndarray) -> None:
         self.codes, self.vectors = codes, vectors
-        self.own = codes.encode(vectors)
-        self.tables = []
-        for j in range(codes.substrings):
-            order = np.argsort(self.own[:, j], kind="stable")
-            values, first = np.unique(self.own[order, j], return_index=True)
-            self.tables.append((values, np.append(first, len(order)), order))
+        # A row for each substring, so that a query goes along all entries' values.
+        self.own = np.ascontiguousarray(codes.encode(vectors).T.astype(np.uint32))
+        with np.errstate(over="ignore"):
+            self.squares = (vectors**2).sum(1)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every entry whose code differs in at most ``radius`` bits."""
+        """Every entry whose code differs in at most ``radius`` bits.
+
+        By the pigeonhole these have a substring that differs in its share of the bits at
+        most. All values of a substring that occur are looked at, in one pass over entries:
+        where most of them are in reach, that takes less than their lists one by one.
+        """
         share = radius // self.codes.substrings
-        found = np.zeros(len(self.own), bool)
-        for j, (values, first, order) in enumerate(self.tables):
-            for v in np.flatnonzero(_ONES[values ^ code[j]] <= share):
-                found[order[first[v] : first[v + 1]]] = True
-        (at,) = np.nonzero(found)
-        return at[_ONES[self.own[at] ^ code].sum(1) <= radius]
-
-    def nearest(self, query: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        bits = [_ONES[own ^ part] for own, part in zip(self.own, code.astype(np.uint32))]
+        found = bits[0] <= share
+        total = bits[0].astype(np.uint16)
+        for other in bits[1:]:
+            found |= other <= share
+            total += other
+        return np.flatnonzero(found & (total <= radius))
+
+    def _nearest_few(
+        self, at: np.ndarray, query: np.ndarray, products: np.ndarray, n: int
+    ) -> np.ndarray:
+        """Of the entries ``at`` those that may be among the ``n`` nearest: distances by
+        products are off by rounding, so what is nearer than the n-th and twice the error
+        stays. All stay where numbers are too large for that.
+        """
+        with np.errstate(over="ignore", invalid="ignore"):
+            own = query @ query
+            far = self.squares[at] + own - 2 * products[at]
+            error = 8 * (len(query) + 4) * np.finfo(float).eps * (self.squares[at].max() + own)
+            few = far <= np.partition(far, n - 1)[n - 1] + 2 * error
+            return at[few] if np.isfinite(far).all() and np.isfinite(error) else at
+
+    def nearest(
+        self, query: np.ndarray, code: np.ndarray, n: int, products: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Up to ``n`` entries within the radius, nearest first, with their distances. A
         shard with fewer entries within it widens the radius until it has ``n``.
+        ``products`` are those of the query with all vectors of the shard.
         """
-        radius = self.codes.radius
+        radius, count = self.codes.radius, len(self.vectors)
         at = self.within(code, radius)
-        while len(at) < min(n, len(self.own)):
+        while len(at) < min(n, count):
             radius += self.codes.substrings
             at = self.within(code, radius)
+        if len(at) > n:
+            at = self._nearest_few(at, query, products, n)
         far = np.sqrt(((self.vectors[at] - query) ** 2).sum(1))
         if len(at) > n:
             # All that tie with the n-th stay; ids decide between them later.
@@ -230,12 +255,15 @@ def neighbours(
             shard = Shard(codes, _matrix(right.column("vector")))
             ids = right.column("ids").to_pylist()
             asking = _matrix(left.column("vector"))
-            own = codes.encode(asking)
-            for query, vector, code in zip(left.column("query_id").to_pylist(), asking, own):
+            own, asked_ids = codes.encode(asking), left.column("query_id").to_pylist()
+            for i, (query, vector, code) in enumerate(zip(asked_ids, asking, own)):
+                if i % _AT_ONCE == 0:
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        products = asking[i : i + _AT_ONCE] @ shard.vectors.T
                 # One more entry, as the query's own may be among them.
                 n = k + 1
                 while True:
-                    at, far = shard.nearest(vector, code, n)
+                    at, far = shard.nearest(vector, code, n, products[i % _AT_ONCE])
                     pairs = zip(at.tolist(), far.tolist())
                     near = {(d, i) for a, d in pairs for i in ids[a] if i != query}
                     # Fewer only if an id has several vectors: more entries are needed.
