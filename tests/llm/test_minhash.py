@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from usageweave.llm import blocks, minhash
+from usageweave.llm import blocks, linking, minhash
 from usageweave.llm.shared import stored
 
 from conftest import prose  # noqa: I001
@@ -102,3 +102,40 @@ def test_shingles_are_those_of_brute_force():
     keys, owner = blocks.shingles(texts, 4)
     got = [len(set(keys[owner == i].tolist())) for i in range(len(texts))]
     assert got == [len(shingle_set(t.decode(), 4)) for t in texts]
+
+
+def spread(n, words=120, seed=7):
+    """``n`` copies of one text with up to a quarter of its words changed: most don't link."""
+    rnd = random.Random(seed)
+    base = prose(seed, words).split()
+    for i in range(n):
+        w = list(base)
+        for j in range(rnd.randrange(2, 9)):
+            w[rnd.randrange(words)] = f"new{rnd.randrange(3 * n)}" if i % 4 else f"shared{j % 2}"
+        yield (i, " ".join(w))
+
+
+def test_what_turns_leave_equals_brute_force(spark, monkeypatch):
+    """The last step alone, and after the turns, on near copies some of which link."""
+    rows = [*spread(150), *((1000 + i, t) for i, t in spread(40, 60, 8)), *near_copies()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check(df)
+    monkeypatch.setattr(linking.Grouping, "_turn", lambda self: False)
+    check(df)
+
+
+def test_comparisons_of_copies_too_far_apart_to_link_grow_with_their_number(spark):
+    compared = {}
+    for n in (200, 800):
+        rnd, base = random.Random(3), prose(9, 150).split()
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for j, at in enumerate(rnd.sample(range(150), 8)):
+                w[at] = f"new{i}x{j}"
+            rows.append((i, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        found = minhash.grouping(df, stored(minhash.signatures(df), "signed"))
+        found.run()
+        compared[n] = found.compared
+    assert compared[800] < 10 * compared[200] and compared[800] < 10 * 800

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 
-from usageweave.llm import blocks, ngram_join, substring_dedup
+from usageweave.llm import blocks, linking, ngram_join, substring_dedup
 from usageweave.llm.components import components
 
 from conftest import prose  # noqa: I001
@@ -205,3 +205,14 @@ def test_sorted_keys_are_sent_by_planes():
     # Keys of shingles are counted by five bytes.
     counted = ngram_join._keys([prose(3, 50).encode()], 4)[0]
     assert not (counted & np.uint64(0xFFFF)).any()
+
+
+def test_last_step_of_joining_equals_brute_force(spark, monkeypatch):
+    """With no turns before it, it has to find every link between groups."""
+    monkeypatch.setattr(linking.Grouping, "_turn", lambda self: False)
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in (ngram_join.JoinOptions(), ngram_join.JoinOptions(n=5, percent=80)):
+        want, _ = brute_components(rows, options.n, options.percent)
+        got = ngram_join.near_duplicates(df, options).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want

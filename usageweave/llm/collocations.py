@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usageweave.llm.blocks import mix, word_hashes
-from usageweave.llm.shared import stored
+from usageweave.llm.shared import bit_filter, in_filter, stored
 
 _CUT, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _CUT[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -35,8 +35,6 @@ _GAP[list(b" \t")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bits of one chunk of a filter, as Spark's bitmap functions count them.
-_CHUNK = 32768
 
 
 @dataclass(frozen=True)
@@ -110,11 +108,6 @@ def _extended(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mix(before * _STEP + after)
 
 
-def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes & np.uint64(8 * len(bits) - 1)
-    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
-
-
 @dataclass
 class _Known:
     """What tasks know of the frequent phrases of one word less: a bit filter of all of
@@ -135,7 +128,7 @@ def _frequent_places(block: _Block, size: int, known: _Known | None):
     hashes = shorter = block.hashes[block.ids]
     for j in range(1, size - 1):
         shorter = _extended(shorter[:-1], hashes[j:])
-    may_be = _in_filter(np.frombuffer(known.bits, np.uint8), shorter)
+    may_be = in_filter(np.frombuffer(known.bits, np.uint8), shorter)
     whole = block.pieces[:n] == block.pieces[size - 1 :]
     at = np.flatnonzero(whole & may_be[:n] & may_be[1 : n + 1])
     return at, np.isin(shorter[at], known.common)
@@ -276,23 +269,11 @@ def _known(phrases: DataFrame, size: int, n_words: int, options: PhraseOptions):
     allows, and is built by Spark's bitmap aggregate, a row for each chunk.
     """
     spark = phrases.sparkSession
-    wanted = max(_CHUNK, 1 << (16 * phrases.count()).bit_length())
-    n_bits = min(wanted, options.filter_bits)
     hashed = stored(_hashed(phrases, size), "phrases-hashed")
     common = hashed.where(F.col("f") >= F.lit(max(1.0, n_words * options.common_share)))
-    place = (F.col("hash").bitwiseAND(F.lit(n_bits - 1)) + 1).alias("place")
-    chunks = (
-        hashed.select(place)
-        .groupBy(F.bitmap_bucket_number("place").alias("chunk"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    )
-    bits = bytearray(n_bits // 8)
-    for row in chunks.toLocalIterator():
-        start = (row["chunk"] - 1) * _CHUNK // 8
-        chunk = row["bits"][: len(bits) - start]
-        bits[start : start + len(chunk)] = chunk
+    bits = bit_filter(hashed, phrases.count(), options.filter_bits)
     found = np.array([r["hash"] for r in common.select("hash").collect()], np.int64)
-    return spark.sparkContext.broadcast(_Known(bytes(bits), found.view(np.uint64)))
+    return spark.sparkContext.broadcast(_Known(bits, found.view(np.uint64)))
 
 
 def frequent(docs: DataFrame, options: PhraseOptions = PhraseOptions()) -> DataFrame:

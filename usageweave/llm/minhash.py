@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from usageweave.llm.blocks import KEY_BITS, mix, packed, set_marks, shingles, unpacked
 from usageweave.llm.linking import Grouping, beside, several, smallest_ids
-from usageweave.llm.shared import stored
+from usageweave.llm.shared import bit_filter, in_filter, stored
 
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -46,6 +46,8 @@ class MinhashOptions:
     agree: int = 287
     #: Bytes of text that are sketched at once.
     block_bytes: int = 8_000_000
+    #: Most bits of the filter of texts whose sets are needed (32 MB).
+    filter_bits: int = 1 << 28
 
 
 def sketch(keys: np.ndarray, owner: np.ndarray, n_texts: int, bins: int) -> np.ndarray:
@@ -171,7 +173,20 @@ def _sets(docs: DataFrame, shown: DataFrame, options: MinhashOptions) -> DataFra
             yield from pa.table(columns).to_batches()
 
     of = shown.select("node", F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"))
-    texts = _rows(docs).join(of, F.expr("doc_id <=> of_doc AND text_hash = of_text"))
+    # Texts that can't be among them are left out before any are dealt out.
+    hashes = shown.select(F.col("text_hash").alias("hash"))
+    bits = bit_filter(hashes, shown.count(), options.filter_bits)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            place = batch.column("text_hash").to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(in_filter(known, place)))
+
+    rows = _rows(docs)
+    rows = rows.mapInArrow(maybe, rows.schema)
+    texts = rows.join(of, F.expr("doc_id <=> of_doc AND text_hash = of_text"))
     sets = texts.select("node", "text").mapInArrow(run, "node binary, sketch binary, keys binary")
     # The row that shows a class may stand there several times.
     return sets.dropDuplicates(["node"])
@@ -222,8 +237,8 @@ def grouping(
     banded = classes.select("node", "size", F.explode("bands").alias("key"))
     postings = stored(several(banded), "minhash-postings")
     shown = classes.join(postings.select("node").distinct(), "node", "left_semi")
-    shown = stored(shown, "minhash-shown")
-    sets = stored(_sets(docs, shown.select("node", "doc_id", "text_hash"), options), "minhash-sets")
+    shown = stored(shown.select("node", "doc_id", "text_hash"), "minhash-shown")
+    sets = stored(_sets(docs, shown, options), "minhash-sets")
 
     def compare(pairs: DataFrame, most_unlike: bool) -> DataFrame:
         if most_unlike:
@@ -239,9 +254,11 @@ def grouping(
     return Grouping(
         postings,
         compare,
+        sets.selectExpr(
+            "node", f"octet_length(keys) div {KEY_BITS // 8} AS size", "0L AS alone", "keys"
+        ),
+        t,
         near=f"100 * x.size >= {t} * y.size AND 100 * y.size >= {t} * x.size",
-        wide=shown.select("node", "bands"),
-        first="array_intersect(x.bands, y.bands)[0] = x.key",
     )
 
 

@@ -186,8 +186,8 @@ class _Join:
         self.first = "array_intersect(x.prefix, y.prefix)[0] = x.key"
 
     def grouping(self) -> Grouping:
-        wide = self.classes.select("node", "prefix")
-        return Grouping(self.postings, self.compare, self.near, wide, self.first)
+        sets = self.classes.selectExpr("node", "size", "CAST(rare AS LONG) AS alone", "shared AS keys")
+        return Grouping(self.postings, self.compare, sets, self.options.percent, self.near)
 
     def every_pair(self) -> DataFrame:
         p = self.postings.join(self.classes.select("node", "prefix"), "node")
