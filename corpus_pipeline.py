@@ -17,10 +17,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the base rules or the divergence from their language reject go: null,
     empty and short texts, whatever else they hold. Of rows that are alike all stay or none.
     """
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("doc"), "lang", "text")
-    judged = quality.judge(rows, columns=["doc"])
-    return judged.where("quality.kept").select(*[F.col("doc")[c].alias(c) for c in columns])
+    text = F.col("text").cast("string")
+    rows = docs.select(
+        F.col("doc_id").alias("of_doc"), F.xxhash64(text).alias("of_text"), "lang", "text"
+    )
+    # What is stored of a row is its key and its counts, not the document.
+    judged = quality.judge(rows, columns=["of_doc", "of_text", "lang"])
+    kept = judged.where("quality.kept").select("of_doc", "of_text", F.col("lang").alias("of_lang"))
+    alike = (
+        "d.doc_id <=> k.of_doc AND d.lang <=> k.of_lang"
+        " AND xxhash64(CAST(d.text AS STRING)) = k.of_text"
+    )
+    return docs.alias("d").join(kept.alias("k"), F.expr(alike), "left_semi")
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,10 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from usageweave.llm import byte_bpe  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from usageweave.llm import byte_bpe, quality  # noqa: E402
+from usageweave.llm.shared import stored  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -112,3 +115,23 @@ def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs):
         else:
             assert all(r.text.split() for r in out)
             assert {r.doc_id for r in out} <= {r.doc_id for r in rows}
+
+
+def test_quality_stores_no_documents(spark, tmp_path, monkeypatch):
+    """What is stored of a document is its key and its counts; it stays for the stages after."""
+    seen = []
+
+    def watched(df, name):
+        seen.append((name, df))
+        return stored(df, name)
+
+    monkeypatch.setattr(quality, "stored", watched)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = pipeline.quality_rules(spark, docs, FOLDER)
+    assert 0 < out.count() and out.columns == docs.columns
+    assert "quality-features" in [name for name, _ in seen]
+    longest = docs.agg(F.max(F.length("text"))).first()[0]
+    for _, df in seen:
+        assert "n_chars" not in df.schema.simpleString()
+        if "_row" in df.columns:
+            assert df.agg(F.max(F.length(F.to_json("_row")))).first()[0] < longest / 9
