@@ -421,3 +421,59 @@ def test_folders_are_listed_in_few_tasks(spark, tmp_path):
     assert spark.conf.get(files._LISTING_TASKS) == before
     assert headers.count() == 60
     assert logs.scan_raw(spark, str(tmp_path / "raw")).count() == 60
+
+
+ALL_TYPES = StudyOptions(removed_types=(), timezone_mode=TimezoneMode.CONVERT_TO_PRIMARY)
+
+
+@pytest.fixture
+def small_batches(monkeypatch):
+    """Scans of four files; the paths each scan was given."""
+    taken = []
+    batches = files._batches
+
+    def noted(spark, folder):
+        for paths in batches(spark, folder):
+            taken.append(paths)
+            yield paths
+
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 4)
+    monkeypatch.setattr(files, "_batches", noted)
+    return taken
+
+
+@pytest.fixture
+def many(tmp_path):
+    """Odd names, two layouts, a file without a byte, files at three depths."""
+    names = ["a.csv", "b [1].csv", "c{2}*.csv", "d+%41.csv", "e\\f.csv", "deep/g.csv"]
+    names += [f"deep/er {n}/Raw h{n}.csv" for n in range(5)]
+    for n, name in enumerate(names):
+        path = tmp_path / "many" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        head, lines = HEAD, [row(f"Unknown importance: {i}", f"2024-01-01T06:{n:02}:0{i}Z") for i in (1, 2)]
+        if n % 4 == 1:
+            turn = lambda line: ",".join(reversed(line.split(",")))
+            head, lines = 'Note,"x ""y"", z",' + turn(head), ["n,z," + turn(x) for x in lines]
+        path.write_text("\n".join([head, *lines, "1,2,3,4,5,6,7,8,9,10,11"][: 4 if n % 3 == 0 else 3]) + "\n")
+    (tmp_path / "many" / "none.csv").write_text("")
+    (tmp_path / "many" / "_hidden.csv").write_text(HEAD)
+    (tmp_path / "many" / "_logs").mkdir()
+    (tmp_path / "many" / "_logs" / "z.csv").write_text(HEAD)
+    return str(tmp_path / "many")
+
+
+def test_many_files_are_read_in_batches(spark, many, small_batches, monkeypatch):
+    def results():
+        raw = sorted(logs.scan_raw(spark, many).collect(), key=lambda r: (r.source_file, r.file_order))
+        rows = [sorted((k, str(v)) for k, v in r.asDict().items() if k != "file_order") for r in raw]
+        listed = files.list_files(spark, many, times=True).collect()
+        return rows, listed, sorted(map(str, logs.check_logs(spark, many).collect()))
+
+    in_batches = results()
+    # Headers and rows, and three more passes over twelve files.
+    assert [len(paths) for paths in small_batches] == [4] * 15
+    del small_batches[:]
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 1000)
+    assert results() == in_batches
+    assert small_batches == [[many]] * len(small_batches)
+    assert len(in_batches[1]) == 12 and len(in_batches[0]) == 11 * 2 + 4
