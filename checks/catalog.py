@@ -22,7 +22,7 @@ from usageweave.plans.jobs import categorise, plot_tables
 from usageweave.plans.preprocess import BAD_ROW, BAD_TIME, BAD_ZONE, finished_table, preprocess
 from usageweave.plans.rerun import preprocess_folder
 from usageweave.sources import logs, sinks
-from usageweave.sources.files import few_listing_tasks
+from usageweave.sources.files import read_in_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1021,7 +1021,7 @@ def _write_logs(spark, folder, name=None) -> str:
     device = name if name is not None else F.concat(F.lit("Raw "), "participant_id")
     df = fr.text_log(spark, folder).withColumn("device", device)
     df = df.repartition("device").sortWithinPartitions("device", "file_order")
-    df.drop("file_order").write.partitionBy("device").option("header", True).csv(path)
+    sinks.write_folders(df.drop("file_order"), path, "device", "csv", header=True)
     return path
 
 
@@ -1065,8 +1065,8 @@ def _write_mixed(spark, folder) -> str:
         F.lit("x").alias("NOTE_2"),
         "device",
     )
-    plain.write.partitionBy("device").option("header", True).csv(f"{path}/one")
-    turned.write.partitionBy("device").option("header", True).csv(f"{path}/two")
+    sinks.write_folders(plain, f"{path}/one", "device", "csv", header=True)
+    sinks.write_folders(turned, f"{path}/two", "device", "csv", header=True)
     lines = kept.limit(3).select(F.concat_ws(",", *logs.RAW_COLUMNS).alias("value"))
     lines.write.text(f"{path}/headerless")
     empty = F.lit(",".join(logs.RAW_COLUMNS)).alias("value")
@@ -1107,7 +1107,7 @@ def _write_ragged(spark, folder) -> str:
     )
     rows = lines.withColumn("file_order", F.col("file_order").cast("long")).unionByName(head)
     rows = rows.repartition("device").sortWithinPartitions("device", "file_order")
-    rows.drop("file_order").write.partitionBy("device").text(path)
+    sinks.write_folders(rows.drop("file_order"), path, "device", "text")
     return path
 
 
@@ -1143,6 +1143,20 @@ def _(spark, folder):
     return df.groupBy("participant_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _read_back(spark, path, step=lambda df: df):
+    """Rows of a folder that the writer made, with the names of their own folders."""
+    schema = None
+
+    def read(paths):
+        nonlocal schema
+        reader = spark.read.option("header", True).option("escape", '"').option("basePath", path)
+        rows = (reader if schema is None else reader.schema(schema)).csv(paths)
+        schema = rows.schema
+        return step(rows)
+
+    return read_in_batches(spark, path, "back", read)
+
+
 def _written(spark, folder):
     path = scratch_folder(spark, "finished")
     table = finished_table(_run(spark, folder), FULL, keep_seq=True)
@@ -1160,9 +1174,7 @@ def _written(spark, folder):
         AS any_app_usage_flags FROM (SELECT {q.finished_output(FULL)} FROM finished)""",
 )
 def _(spark, folder):
-    path = _written(spark, folder)
-    with few_listing_tasks(spark):
-        back = spark.read.option("header", True).option("escape", '"').csv(path)
+    back = _read_back(spark, _written(spark, folder))
     return back.select(
         "output_name",
         "event_timestamp",
@@ -1197,8 +1209,8 @@ def _(spark, folder):
 
     def put(rows):
         rows = rows.repartition("output_name").sortWithinPartitions("output_name", "file_order")
-        writer = rows.drop("file_order").write.partitionBy("output_name").mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").option("header", True).csv(path)
+        rows = rows.drop("file_order")
+        sinks.write_folders(rows, path, "output_name", "csv", "overwrite", header=True)
 
     def run():
         dimensions = fr.filters(spark, folder), fr.first_codebook(spark, folder)
@@ -1209,9 +1221,7 @@ def _(spark, folder):
     put(df.where(f"({later}) OR {user} % 5 = 1"))
     sinks.delete_units(gone, path)
     run()
-    with few_listing_tasks(spark):
-        back = spark.read.option("header", True).option("escape", '"').csv(out)
-    return back.select(
+    return _read_back(spark, out).select(
         "participant_id",
         "event_timestamp",
         "app_package_name",
@@ -1243,10 +1253,9 @@ def _(spark, folder):
     mapped, _ = categorise(rows, fr.first_codebook(spark, folder))
     out = scratch_folder(spark, "categorised")
     sinks.write_categorised(mapped, out, order=C.SEQ)
-    with few_listing_tasks(spark):
-        back = spark.read.option("header", True).option("escape", '"').csv(out)
-    back = back.withColumn("row", F.monotonically_increasing_id())
-    of_file = Window.partitionBy(F.input_file_name()).orderBy("row")
+    row, file = F.monotonically_increasing_id(), F.input_file_name()
+    back = _read_back(spark, out, lambda df: df.withColumns({"row": row, "file": file}))
+    of_file = Window.partitionBy("file").orderBy("row")
     back = back.withColumn("before", F.lag(F.col("number").cast("long")).over(of_file))
     name = F.regexp_replace("output_name", " [0-9a-f]{16}$", "").alias("name")
     return back.groupBy(name).agg(

@@ -428,7 +428,7 @@ ALL_TYPES = StudyOptions(removed_types=(), timezone_mode=TimezoneMode.CONVERT_TO
 
 @pytest.fixture
 def small_batches(monkeypatch):
-    """Scans of four files; the paths each scan was given."""
+    """Scans of four files, writes of three folders; the paths each scan was given."""
     taken = []
     batches = files._batches
 
@@ -439,6 +439,7 @@ def small_batches(monkeypatch):
 
     monkeypatch.setattr(files, "FILES_AT_ONCE", 4)
     monkeypatch.setattr(files, "_batches", noted)
+    monkeypatch.setattr(sinks, "FOLDERS_AT_ONCE", 3)
     return taken
 
 
@@ -477,3 +478,18 @@ def test_many_files_are_read_in_batches(spark, many, small_batches, monkeypatch)
     assert results() == in_batches
     assert small_batches == [[many]] * len(small_batches)
     assert len(in_batches[1]) == 12 and len(in_batches[0]) == 11 * 2 + 4
+
+
+def test_finished_folders_are_written_and_read_in_batches(spark, many, small_batches, tmp_path):
+    raw = materialise(logs.scan_raw(spark, many), "raw")
+    table = finished_table(preprocess(raw, ALL_TYPES), ALL_TYPES, keep_seq=True)
+    path = str(tmp_path / "out")
+    sinks.write_preprocessed(table, path, "source_file", "csv")
+    assert sum(p.is_dir() for p in (tmp_path / "out").iterdir()) == 11
+    del small_batches[:]
+    back = logs.scan_preprocessed(spark, path)
+    assert [len(paths) for paths in small_batches] == [4, 4, 3] * 2
+    assert back.count() == table.count() >= 11
+    assert back.select("source_file").distinct().count() == 11
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_preprocessed(table, path, "source_file", "csv")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,36 @@ from usageweave.operators.storage import materialise
 from usageweave.sources.files import FILE, ORDER, read_tables
 
 
+#: Folders one write makes. Spark gathers the names of all of them in the driver.
+FOLDERS_AT_ONCE = 100_000
+
+
+def write_folders(
+    df: DataFrame,
+    path: str,
+    key: str,
+    file_format: str,
+    mode: str = "error",
+    n_folders: int | None = None,
+    **settings: object,
+) -> None:
+    """``df`` in one folder for each value of ``key`` below ``path``, its rows dealt out and
+    in order as they are. Many folders are written in several turns. With the ``mode``
+    overwrite, folders of other values stay as they are.
+    """
+    if n_folders is None:
+        n_folders = df.select(key).distinct().count()
+    turns = max(1, ceil(n_folders / FOLDERS_AT_ONCE))
+    if mode == "overwrite":  # only what is written
+        settings["partitionOverwriteMode"] = "dynamic"
+    for turn in range(turns):
+        of_turn = F.pmod(F.xxhash64(key), F.lit(turns)) == turn
+        part = df if turns == 1 else df.where(of_turn)
+        writer = part.write.partitionBy(key).format(file_format)
+        writer = writer.mode("append" if turn and mode != "overwrite" else mode)
+        writer.options(**settings).save(path)
+
+
 def file_stem(path: Column) -> Column:
     name = F.regexp_extract(path, r"[^/]*$", 0)
     return F.regexp_replace(name, r"(.)\.[^.]*$", "$1")
@@ -77,10 +109,8 @@ def _write_units(
     df = df if key == "unit" else df.drop(key)
     df = df.repartitionByRange("output_name", order)
     df = df.sortWithinPartitions("output_name", order).drop(order)
-    writer = df.write.partitionBy("output_name").format(file_format).mode(mode)
-    if mode == "overwrite":  # only of the units that are written
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    (writer.option("header", True) if file_format == "csv" else writer).save(path)
+    header = {"header": True} if file_format == "csv" else {}
+    write_folders(df, path, "output_name", file_format, mode, names.count(), **header)
 
 
 def write_preprocessed(
