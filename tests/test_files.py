@@ -486,6 +486,8 @@ def test_finished_folders_are_written_and_read_in_batches(spark, many, small_bat
     path = str(tmp_path / "out")
     sinks.write_preprocessed(table, path, "source_file", "csv")
     assert sum(p.is_dir() for p in (tmp_path / "out").iterdir()) == 11
+    # One file for each part of a unit, and none beside it.
+    assert not list((tmp_path / "out").rglob(".part-*"))
     del small_batches[:]
     back = logs.scan_preprocessed(spark, path)
     assert [len(paths) for paths in small_batches] == [4, 4, 3] * 2
@@ -493,3 +495,21 @@ def test_finished_folders_are_written_and_read_in_batches(spark, many, small_bat
     assert back.select("source_file").distinct().count() == 11
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         sinks.write_preprocessed(table, path, "source_file", "csv")
+
+
+def test_a_rerun_in_batches_does_what_one_run_does(spark, many, small_batches, tmp_path):
+    from pathlib import Path
+
+    out = str(tmp_path / "out")
+    _, changed, removed = run_again(spark, many, out, ALL_TYPES)
+    assert len(changed) == 12 and not removed
+    assert not run_again(spark, many, out, ALL_TYPES)[1]
+    lines = [row(f"Unknown importance: {i}", f"2024-01-01T07:0{i}:00Z", app="c.d") for i in (1, 2)]
+    (Path(many) / "a.csv").write_text("\n".join([HEAD, *lines]) + "\n")
+    (Path(many) / "deep" / "g.csv").unlink()
+    _, changed, removed = run_again(spark, many, out, ALL_TYPES)
+    assert (changed, removed) == ({"a.csv"}, {"g.csv"})
+    back = spark.read.option("header", True).csv(out)
+    assert back.groupBy("unit").count().count() == 10
+    apps = back.where("unit LIKE '%/a.csv'").select("app_package_name").distinct().collect()
+    assert [r.app_package_name for r in apps] == ["c.d"]

@@ -96,7 +96,8 @@ def preprocess_folder(
     known = _state(spark, state)
     run = (known.agg(F.max("run")).first()[0] or 0) + 1
     settings = F.lit(_settings(options, filters, codebook))
-    listed = files.list_files(spark, folder, times=True).withColumnRenamed(FILE, "unit")
+    listed = materialise(files.list_files(spark, folder, times=True), "listed")
+    listed = listed.withColumnRenamed(FILE, "unit")
     current = materialise(_named(listed.withColumn("settings", settings), known), "units-now")
     same = ["unit", "length", "modified", "settings"]
     changed = materialise(current.join(known.select(same), same, "left_anti"), "units-changed")

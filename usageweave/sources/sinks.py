@@ -17,6 +17,13 @@ from usageweave.sources.files import FILE, ORDER, read_tables
 
 #: Folders one write makes. Spark gathers the names of all of them in the driver.
 FOLDERS_AT_ONCE = 100_000
+#: Beside each file on a local disk Hadoop writes one with checksums, and without its native
+#: library it starts a process for the mode of either: of small files that is most of the time.
+#: Other file systems are as they are.
+_NO_CHECKSUM_FILES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
 
 
 def write_folders(
@@ -42,7 +49,7 @@ def write_folders(
         part = df if turns == 1 else df.where(of_turn)
         writer = part.write.partitionBy(key).format(file_format)
         writer = writer.mode("append" if turn and mode != "overwrite" else mode)
-        writer.options(**settings).save(path)
+        writer.options(**_NO_CHECKSUM_FILES, **settings).save(path)
 
 
 def file_stem(path: Column) -> Column:
